@@ -1,0 +1 @@
+"""No operator of this engine needs an unbounded input, so nothing is built here."""
