@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tarnish.session import parallelism
+
 ANALYZERS = ("char", "char_wb", "word")
 
 # A token is a run of at least two letters, digits or underscores.
@@ -75,12 +77,27 @@ def with_ngrams(df: DataFrame, text: str | Column, analyzer: str = "char_wb",
     return df.withColumn(out, grams).drop(pieces)
 
 
-def gram_counts(df: DataFrame, keys: list[str], text: str | Column, analyzer: str = "char_wb",
-                ngram_range: tuple[int, int] = (2, 4)) -> DataFrame:
-    """Long table ``(*keys, gram, cnt)``."""
-    grams = with_ngrams(df, text, analyzer, ngram_range, "_grams")
-    return (grams.select(*keys, F.explode("_grams").alias("gram"))
-            .groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("cnt")))
+def gram_counts(df: DataFrame, keys: list[str], text: str, analyzer: str = "char_wb",
+                ngram_range: tuple[int, int] = (2, 4), by: list[str] | None = None) -> DataFrame:
+    """Long table ``(*keys, gram, cnt)``; without keys the counts of the whole table.
+
+    Texts are spread by their key (or ``by``) before they are cut up: the n-gram counts of a key
+    are then complete inside one task, so what is shuffled are texts and not n-grams. Without a
+    key, copies of a text are counted first.
+
+    The outer form of explode matters: for the inner one Catalyst derives a filter on the array,
+    pushes it below the projections and so evaluates the whole split once per n-gram.
+    """
+    if keys:
+        rows = df.select(*keys, text).repartition(parallelism(df.sparkSession), *(by or keys))
+        weight = F.count(F.lit(1))
+    else:
+        rows = df.groupBy(text).agg(F.count(F.lit(1)).alias("_m"))
+        weight = F.sum("_m")
+    kept = keys or ["_m"]
+    grams = with_ngrams(rows, text, analyzer, ngram_range, "_grams")
+    return (grams.select(*kept, F.explode_outer("_grams").alias("gram")).where("gram is not null")
+            .groupBy(*keys, "gram").agg(weight.alias("cnt")))
 
 
 def key_text(*columns: str | Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tarnish.functions.text import encoder_input, gram_counts, newlines_to_blanks, with_ngrams
 from tarnish.operators.clean import text_columns
+from tarnish.session import parallelism
 
 # A number and a date as text.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -86,7 +87,7 @@ def tfidf_vectorizer(df: DataFrame, row_id: str, text: str, analyzer: str = "cha
     """
     fitted = F.lit(True) if fit_on is None else fit_on
     rows = df.select(row_id, text, fitted.alias("_fit"))
-    counts = gram_counts(rows, [row_id, "_fit"], text, analyzer, ngram_range)
+    counts = gram_counts(rows, [row_id, "_fit"], text, analyzer, ngram_range, by=[row_id])
     seen = counts.groupBy("gram").agg(F.count(F.when(F.col("_fit"), 1)).alias("df")).where("df > 0")
     n = rows.agg(F.count(F.when(F.col("_fit"), 1))).scalar()
     idf = seen.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
@@ -117,8 +118,9 @@ def minhash_distinct(texts: DataFrame, text: str, n_components: int, analyzer: s
     """
     lo_hi = ngram_range or ((2, 4) if analyzer == "char" else (1, 3))
     seeds = range(-(-n_components // 4))
-    grams = with_ngrams(texts.select(text), text, analyzer, lo_hi, "_g").select(
-        text, F.explode(F.array_distinct("_g")).alias("_gram"))
+    rows = texts.select(text).repartition(parallelism(texts.sparkSession), text)
+    grams = with_ngrams(rows, text, analyzer, lo_hi, "_g").select(
+        text, F.explode_outer(F.array_distinct("_g")).alias("_gram")).where("_gram is not null")
     hashed = grams.select(text, *[
         F.md5(F.concat(F.lit(f"{s}:"), F.col("_gram"))).alias(f"_h{s}") for s in seeds])
     least = hashed.groupBy(text).agg(*[
@@ -164,8 +166,8 @@ def embedding_lookup_mean(df: DataFrame, row_id: str, text: str, words: DataFram
     Repeated words of a text are counted before the lookup; the mean is a partial aggregate over
     vectors. Texts without a known word are absent.
     """
-    tokens = df.select(row_id, F.explode(F.filter(
-        F.split(F.lower(newlines_to_blanks(text)), r"\s+"), lambda w: w != "")).alias("word"))
+    tokens = df.select(row_id, F.explode_outer(F.split(
+        F.lower(newlines_to_blanks(text)), r"\s+")).alias("word")).where("word <> ''")
     counted = tokens.groupBy(row_id, "word").agg(F.count(F.lit(1)).cast("double").alias("n"))
     hits = counted.join(words.select("word", array_to_vector(
         F.col("v").cast("array<double>")).alias("_v")), "word")

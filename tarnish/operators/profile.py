@@ -24,7 +24,7 @@ def long_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 def column_grams(texts: DataFrame, ngram_range: tuple[int, int] = (2, 4)) -> DataFrame:
     """``(col, gram, n)``: total occurrences of every character n-gram of every column."""
     per_text = gram_counts(texts.withColumn("_id", F.md5("text")), ["col", "_id", "m"], "text",
-                           "char", ngram_range)
+                           "char", ngram_range, by=["_id"])
     return per_text.groupBy("col", "gram").agg(F.sum(F.col("cnt") * F.col("m")).alias("n"))
 
 

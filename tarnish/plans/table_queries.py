@@ -13,7 +13,7 @@ from tarnish.plans.registry import Tables, query
 R = f"({RESULTS_SQL})"
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
@@ -46,8 +46,8 @@ def join_different_names(t: Tables) -> DataFrame:
 
 @query("self_join_baseline", f"""
 WITH m AS (SELECT dataset, n_train, encoding, avg(roc_auc) AS roc_auc FROM {R} GROUP BY ALL)
-SELECT m.dataset, m.n_train, m.encoding, round(m.roc_auc, 6) AS roc_auc,
-       round(b.roc_auc, 6) AS roc_auc_base
+SELECT m.dataset, m.n_train, m.encoding, round(m.roc_auc, 9) AS roc_auc,
+       round(b.roc_auc, 9) AS roc_auc_base
 FROM m JOIN m b ON m.dataset = b.dataset AND m.n_train = b.n_train AND b.encoding = 'STANDARD'""")
 def self_join_baseline(t: Tables) -> DataFrame:
     means = results(t).groupBy("dataset", "n_train", "encoding").agg(F.avg("roc_auc").alias("roc_auc"))
@@ -75,9 +75,9 @@ def lookup_join_back(t: Tables) -> DataFrame:
 
 # --------------------------------------------------------------------------- aggregations
 
-@query("group_mean", f"SELECT dataset, encoding, round(avg(roc_auc), 6) AS roc_auc FROM {R} GROUP BY ALL")
+@query("group_mean", f"SELECT dataset, encoding, round(avg(roc_auc), 9) AS roc_auc FROM {R} GROUP BY ALL")
 def group_mean(t: Tables) -> DataFrame:
-    return results(t).groupBy("dataset", "encoding").agg(F.round(F.avg("roc_auc"), 6).alias("roc_auc"))
+    return results(t).groupBy("dataset", "encoding").agg(F.round(F.avg("roc_auc"), 9).alias("roc_auc"))
 
 
 @query("group_mean_all_numeric", """
@@ -105,8 +105,8 @@ def group_max(t: Tables) -> DataFrame:
 
 
 @query("group_median", f"""
-SELECT encoding, round(median(roc_auc), 6) AS median FROM {R} GROUP BY encoding
-UNION ALL SELECT 'large', round(median(roc_auc), 6) FROM {R} WHERE contains(model, 'large')""")
+SELECT encoding, round(median(roc_auc), 9) AS median FROM {R} GROUP BY encoding
+UNION ALL SELECT 'large', round(median(roc_auc), 9) FROM {R} WHERE contains(model, 'large')""")
 def group_median(t: Tables) -> DataFrame:
     r = results(t)
     per = ordering.group_quantiles(r, ["encoding"], "roc_auc", {"median": 0.5})
@@ -115,8 +115,8 @@ def group_median(t: Tables) -> DataFrame:
 
 
 @query("group_multi_agg", f"""
-SELECT encoding, n_train, round(median(roc_auc), 6) AS median, round(avg(roc_auc), 6) AS mean,
-  round(quantile_cont(roc_auc, 0.25), 6) AS q25, round(quantile_cont(roc_auc, 0.75), 6) AS q75
+SELECT encoding, n_train, round(median(roc_auc), 9) AS median, round(avg(roc_auc), 9) AS mean,
+  round(quantile_cont(roc_auc, 0.25), 9) AS q25, round(quantile_cont(roc_auc, 0.75), 9) AS q75
 FROM {R} GROUP BY ALL""")
 def group_multi_agg(t: Tables) -> DataFrame:
     r, keys = results(t), ["encoding", "n_train"]
@@ -130,7 +130,7 @@ SELECT round(avg(CAST(n = 7 AS INT)), 9) AS ratio
 FROM (SELECT count(roc_auc) AS n FROM {R} GROUP BY dataset, encoding, p_size)""")
 def completeness_ratio(t: Tables) -> DataFrame:
     return rounded(tables.completeness_ratio(results(t), ["dataset", "encoding", "p_size"], "roc_auc"),
-                   "ratio", digits=9)
+                   "ratio")
 
 
 @query("having_group_size", f"""
@@ -167,8 +167,8 @@ def distinct_values(t: Tables) -> DataFrame:
 
 
 @query("five_number_summary", """
-SELECT event_type, min(value) AS low, round(quantile_cont(value, 0.25), 6) AS q1,
-  round(median(value), 6) AS med, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS high
+SELECT event_type, min(value) AS low, round(quantile_cont(value, 0.25), 9) AS q1,
+  round(median(value), 9) AS med, round(quantile_cont(value, 0.75), 9) AS q3, max(value) AS high
 FROM events GROUP BY event_type""")
 def five_number_summary(t: Tables) -> DataFrame:
     q = ordering.group_quantiles(t.events, ["event_type"], "value",
@@ -177,9 +177,9 @@ def five_number_summary(t: Tables) -> DataFrame:
 
 
 @query("mean_stderr", f"""
-SELECT p_size, encoding, round(avg(roc_auc), 6) AS mean,
-  round(avg(roc_auc) - 0.5 * stddev_samp(roc_auc) / sqrt(count(roc_auc)), 6) AS low,
-  round(avg(roc_auc) + 0.5 * stddev_samp(roc_auc) / sqrt(count(roc_auc)), 6) AS high
+SELECT p_size, encoding, round(avg(roc_auc), 9) AS mean,
+  round(avg(roc_auc) - 0.5 * stddev_samp(roc_auc) / sqrt(count(roc_auc)), 9) AS low,
+  round(avg(roc_auc) + 0.5 * stddev_samp(roc_auc) / sqrt(count(roc_auc)), 9) AS high
 FROM {R} GROUP BY ALL""")
 def mean_stderr(t: Tables) -> DataFrame:
     return rounded(tables.mean_stderr(results(t), ["p_size", "encoding"], "roc_auc"), "mean", "low", "high")
@@ -188,10 +188,10 @@ def mean_stderr(t: Tables) -> DataFrame:
 @query("ols_trend", """
 SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
   round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept,
-  round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n
+  round(regr_r2(l_extendedprice, l_quantity), 9) AS r2, CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n
 FROM lineitem GROUP BY l_returnflag
 UNION ALL SELECT 'any', round(regr_slope(l_extendedprice, l_quantity), 4),
-  round(regr_intercept(l_extendedprice, l_quantity), 3), round(regr_r2(l_extendedprice, l_quantity), 6),
+  round(regr_intercept(l_extendedprice, l_quantity), 3), round(regr_r2(l_extendedprice, l_quantity), 9),
   CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) FROM lineitem""")
 def ols_trend(t: Tables) -> DataFrame:
     x, y = "l_quantity", "l_extendedprice"
@@ -220,7 +220,7 @@ def join_quality(t: Tables) -> DataFrame:
     by_part = t.lineitem.groupBy(F.col("l_partkey").alias("id_l"))
     pred = by_part.agg(F.when(q > 48, s).when(q >= 40, F.min("l_suppkey")).alias("id_r"))
     out = quality.join_quality(pred, by_part.agg(s.alias("id_r")))
-    return rounded(out, *out.columns, digits=9)
+    return rounded(out, *out.columns)
 
 
 @query("pair_set_quality", f"""
@@ -233,7 +233,7 @@ def pair_set_quality(t: Tables) -> DataFrame:
     ids = [F.col("l_partkey").alias("id_l"), F.col("l_suppkey").alias("id_r")]
     out = quality.pair_set_quality(t.lineitem.where("l_returnflag = 'A'").select(*ids),
                                    t.lineitem.where("l_returnflag = 'N'").select(*ids))
-    return rounded(out, *out.columns, digits=9)
+    return rounded(out, *out.columns)
 
 
 @query("set_intersect", f"{_PAIRS.format('A')} INTERSECT {_PAIRS.format('N')}")
@@ -256,7 +256,7 @@ def set_equality_check(t: Tables) -> DataFrame:
 
 @query("best_threshold_per_dataset", f"""
 WITH m AS (SELECT dataset, encoding, match_score, avg(roc_auc) AS f1 FROM {R} GROUP BY ALL)
-SELECT dataset, encoding, round(f1, 6) AS f1, match_score FROM (
+SELECT dataset, encoding, round(f1, 9) AS f1, match_score FROM (
   SELECT *, row_number() OVER (PARTITION BY dataset, encoding ORDER BY round(f1, 9) DESC, match_score) AS i FROM m)
 WHERE i = 1""")
 def best_threshold_per_dataset(t: Tables) -> DataFrame:
@@ -279,7 +279,7 @@ r AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY f1 DESC)
 m AS (SELECT encoding, avg(rk) AS mean_rank, count(*) AS n FROM r GROUP BY encoding),
 c AS (SELECT 12.0 * max(n) / (count(*) * (count(*) + 1)) *
         (sum(mean_rank * mean_rank) - count(*) * (count(*) + 1) * (count(*) + 1) / 4) AS chi2 FROM m)
-SELECT encoding, round(mean_rank, 6) AS mean_rank, n AS n_datasets, round(chi2, 6) AS chi2 FROM m, c""")
+SELECT encoding, round(mean_rank, 9) AS mean_rank, n AS n_datasets, round(chi2, 9) AS chi2 FROM m, c""")
 def friedman_average_ranks(t: Tables) -> DataFrame:
     return rounded(quality.friedman(_scores(t), "dataset", "encoding", "f1"), "mean_rank", "chi2")
 
@@ -303,7 +303,7 @@ def rank_avg_desc(t: Tables) -> DataFrame:
 WITH s AS (SELECT dataset, n_train, features, encoding, round(avg(roc_auc), 9) AS v FROM {R} GROUP BY ALL),
 r AS (SELECT *, rank() OVER (PARTITION BY dataset, n_train, features ORDER BY v DESC)
         + (count(*) OVER (PARTITION BY dataset, n_train, features, v) - 1) / 2.0 AS rk FROM s)
-SELECT encoding, n_train, features, round(avg(rk), 6) AS mean_rank FROM r GROUP BY ALL""")
+SELECT encoding, n_train, features, round(avg(rk), 9) AS mean_rank FROM r GROUP BY ALL""")
 def mean_rank(t: Tables) -> DataFrame:
     keys = ["dataset", "n_train", "features"]
     means = results(t).groupBy(*keys, "encoding").agg(F.round(F.avg("roc_auc"), 9).alias("v"))
@@ -326,7 +326,7 @@ def global_row_position(t: Tables) -> DataFrame:
 @query("global_max_normalise", """
 SELECT l_orderkey, l_linenumber, round(l_extendedprice / (SELECT max(l_extendedprice) FROM lineitem), 9) AS share FROM lineitem""")
 def global_max_normalise(t: Tables) -> DataFrame:
-    return rounded(tables.global_max_normalise(t.lineitem, "l_extendedprice", "share"), "share", digits=9).select(
+    return rounded(tables.global_max_normalise(t.lineitem, "l_extendedprice", "share"), "share").select(
         "l_orderkey", "l_linenumber", "share")
 
 
@@ -375,13 +375,13 @@ def explode_parallel(t: Tables) -> DataFrame:
 
 @query("percent_gain", """
 SELECT l_orderkey, l_linenumber, l_extendedprice - o_totalprice AS difference,
-  round(100.0 * (l_extendedprice - o_totalprice) / o_totalprice, 6) AS gain
+  round(100.0 * (l_extendedprice - o_totalprice) / o_totalprice, 9) AS gain
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
 def percent_gain_query(t: Tables) -> DataFrame:
     both = t.lineitem.join(t.orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
     return both.select(
         "l_orderkey", "l_linenumber", (F.col("l_extendedprice") - F.col("o_totalprice")).alias("difference"),
-        F.round(percent_gain("l_extendedprice", "o_totalprice"), 6).alias("gain"))
+        F.round(percent_gain("l_extendedprice", "o_totalprice"), 9).alias("gain"))
 
 
 # --------------------------------------------------------------------------- metrics
@@ -401,14 +401,14 @@ def _scored(t: Tables) -> DataFrame:
 
 @query("metric_accuracy", f"SELECT fold, round(avg(CAST(y = pred AS INT)), 9) AS accuracy FROM ({_SCORED}) GROUP BY fold")
 def metric_accuracy(t: Tables) -> DataFrame:
-    return rounded(accuracy(_scored(t), ["fold"], "y", "pred"), "accuracy", digits=9)
+    return rounded(accuracy(_scored(t), ["fold"], "y", "pred"), "accuracy")
 
 
 @query("metric_balanced_accuracy", f"""
 SELECT fold, round(avg(recall), 9) AS roc_auc_hard FROM (
   SELECT fold, y, avg(CAST(y = pred AS INT)) AS recall FROM ({_SCORED}) GROUP BY fold, y) GROUP BY fold""")
 def metric_balanced_accuracy(t: Tables) -> DataFrame:
-    return rounded(balanced_accuracy(_scored(t), ["fold"], "y", "pred"), "roc_auc_hard", digits=9)
+    return rounded(balanced_accuracy(_scored(t), ["fold"], "y", "pred"), "roc_auc_hard")
 
 
 @query("metric_roc_auc", f"""
@@ -417,7 +417,7 @@ WITH r AS (SELECT fold, y, rank() OVER (PARTITION BY fold ORDER BY score)
 SELECT fold, round((sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 9) AS roc_auc
 FROM r GROUP BY fold""")
 def metric_roc_auc(t: Tables) -> DataFrame:
-    return rounded(roc_auc(_scored(t), ["fold"], "y", "score"), "roc_auc", digits=9)
+    return rounded(roc_auc(_scored(t), ["fold"], "y", "score"), "roc_auc")
 
 
 @query("metric_roc_auc_ovr", """
@@ -428,7 +428,7 @@ a AS (SELECT c, (sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y)
 SELECT round(avg(auc), 9) AS roc_auc FROM a""")
 def metric_roc_auc_ovr(t: Tables) -> DataFrame:
     # the first ten coordinates serve as class scores
-    return rounded(roc_auc_ovr(t.embeddings, [], "label", "embedding", 10), "roc_auc", digits=9)
+    return rounded(roc_auc_ovr(t.embeddings, [], "label", "embedding", 10), "roc_auc")
 
 
 @query("metric_neg_mse", f"SELECT fold, round(-avg((price - price_pred) * (price - price_pred)), 2) AS neg_mean_squared_error FROM ({_SCORED}) GROUP BY fold")
@@ -438,18 +438,18 @@ def metric_neg_mse(t: Tables) -> DataFrame:
 
 
 @query("metric_r2", f"""
-SELECT fold, round(1 - sum((price - price_pred) * (price - price_pred)) / (var_pop(price) * count(*)), 6) AS r2
+SELECT fold, round(1 - sum((price - price_pred) * (price - price_pred)) / (var_pop(price) * count(*)), 9) AS r2
 FROM ({_SCORED}) GROUP BY fold""")
 def metric_r2(t: Tables) -> DataFrame:
     return rounded(regression_scores(_scored(t), ["fold"], "price", "price_pred").drop("neg_mean_squared_error"), "r2")
 
 
 @query("fold_metrics_table", f"""
-SELECT dataset, encoding, fold, round(avg(roc_auc), 6) AS roc_auc, max(match_score) AS accuracies
+SELECT dataset, encoding, fold, round(avg(roc_auc), 9) AS roc_auc, max(match_score) AS accuracies
 FROM {R} GROUP BY dataset, encoding, fold""")
 def fold_metrics_table(t: Tables) -> DataFrame:
     per_fold = results(t).groupBy("dataset", "encoding", "fold").agg(
-        F.round(F.avg("roc_auc"), 6).alias("roc_auc"), F.max("match_score").alias("accuracies"))
+        F.round(F.avg("roc_auc"), 9).alias("roc_auc"), F.max("match_score").alias("accuracies"))
     # a configuration has at most seven folds
     listed = F.sort_array(F.collect_list(F.struct("fold", "roc_auc", "accuracies")))
     records = per_fold.groupBy("dataset", "encoding").agg(listed.alias("s")).select(

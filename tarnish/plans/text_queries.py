@@ -10,29 +10,39 @@ from tarnish.plans.registry import Tables, query
 
 # --------------------------------------------------------------------------- n-grams in SQL
 
-WORDS = "regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+def gram_rows(source: str, keys: str, t: str, analyzer: str, lo: int, hi: int) -> str:
+    """One row ``(keys, gram)`` per n-gram occurrence of a text, as DuckDB SQL.
 
-
-def grams_sql(t: str, analyzer: str, lo: int, hi: int) -> str:
-    """List of all n-gram occurrences of a text, as DuckDB SQL."""
+    The prepared text is a column of the inner query: a lambda would prepare it per n-gram.
+    """
     sizes = f"range({lo}, {hi + 1})"
     if analyzer == "char":
         s = f"regexp_replace(lower({t}), '\\s\\s+', ' ', 'g')"
-        return (f"flatten(list_transform({sizes}, lambda n: list_transform("
-                f"range(1, length({s}) - n + 2), lambda i: substring({s}, i, n))))")
+        cols = f"{keys}, " if keys else ""
+        after = ", ".join(f"lead(c, {j}) OVER w AS c{j}" for j in range(1, hi))
+        parts = [" || ".join(["c", *[f"c{j}" for j in range(1, n)]]) for n in range(lo, hi + 1)]
+        return (f"SELECT {cols}gram FROM (SELECT {cols}unnest([{', '.join(parts)}]) AS gram FROM ("
+                f"SELECT {cols}c{', ' + after if after else ''} FROM ("
+                f"SELECT {cols}r, unnest(string_split(s, '')) AS c, unnest(range(length(s))) AS i FROM ("
+                f"SELECT {cols}row_number() OVER () AS r, {s} AS s FROM {source})) "
+                "WINDOW w AS (PARTITION BY r ORDER BY i))) WHERE gram IS NOT NULL")
     if analyzer == "word":
-        w = WORDS.format(t=t)
-        return (f"flatten(list_transform({sizes}, lambda n: list_transform("
-                f"range(1, len({w}) - n + 2), lambda i: array_to_string(list_slice({w}, i, i + n - 1), ' '))))")
-    words = f"list_filter(regexp_split_to_array(lower({t}), '\\s+'), lambda w: w <> '')"
-    return (f"flatten(list_transform({words}, lambda w: CASE WHEN length(w) + 2 < {lo} THEN [' ' || w || ' '] ELSE "
-            f"flatten(list_transform({sizes}, lambda n: list_transform(range(1, length(w) + 2 - n + 2), "
-            f"lambda i: substring(' ' || w || ' ', i, n)))) END))")
+        s = f"regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
+        g = (f"flatten(list_transform({sizes}, lambda n: list_transform("
+             f"range(1, len(s) - n + 2), lambda i: array_to_string(list_slice(s, i, i + n - 1), ' '))))")
+    else:
+        s = f"list_filter(regexp_split_to_array(lower({t}), '\\s+'), lambda w: w <> '')"
+        g = (f"flatten(list_transform(s, lambda w: CASE WHEN length(w) + 2 < {lo} THEN [' ' || w || ' '] ELSE "
+             f"flatten(list_transform({sizes}, lambda n: list_transform(range(1, length(w) + 2 - n + 2), "
+             f"lambda i: substring(' ' || w || ' ', i, n)))) END))")
+    cols = f"{keys}, " if keys else ""
+    return f"SELECT {cols}unnest({g}) AS gram FROM (SELECT {cols}{s} AS s FROM {source})"
 
 
 def _gram_query(table: str, key: str, c: str, analyzer: str, lo: int, hi: int) -> str:
-    return (f"SELECT {key}, gram, count(*) AS cnt FROM (SELECT {key}, "
-            f"unnest({grams_sql(c, analyzer, lo, hi)}) AS gram FROM {table}) GROUP BY ALL")
+    cols = f"{key}, " if key else ""
+    return (f"SELECT {cols}gram, count(*) AS cnt FROM ({gram_rows(table, key, c, analyzer, lo, hi)}) "
+            "GROUP BY ALL")
 
 
 @query("char_ngrams", _gram_query("customer", "c_custkey", "c_name", "char", 2, 4))
@@ -46,8 +56,7 @@ for _lo, _hi in ((1, 1), (1, 2), (1, 3), (2, 3)):
     query(f"char_ngrams_{_lo}_{_hi}", _gram_query("pages", "page_id", "url", "char", _lo, _hi))(_ranged)
 
 
-@query("char_ngrams_long_text", f"""
-SELECT gram, count(*) AS cnt FROM (SELECT unnest({grams_sql('text', 'char', 2, 4)}) AS gram FROM documents) GROUP BY gram""")
+@query("char_ngrams_long_text", _gram_query("documents", "", "text", "char", 2, 4))
 def char_ngrams_long_text(t: Tables) -> DataFrame:
     return text.gram_counts(t.documents, [], "text", "char", (2, 4))
 
@@ -195,8 +204,7 @@ _LENGTHS = f"""
 l AS (SELECT col, count(*) AS n_rows, avg(length(text)) AS mean_length, count(DISTINCT text) AS cardinality,
         avg({_N_WORDS}) AS words, avg({_U_WORDS}) AS uwords FROM ({_TEXTS}) GROUP BY col)"""
 _GRAMS = f"""
-g AS (SELECT col, gram, count(*) AS n FROM (SELECT col, unnest({grams_sql('text', 'char', 2, 4)}) AS gram
-        FROM ({_TEXTS})) GROUP BY ALL),
+g AS (SELECT col, gram, count(*) AS n FROM ({gram_rows(f"({_TEXTS})", 'col', 'text', 'char', 2, 4)}) GROUP BY ALL),
 s AS (SELECT col, count(*) AS ngrams, sum(n) AS total FROM g GROUP BY col)"""
 
 
@@ -269,7 +277,7 @@ def profile_ngram_quantiles(t: Tables) -> DataFrame:
 
 @query("profile_long_text", f"""
 WITH t AS (SELECT 'text' AS col, text FROM documents),
-g AS (SELECT gram, count(*) AS n FROM (SELECT unnest({grams_sql('text', 'char', 2, 4)}) AS gram FROM t) GROUP BY gram)
+g AS (SELECT gram, count(*) AS n FROM ({gram_rows('t', '', 'text', 'char', 2, 4)}) GROUP BY gram)
 SELECT 'text' AS col, (SELECT count(*) FROM g) AS ngrams,
   round((SELECT avg(length(text)) FROM t), 6) AS mean_length,
   round((SELECT sum(n) FROM g) / (SELECT count(*) FROM t), 6) AS prop_shared_ngrams_sum""")

@@ -55,4 +55,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    """Partitions for a stage that computes much per input byte.
+
+    Adaptive execution merges partitions by size, which would leave such a stage with few tasks.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    if spark.sparkContext.master.startswith("local"):
+        return cores
+    return max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
