@@ -109,35 +109,50 @@ def tfidf_fit_on_union(main: DataFrame, aux: DataFrame, row_id: str, text: str,
 
 # --------------------------------------------------------------------------- min-hash
 
-def minhash_distinct(texts: DataFrame, text: str, n_components: int, analyzer: str = "char",
-                     ngram_range: tuple[int, int] | None = None) -> DataFrame:
-    """``(text, v)``: per component the smallest seeded hash over the n-grams of a text.
+def _hashes(gram: Column, n_components: int, hashing: str) -> list[Column]:
+    """One hash in [0, 1) per component.
 
-    One md5 serves four components. The n-grams of a text are exploded and the minima are
-    partial aggregates, so a long text is no single row of work.
+    ``fast`` is Spark's seeded 64-bit hash; ``md5`` takes four components from one digest and
+    gives the same numbers in any engine. All are numbers, so that their minima are aggregated
+    in hash tables; minima of texts would be sorted.
+    """
+    if hashing == "fast":
+        # 53 bits fill a double exactly
+        return [F.shiftrightunsigned(F.xxhash64(F.lit(c), gram), 11) / F.lit(2.0 ** 53)
+                for c in range(n_components)]
+    if hashing != "md5":
+        raise ValueError("hashing should be 'fast' or 'md5'")
+    return [F.conv(F.substring(F.md5(F.concat(F.lit(f"{c // 4}:"), gram)), 1 + 8 * (c % 4), 8), 16, 10)
+            .cast("double") / F.lit(2.0 ** 32) for c in range(n_components)]
+
+
+def minhash_distinct(texts: DataFrame, key: str, text: str, n_components: int,
+                     analyzer: str = "char", ngram_range: tuple[int, int] | None = None,
+                     hashing: str = "fast") -> DataFrame:
+    """``(key, v)``: per component the smallest seeded hash over the n-grams of a text.
+
+    The n-grams are exploded next to the short key, never next to the text, and the minima are
+    partial aggregates.
     """
     lo_hi = ngram_range or ((2, 4) if analyzer == "char" else (1, 3))
-    seeds = range(-(-n_components // 4))
-    rows = texts.select(text).repartition(parallelism(texts.sparkSession), text)
+    rows = texts.select(key, text).repartition(parallelism(texts.sparkSession), key)
     grams = with_ngrams(rows, text, analyzer, lo_hi, "_g").select(
-        text, F.explode_outer(F.array_distinct("_g")).alias("_gram")).where("_gram is not null")
-    hashed = grams.select(text, *[
-        F.md5(F.concat(F.lit(f"{s}:"), F.col("_gram"))).alias(f"_h{s}") for s in seeds])
-    least = hashed.groupBy(text).agg(*[
-        F.min(F.substring(f"_h{c // 4}", 1 + 8 * (c % 4), 8)).alias(f"_c{c}")
-        for c in range(n_components)])
-    return least.select(text, F.array(*[
-        F.conv(F.col(f"_c{c}"), 16, 10).cast("double") / F.lit(2.0 ** 32)
-        for c in range(n_components)]).alias("v"))
+        key, F.explode_outer(F.array_distinct("_g")).alias("_gram")).where("_gram is not null")
+    least = grams.groupBy(key).agg(*[
+        F.min(h).alias(f"_c{c}") for c, h in enumerate(_hashes(F.col("_gram"), n_components, hashing))])
+    return least.select(key, F.array(*[F.col(f"_c{c}") for c in range(n_components)]).alias("v"))
 
 
 def minhash_encode(df: DataFrame, text: str, n_components: int = 30, analyzer: str = "char",
-                   out: str = "v") -> DataFrame:
+                   out: str = "v", hashing: str = "fast") -> DataFrame:
     """Min-hash of each distinct text, joined back; a missing or gramless text gets zeros."""
-    distinct = df.select(text).where(F.col(text).isNotNull()).distinct()
-    encoded = minhash_distinct(distinct, text, n_components, analyzer).withColumnRenamed("v", out)
+    keyed = df.withColumn("_key", F.md5(text))
+    distinct = keyed.select("_key", text).where(F.col(text).isNotNull()).distinct()
+    encoded = minhash_distinct(distinct, "_key", text, n_components, analyzer,
+                               hashing=hashing).withColumnRenamed("v", out)
     zeros = F.array_repeat(F.lit(0.0), n_components)
-    return df.join(encoded, text, "left").withColumn(out, F.coalesce(out, zeros))
+    return keyed.join(encoded, "_key", "left").drop("_key").withColumn(
+        out, F.coalesce(out, zeros))
 
 
 # --------------------------------------------------------------------------- pluggable encoders
@@ -199,7 +214,8 @@ class EncoderSpec:
 
 
 def encode(df: DataFrame, text: str, spec: str, out: str = "v",
-           models: dict[str, Callable[[list[str]], np.ndarray]] | None = None) -> DataFrame:
+           models: dict[str, Callable[[list[str]], np.ndarray]] | None = None,
+           hashing: str = "fast") -> DataFrame:
     """Encode a column by specification.
 
     Min-hash is built in; any other type is looked up in ``models``, by full name or by type.
@@ -207,7 +223,7 @@ def encode(df: DataFrame, text: str, spec: str, out: str = "v",
     parsed = EncoderSpec.parse(spec)
     if parsed.kind == "skrub":
         n, analyzer = parsed.minhash()
-        return minhash_encode(df, text, n, analyzer, out)
+        return minhash_encode(df, text, n, analyzer, out, hashing)
     model = (models or {}).get(spec) or (models or {}).get(parsed.kind)
     if model is None:
         raise ValueError(f"no model registered for {spec!r}")

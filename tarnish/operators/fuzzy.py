@@ -83,15 +83,16 @@ def _digest(*parts: Column) -> Column:
 
 
 def _distinct_main(main: DataFrame, columns: list[str]) -> DataFrame:
-    return main.where("k is not null").groupBy("k").agg(
-        F.count(F.lit(1)).alias("m"), *[F.first(c).alias(c) for c in columns])
+    return main.where("k is not null").groupBy("k", *columns).agg(F.count(F.lit(1)).alias("m"))
 
 
 def _distinct_aux(aux: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per distinct key: its lowest order, that row, and the values to compare."""
-    return aux.where("k is not null").groupBy("k").agg(
-        F.count(F.lit(1)).alias("m"), F.min("o").alias("o"),
-        F.min_by("row", "o").alias("row"), *[F.first(c).alias(c) for c in columns])
+    """One row per distinct key: its lowest order, that row, and the values to compare.
+
+    The values follow from the key; grouping by them too spares an aggregate over them.
+    """
+    return aux.where("k is not null").groupBy("k", *columns).agg(
+        F.count(F.lit(1)).alias("m"), F.min("o").alias("o"), F.min_by("row", "o").alias("row"))
 
 
 def fuzzy_matches(

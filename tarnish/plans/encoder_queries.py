@@ -113,13 +113,13 @@ FROM (SELECT {key}, unnest(range({n}))::INT AS dim FROM {table}) LEFT JOIN m USI
 
 @query("minhash_encode", _minhash_sql("customer", "c_custkey", "c_name", "char", 2, 4, 30))
 def minhash_encode(t: Tables) -> DataFrame:
-    return encoders.encode(t.customer, "c_name", "skrub__minhash_30").select(
+    return encoders.encode(t.customer, "c_name", "skrub__minhash_30", hashing="md5").select(
         "c_custkey", F.posexplode("v").alias("dim", "value"))
 
 
 @query("minhash_encode_word", _minhash_sql("benchmark", "item_id", "text", "word", 1, 3, 10))
 def minhash_encode_word(t: Tables) -> DataFrame:
-    return encoders.encode(t.benchmark, "text", "skrub__minhash_10_word_none").select(
+    return encoders.encode(t.benchmark, "text", "skrub__minhash_10_word_none", hashing="md5").select(
         "item_id", F.posexplode("v").alias("dim", "value"))
 
 

@@ -101,7 +101,8 @@ def vector_cache(t: Tables) -> DataFrame:
     names = t.part.select(F.col("p_name").alias("text"))
 
     def model(texts: DataFrame) -> DataFrame:
-        return minhash_distinct(texts, "text", 4)
+        keyed = texts.withColumn("k", F.md5("text"))
+        return keyed.join(minhash_distinct(keyed, "k", "text", 4), "k")
 
     # fill from one part type, see what another sample lacks, then encode the whole table
     cache.encode(t.part.where("p_type = 'ECONOMY'"), "p_name", "part", "minhash_4", model)
