@@ -15,6 +15,8 @@ def get_session(app: str = "tarnish", master: str | None = None, **conf) -> Spar
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # stages here compute much per byte: small partitions are worth a task
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     settings.update({k: str(v) for k, v in conf.items()})
