@@ -68,10 +68,8 @@ def _kind(dtype: T.DataType) -> str:
     return "time" if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)) else "text"
 
 
-def _as_number(df: DataFrame, name: str, kind: str) -> Column:
-    if kind == "time":
-        return F.unix_seconds(F.col(f"`{name}`").cast("timestamp")).cast("double")
-    return F.col(f"`{name}`").cast("double")
+def _as_number(c: Column, kind: str) -> Column:
+    return (F.unix_seconds(c.cast("timestamp")) if kind == "time" else c).cast("double")
 
 
 def _digest(*parts: Column) -> Column:
@@ -142,30 +140,31 @@ def fuzzy_matches(
     order = _names(order_by, "order_by") or list(aux.columns)
 
     def prepare(df: DataFrame, side: int) -> DataFrame:
-        out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), "*")
+        """``(row, k, [o], [v | t], [raw])``; the table's own columns stay inside ``row``."""
+        def of(c: str) -> Column:
+            return F.col(f"row.`{c}`")
+
+        out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
         vector = (main_vectors, aux_vectors)[side]
         parts: list[Column] = []
         missing = F.lit(False)
         if vector is not None:
-            out = out.withColumn("v", F.col(f"`{vector}`").cast("array<double>"))
+            out = out.withColumn("v", of(vector).cast("array<double>"))
             parts.append(F.col("v"))
         elif texts:
-            out = out.withColumn("t", key_text(*[F.col(f"`{p[side]}`") for p in texts]))
+            out = out.withColumn("t", key_text(*[of(p[side]) for p in texts]))
             parts.append(F.col("t"))
             if not null_as_text:
                 for p in texts:
-                    missing = missing | F.col(f"`{p[side]}`").isNull()
+                    missing = missing | of(p[side]).isNull()
         if numbers:
-            out = out.withColumn("raw", F.array(*[_as_number(df, p[side], p[2]) for p in numbers]))
+            out = out.withColumn("raw", F.array(*[_as_number(of(p[side]), p[2]) for p in numbers]))
             parts += [F.get("raw", F.lit(i)) for i in range(len(numbers))]
         out = out.withColumn("k", F.when(~missing, _digest(*parts)))
         if side == 1:
-            key = F.col(f"`{order[0]}`") if len(order) == 1 else F.concat_ws(
-                "\x01", *[F.col(f"`{c}`").cast("string") for c in order])
-            out = out.withColumn("o", key)
-        kept = ["row", "k", *(["o"] if side else []),
-                *[c for c in ("v", "t", "raw") if c in out.columns[-6:]]]
-        return out.select(*dict.fromkeys(kept))
+            out = out.withColumn("o", of(order[0]) if len(order) == 1 else F.concat_ws(
+                "\x01", *[of(c).cast("string") for c in order]))
+        return out
 
     main_rows, aux_rows = prepare(main, 0), prepare(aux, 1)
     values = [c for c in ("v", "t", "raw") if c in main_rows.columns]
