@@ -56,7 +56,7 @@ def truncated_svd(long: DataFrame, row_id: str, k: int = 30, train: Column | Non
                   n_iter: int = 3, oversample: int = 10, dimensions: int = 2 ** 14) -> DataFrame:
     """``(row_id, v)``: projection of sparse rows ``(row_id, dim, w)`` on ``k`` singular vectors.
 
-    No centring. Randomised subspace iteration (Halko, Martinsson, Tropp 2011): each pass is one
+    Weights are n-gram weights, so never negative. No centring. Randomised subspace iteration (Halko, Martinsson, Tropp 2011): each pass is one
     sum per row and one sum per dimension over the long table; only the ``dimensions x k`` basis,
     of fixed size, visits the driver. Dimensions are hashed, so ``dim`` stays below ``dimensions``.
     """

@@ -233,6 +233,8 @@ def test_pca_and_svd(spark):
     want = c @ (vt * np.sign(vt[np.arange(2), np.abs(vt).argmax(1)])[:, None]).T
     got = np.array([r.v for r in reduction.pca_reduce(df, "v", 2).orderBy("i").collect()])
     assert np.allclose(got, want, atol=1e-6)
+    x = np.abs(x)
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "i int, v array<double>")
     long = df.select("i", F.posexplode("v").alias("dim", "w"))
     got = np.array([r.v for r in reduction.truncated_svd(long, "i", 2, n_iter=6).orderBy("i").collect()])
     s = np.linalg.svd(x, full_matrices=False)[1][:2]
