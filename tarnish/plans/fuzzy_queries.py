@@ -276,8 +276,8 @@ def flagship(t: Tables) -> DataFrame:
 
 
 @query("fuzzy_join_pair_quality", _URLS + """,
-p AS (SELECT DISTINCT mid, aid FROM m), v AS (SELECT count(*) FILTER (mid = aid) / count(*) AS precision,
-  count(*) FILTER (mid = aid) / (SELECT count(*) FROM pages) AS recall FROM p)
+pairs AS (SELECT DISTINCT mid, aid FROM m), v AS (SELECT count(*) FILTER (mid = aid) / count(*) AS precision,
+  count(*) FILTER (mid = aid) / (SELECT count(*) FROM pages) AS recall FROM pairs)
 SELECT round(precision, 9) AS precision, round(recall, 9) AS recall,
   round(2 * precision * recall / (precision + recall), 9) AS f1 FROM v""")
 def fuzzy_join_pair_quality(t: Tables) -> DataFrame:
