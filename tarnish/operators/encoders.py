@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tarnish.functions.text import encoder_input, gram_counts, newlines_to_blanks, with_ngrams
 from tarnish.operators.clean import text_columns
-from tarnish.session import parallelism
+from tarnish.session import materialise, parallelism
 
 # A number and a date as text.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -87,7 +87,9 @@ def tfidf_vectorizer(df: DataFrame, row_id: str, text: str, analyzer: str = "cha
     """
     fitted = F.lit(True) if fit_on is None else fit_on
     rows = df.select(row_id, text, fitted.alias("_fit"))
-    counts = gram_counts(rows, [row_id, "_fit"], text, analyzer, ngram_range, by=[row_id])
+    # read twice: for the frequencies and for the weights
+    counts = materialise(gram_counts(rows, [row_id, "_fit"], text, analyzer, ngram_range,
+                                     by=[row_id]), "grams")
     seen = counts.groupBy("gram").agg(F.count(F.when(F.col("_fit"), 1)).alias("df")).where("df > 0")
     n = rows.agg(F.count(F.when(F.col("_fit"), 1))).scalar()
     idf = seen.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)

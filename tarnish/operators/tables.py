@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from tarnish.operators.ordering import sorted_positions
 
 
 def inner_join_on(left: DataFrame, right: DataFrame, on: list[str],
@@ -144,5 +146,5 @@ def explode_parallel(df: DataFrame, arrays: list[str]) -> DataFrame:
 
 
 def row_position(df: DataFrame, keys: list[str], by: str, out: str = "position") -> DataFrame:
-    """1-based position inside a bounded group (an order, a conversation)."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(by)))
+    """1-based position inside a group in the order of a unique number; large groups are split."""
+    return sorted_positions(df, keys, by, out).withColumn(out, F.col(out) + 1)

@@ -312,7 +312,7 @@ def mean_rank(t: Tables) -> DataFrame:
 
 
 @query("row_position", """
-SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS position FROM conversations""")
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations""")
 def row_position(t: Tables) -> DataFrame:
     return tables.row_position(t.conversations, ["conv_id"], "turn").select("conv_id", "turn", "position")
 

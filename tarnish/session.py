@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders of local sessions that name none, by application.
+_LOCAL_SCRATCH: dict[str, str] = {}
+
 
 def get_session(app: str = "tarnish", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators rely on (all can be overridden)."""
@@ -39,9 +42,10 @@ def scratch_dir(spark: SparkSession) -> str:
         return path
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    path = tempfile.mkdtemp(prefix="tarnish-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="tarnish-")
+    return _LOCAL_SCRATCH[app]
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
