@@ -128,6 +128,10 @@ def hashed_positions(df: DataFrame, keys: list[str], digest: str, tie: list[str]
 
 def sorted_positions(df: DataFrame, keys: list[str], by: str, out: str = "position") -> DataFrame:
     """0-based position of each row in the order of a unique numeric column, per group."""
+    if keys:
+        # without ties a rank is a position
+        ranked = average_ranks(df, keys, by, out, descending=False)
+        return ranked.withColumn(out, F.col(out).cast("bigint") - 1)
     prepared = (df.withColumn("_splits", range_splits(df, by))
                 .withColumn("_b", bucket_of(F.col(by), F.col("_splits"))).drop("_splits")
                 .withColumn("_one", F.lit(1)))

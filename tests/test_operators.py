@@ -262,3 +262,11 @@ def test_scaling_against_numpy(spark):
 def test_decimal_comma(spark):
     df = frame(spark, [("1,4E+09",), ("Unknown",), ("7",), ("bad",)], "n string")
     assert [r.v for r in df.select(decimal_comma("n").alias("v")).collect()] == [1.4e9, None, 7.0, None]
+
+
+def test_positions(spark):
+    rows = [("a", 5), ("a", 2), ("a", 9), ("b", 1)]
+    df = frame(spark, rows, "g string, v int")
+    got = {(r.g, r.v): r.position for r in tables.row_position(df, ["g"], "v").collect()}
+    assert got == {("a", 2): 1, ("a", 5): 2, ("a", 9): 3, ("b", 1): 1}
+    assert {r.v: r.position for r in ordering.sorted_positions(df, [], "v").collect()} == {1: 0, 2: 1, 5: 2, 9: 3}
