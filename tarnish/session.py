@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import contextvars
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Folders of local sessions that name none, by application.
-_LOCAL_SCRATCH: dict[str, str] = {}
+# Paths written within each open scratch_scope, outermost first.
+_SCOPES: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 def get_session(app: str = "tarnish", master: str | None = None, **conf) -> SparkSession:
@@ -32,20 +33,13 @@ def get_session(app: str = "tarnish", master: str | None = None, **conf) -> Spar
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder for intermediates: ``spark.checkpoint.dir``, else one in the warehouse.
 
-    Only a local session may fall back to a folder of its own: on a cluster a machine-local
-    folder would vanish with the machine that holds it.
+    Every Spark session names a warehouse, and all executors share it; a machine's own
+    temporary folder is never used.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="tarnish-")
-    return _LOCAL_SCRATCH[app]
+    return path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tarnish-scratch"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -53,11 +47,43 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
     Used where a plan reads the same expensive intermediate several times. The written table
     survives the loss of any executor and keeps column pruning, unlike a cached partition.
+    Inside :func:`scratch_scope` it goes when the scope ends; :func:`discard` removes it sooner.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tarnish/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for scope in _SCOPES.get():
+        scope.append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that :func:`materialise` wrote, and nothing else."""
+    for table in tables:
+        _delete(table.sparkSession, table.scratch_path)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Remove, at the end, every table that was materialised inside.
+
+    What the caller still needs must have been written by then.
+    """
+    mine: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), mine))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in mine:
+            _delete(spark, path)
 
 
 def parallelism(spark: SparkSession) -> int:
