@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnish.llm import quality_rules
+from tarnish.llm import quality_rules, simhash, token_counts
 from tarnish.plans.registry import Query
 from tarnish.sources.files import table
 
@@ -73,3 +73,17 @@ def host_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, folder, "documents").select("doc_id", "source", "text"))
     return judged.select("doc_id", *[F.col(f"quality.{m}") for m in quality_rules.MEASURES],
                          "quality.base_failed", "quality.kept")
+
+
+@query("op8_whole_token_counts")
+def whole_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    counted = token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query("op9_simhash_vantage_tree")
+def simhash_vantage_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
