@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnish.llm import quality_rules, simhash, token_counts
+from tarnish.llm import minhash, quality_rules, simhash, token_counts
 from tarnish.plans.registry import Query
 from tarnish.sources.files import table
 
@@ -87,3 +87,8 @@ def whole_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_simhash_vantage_tree")
 def simhash_vantage_tree(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op10_minhash_fingerprints")
+def minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.against_next(table(spark, folder, "documents"))
