@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnish.llm import minhash, quality_rules, simhash, token_counts
+from tarnish.llm import minhash, mixing, packing, quality_rules, simhash, token_counts
 from tarnish.plans.registry import Query
 from tarnish.sources.files import table
 
@@ -92,3 +92,18 @@ def simhash_vantage_tree(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_minhash_fingerprints")
 def minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.against_next(table(spark, folder, "documents"))
+
+
+@query("op7_minimum_bin_slack")
+def minimum_bin_slack(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    made = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")).select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(made)
+
+
+@query("op2_entropy_balancing")
+def entropy_balancing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    return mixing.mix(docs).select("doc_id", "size", "mix.source_size", "mix.target", "mix.taken", "mix.rate")
