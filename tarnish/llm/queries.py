@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnish.llm import chat, minhash, mixing, packing, quality_rules, sharding, simhash, token_counts
+import corpus_pipeline
+from tarnish.llm import chat, line_dedup, minhash, mixing, packing, quality_rules, sharding, simhash, token_counts, url_rules
 from tarnish.plans.registry import Query
 from tarnish.sources.files import table
 
@@ -135,3 +136,27 @@ def sampled_splitters(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(records, 8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+URL_RULES = [url_rules.UrlRule(*x) for x in (
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
+
+
+@query("op3_association_rules")
+def association_rules(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return url_rules.decide(pages, URL_RULES).select("page_id", "decision.host", "decision.path", "decision.rule",
+                                                     "decision.verdict", "decision.mined")
+
+
+@query("op5_patience_line_dedup")
+def patience_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = line_dedup.deduplicate(table(spark, folder, "documents").select("doc_id", "text"))
+    deleted = F.aggregate("blocks", F.lit(0).cast("bigint"), lambda n, b: n + b["words"])
+    return done.select("doc_id", "text", deleted.alias("deleted_words"), F.array_sort(F.array_distinct(
+        F.transform("blocks", lambda b: b["partner"]))).alias("partners"), "blocks")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
