@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tarnish.functions.text import encoder_input, gram_counts, newlines_to_blanks, with_ngrams
 from tarnish.operators.clean import text_columns
+from tarnish.operators.ordering import global_positions
 from tarnish.session import materialise, parallelism
 
 # A number and a date as text.
@@ -254,16 +255,10 @@ def one_hot_long(df: DataFrame, row_id: str, columns: list[str], train: Column)
         row_id, F.concat_ws("=", "name", "v").alias("feature"))
 
 
-def ordinal_encode(df: DataFrame, column: str, train: Column, out: str,
-                   max_values: int = 100_000) -> DataFrame:
-    """Position among the sorted training categories, -1 for an unknown one.
-
-    For low-cardinality columns: the category list is checked against ``max_values``.
-    """
-    known = df.where(train).select(column).where(F.col(column).isNotNull()).distinct().limit(
-        max_values + 1).agg(F.sort_array(F.collect_set(column)).alias("c"))
-    index = known.select(F.when(
-        F.size("c") > max_values, F.raise_error(F.lit("too many categories")))
-        .otherwise(F.col("c")).alias("c")).select(F.posexplode("c").alias("_i", column))
-    return df.join(index, column, "left").withColumn(
-        out, F.coalesce(F.col("_i"), F.lit(-1)).cast("bigint")).drop("_i").select(*df.columns, out)
+def ordinal_encode(df: DataFrame, column: str, train: Column, out: str) -> DataFrame:
+    """Position among the sorted training categories, however many; -1 for an unknown one."""
+    known = df.where(train).select(F.col(column).alias("_value")).where("_value is not null").distinct()
+    index = global_positions(known, [F.asc("_value")], "_index")
+    columns = [c for c in df.columns if c != out]
+    return df.join(index, F.col(column) == F.col("_value"), "left").select(
+        *columns, F.coalesce(F.col("_index"), F.lit(-1)).cast("bigint").alias(out))

@@ -93,6 +93,43 @@ def _distinct_aux(aux: DataFrame, columns: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("m"), F.min("o").alias("o"), F.min_by("row", "o").alias("row"))
 
 
+@dataclass(frozen=True)
+class JoinKeys:
+    """The searched (main) and the searching table, and their key columns by kind."""
+
+    main: DataFrame
+    aux: DataFrame
+    main_on: list[str]
+    aux_on: list[str]
+    kinds: list[str]
+
+    @classmethod
+    def of(cls, left: DataFrame, right: DataFrame, how: str, on: list[str], left_on: list[str],
+           right_on: list[str]) -> JoinKeys:
+        sides = [(left, on or left_on), (right, on or right_on)]
+        if how == "right":
+            sides.reverse()
+        elif how != "left":
+            raise ValueError(f"a fuzzy join goes left or right, not {how!r}")
+        (main, main_on), (aux, aux_on) = sides
+        if not (main_on and aux_on):
+            raise KeyError("key columns are missing: name them with on, or with left_on and right_on")
+        kinds, others = ([_kind(df.schema[c].dataType) for c in names] for df, names in sides)
+        if len(kinds) != len(others):
+            raise ValueError("left_on and right_on differ in length")
+        if kinds != others:
+            raise TypeError(f"keys of kinds {kinds} can't be compared with {others}")
+        return cls(main, aux, main_on, aux_on, kinds)
+
+    @property
+    def texts(self) -> list[tuple[str, str]]:
+        return [(m, a) for m, a, k in zip(self.main_on, self.aux_on, self.kinds) if k == "text"]
+
+    @property
+    def numbers(self) -> list[tuple[str, str, str]]:
+        return [x for x in zip(self.main_on, self.aux_on, self.kinds) if x[2] != "text"]
+
+
 def fuzzy_matches(
     left: DataFrame, right: DataFrame, how: str = "left",
     left_on=None, right_on=None, on=None, *,
@@ -111,31 +148,18 @@ def fuzzy_matches(
     default all aux columns). ``null_as_text`` compares a missing text as ``nan``; otherwise such
     rows stay unmatched, as rows with a missing number or time always do.
     """
-    if analyzer not in ANALYZERS:
-        raise ValueError(f"analyzer should be one of {ANALYZERS}, got {analyzer!r}")
-    if how not in ("left", "right"):
-        raise ValueError(f"how should be 'left' or 'right', got {how!r}")
-    if encoder is not None and not callable(encoder):
-        raise ValueError("encoder should be a callable from distinct texts to vectors")
-    on, left_on, right_on = _names(on, "on"), _names(left_on, "left_on"), _names(right_on, "right_on")
-    if on:
-        left_on = right_on = on
-    if not left_on or not right_on:
-        raise KeyError("either 'on' or both 'left_on' and 'right_on' should be given")
-    if len(left_on) != len(right_on):
-        raise ValueError("'left_on' and 'right_on' should have the same length")
-    main, aux, main_on, aux_on = (
-        (left, right, left_on, right_on) if how == "left" else (right, left, right_on, left_on))
-
-    kinds = [_kind(main.schema[c].dataType) for c in main_on]
-    if kinds != [_kind(aux.schema[c].dataType) for c in aux_on]:
-        raise TypeError("key columns of the two tables should have matching types")
-    texts = [(m, a) for m, a, k in zip(main_on, aux_on, kinds) if k == "text"]
-    numbers = [(m, a, k) for m, a, k in zip(main_on, aux_on, kinds) if k != "text"]
-    if (main_vectors is None) != (aux_vectors is None):
-        raise ValueError("vectors should be given for both tables or for none")
-    if main_vectors is not None and numbers:
-        raise ValueError("ready-made vectors need text keys only")
+    keys = JoinKeys.of(left, right, how, _names(on, "on"), _names(left_on, "left_on"), _names(right_on, "right_on"))
+    main, aux, main_on, aux_on = keys.main, keys.aux, keys.main_on, keys.aux_on
+    texts, numbers = keys.texts, keys.numbers
+    choices = {"analyzer": (analyzer, ANALYZERS)}
+    for name, (given, allowed) in choices.items():
+        if given not in allowed:
+            raise ValueError(f"{name}={given!r} is none of {', '.join(allowed)}")
+    if not (encoder is None or callable(encoder)):
+        raise ValueError("an encoder is called with the distinct texts")
+    ready = [v for v in (main_vectors, aux_vectors) if v is not None]
+    if len(ready) == 1 or (ready and numbers):
+        raise ValueError("vectors come for both tables, and take the place of text keys only")
 
     order = _names(order_by, "order_by") or list(aux.columns)
 

@@ -8,9 +8,11 @@ not repeated, so copies never pile up in one bucket.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tarnish.session import parallelism
+from tarnish.session import materialise, parallelism
 
 
 def range_splits(df: DataFrame, value: str, buckets: int | None = None) -> Column:
@@ -48,7 +50,10 @@ def running_totals(df: DataFrame, keys: list[str], bucket: str, order: list[Colu
     offsets = totals.select(*keys, bucket, *[
         F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_o_{out}")
         for out in weights.values()])
-    joined = df.join(offsets, [*keys, bucket])
+    # null keys are a group like any other
+    renamed = offsets.withColumnsRenamed({c: f"_k_{c}" for c in [*keys, bucket]})
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*keys, bucket]]
+    joined = df.join(renamed, reduce(lambda a, b: a & b, same))
     inside = (Window.partitionBy(*keys, bucket).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, -1))
     return joined.select(*df.columns, *[
@@ -126,6 +131,22 @@ def hashed_positions(df: DataFrame, keys: list[str], digest: str, tie: list[str]
         out, F.col(out).cast("bigint"))
 
 
+def global_positions(df: DataFrame, by: list[Column], out: str = "position") -> DataFrame:
+    """0-based position of each row in the order ``by``, of any sortable type.
+
+    One range shuffle, sorted inside its partitions; a table with one row per partition links
+    them. The sorted rows are written, so that every later read numbers them alike.
+    """
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = materialise(ranged.withColumn("_at", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("_at", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return ranged.withColumn("_part", part).join(starts, "_part").select(
+        *df.columns, (F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(out))
+
+
 def sorted_positions(df: DataFrame, keys: list[str], by: str, out: str = "position") -> DataFrame:
     """0-based position of each row in the order of a unique numeric column, per group."""
     if keys:

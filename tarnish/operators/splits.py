@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tarnish.functions.scalars import seeded_hash
-from tarnish.operators.ordering import hash_bucket, hashed_positions, sorted_positions
-
-# Up to this many groups are balanced one by one; beyond, groups are dealt out by size rank.
-GREEDY_GROUPS = 10_000
-
+from tarnish.operators.ordering import (global_positions, hash_bucket, hashed_positions,
+                                        sorted_positions)
+from tarnish.session import materialise
 
 def shuffle_limit(df: DataFrame, max_rows: int, row_id: str, seed: int = 42) -> DataFrame:
     """Sample of ``max_rows`` rows: the first in seeded order, kept as a top-k per task."""
@@ -18,10 +16,9 @@ def shuffle_limit(df: DataFrame, max_rows: int, row_id: str, seed: int = 42) ->
 
 
 def check_split_sizes(n_rows: int, n_train: int, n_test: int | None) -> None:
-    if n_train > n_rows:
-        raise ValueError(f"n_train={n_train} is greater than the number of rows: {n_rows}")
-    if n_test is not None and n_test > n_rows - n_train:
-        raise ValueError(f"n_test={n_test} is greater than the remaining rows: {n_rows - n_train}")
+    wanted = n_train + (n_test or 0)
+    if wanted > n_rows:
+        raise ValueError(f"a split of {wanted} rows was asked for, the table has {n_rows}")
 
 
 def fixed_size_split(df: DataFrame, row_id: str, n_train: int, n_test: int | None = None,
@@ -70,52 +67,53 @@ def stratified_kfold(df: DataFrame, y: str, row_id: str, k: int = 5, seed: int =
     return placed.withColumn("fold", F.col("position") % k).drop("_h", "position")
 
 
-def group_folds(df: DataFrame, group: str, k: int = 5,
-                greedy_limit: int = GREEDY_GROUPS) -> DataFrame:
+def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """``(group, n, fold)``: groups never cross folds.
 
-    Largest group first into the lightest fold, on the small table of group sizes; with more
-    groups than ``greedy_limit`` they are dealt out back and forth in the order of their size.
+    Largest group first (equal ones in the order of ``group``), each into the fold that is
+    lightest then. Groups of equal size go round the folds in an order that only their starting
+    loads decide, so the choice is made once per size and not per group; ``r`` rows have at most
+    ``sqrt(2 r)`` different group sizes.
+    """
+    sizes = materialise(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    classes = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n")).collect()
+    laps = df.sparkSession.createDataFrame(
+        deal_out([(c.n, c.m) for c in classes], k), "_n bigint, _first bigint, _last bigint, _folds array<bigint>")
+    placed = global_positions(sizes, [F.desc("n"), F.asc(group)], "_position")
+    at = F.col("_position")
+    found = placed.join(laps, (F.col("n") == F.col("_n")) & at.between(F.col("_first"), F.col("_last")))
+    turn = (at - F.col("_first")) % F.size("_folds")
+    return found.select(group, "n", F.get("_folds", turn.cast("int")).alias("fold"))
+
+
+def deal_out(classes: list[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """``(size, first, last, folds)``: the groups from position ``first`` to ``last`` take the
+    folds in turn. ``classes`` has size and number of groups, largest size first.
+
+    A fold with load ``q * size + r`` is next in line at ``q``, then ``q + 1`` and so on: on each
+    such level the folds that have reached it take one group each, in order of ``r``.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    if sizes.count() > greedy_limit:
-        # equally sized groups are common, so the size alone is no unique order
-        ranked = sorted_positions_by_size(sizes, group)
-        lap, place = F.floor(F.col("position") / k), F.col("position") % k
-        return ranked.select(group, "n", F.when(lap % 2 == 0, place).otherwise(
-            F.lit(k - 1) - place).cast("bigint").alias("fold"))
-    listed = sizes.agg(F.sort_array(F.collect_list(
-        F.struct((-F.col("n")).alias("neg"), F.col(group).alias("g")))).alias("groups"))
-    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), k).alias("loads"),
-                     F.array().cast("array<bigint>").alias("folds"))
-
-    def place_one(acc, item):
-        lightest = F.array_position(acc["loads"], F.array_min(acc["loads"])) - 1
-        loads = F.transform(acc["loads"], lambda load, i: F.when(
-            i == lightest, load - item["neg"]).otherwise(load))
-        return F.struct(loads.alias("loads"),
-                        F.concat(acc["folds"], F.array(lightest.cast("bigint"))).alias("folds"))
-
-    folds = listed.select("groups", F.aggregate("groups", start, place_one)["folds"].alias("folds"))
-    return folds.select(F.inline(F.arrays_zip("groups", "folds"))).select(
-        F.col("groups.g").alias(group), (-F.col("groups.neg")).alias("n"), F.col("folds").alias("fold"))
-
-
-def sorted_positions_by_size(sizes: DataFrame, group: str) -> DataFrame:
-    """Position by size, largest first, equal sizes in md5 order of the group."""
-    from tarnish.operators.ordering import running_totals
-
-    prepared = sizes.withColumn("_h", F.md5(F.col(group).cast("string"))).withColumn(
-        "_one", F.lit(1)).withColumn(
-        "_b", -F.col("n") * 4096 + hash_bucket("_h"))
-    return running_totals(prepared, [], "_b", [F.col("_h").asc(), F.col(group).asc()],
-                          {"_one": "position"}).drop("_b", "_one", "_h")
+    loads, laps, position = [0] * k, [], 0
+    for size, groups in classes:
+        levels = sorted({load // size for load in loads})
+        for level, above in zip(levels, [*levels[1:], None]):
+            turns = sorted((load % size, f) for f, load in enumerate(loads) if load // size <= level)
+            folds = [f for _, f in turns]
+            count = groups if above is None else min(groups, (above - level) * len(folds))
+            if count:
+                laps.append((size, position, position + count - 1, folds))
+            for i, f in enumerate(folds):
+                loads[f] += size * (count // len(folds) + (i < count % len(folds)))
+            groups, position = groups - count, position + count
+            if not groups:
+                break
+    return laps
 
 
 def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     """Rows with the fold of their group; a group of any size is one row of the lookup."""
-    return df.join(group_folds(df, group, k).select(group, "fold"), group).select(
-        *df.columns, "fold")
+    folds = group_folds(df, group, k).select(F.col(group).alias("_group"), "fold")
+    return df.join(folds, F.col(group).eqNullSafe(F.col("_group"))).select(*df.columns, "fold")
 
 
 def split_size_guard(grid: DataFrame, rows: str = "n_rows", n_train: str = "n_train",

@@ -46,19 +46,20 @@ def lookup_join_back(df: DataFrame, text: str, encode) -> DataFrame:
     return df.join(encode(df.select(text).where(F.col(text).isNotNull()).distinct()), text, "left")
 
 
-def grid(first: DataFrame, **lists: Column) -> DataFrame:
-    """Every combination of the rows of ``first`` with the values of some short lists."""
+def grid(first: DataFrame, **lists: Column | DataFrame) -> DataFrame:
+    """Every combination of the rows of ``first`` with the values of each list.
+
+    A list is an array column, or a table of one column whose distinct values count. The product
+    is what is asked for here: its size is that of the result.
+    """
     for name, values in lists.items():
-        first = first.withColumn(name, F.explode(values))
+        if isinstance(values, DataFrame):
+            first = first.crossJoin(values.toDF(name).distinct())
+        else:
+            first = first.withColumn(name, F.explode(values))
     return first
 
 
-def short_list(df: DataFrame, column: str, limit: int = 1000) -> Column:
-    """Sorted distinct values of a configuration column as one array (at most ``limit``)."""
-    return df.select(column).distinct().limit(limit).agg(
-        F.sort_array(F.collect_set(column))).scalar()
-
-
 def numeric_columns(df: DataFrame, besides: list[str]) -> list[str]:
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, T.NumericType) and f.name not in besides]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tarnish.functions import vectors
 from tarnish.operators import encoders, reduction, scaling
 from tarnish.operators.models import pairing_rules, table_vectorizer
-from tarnish.operators.tables import grid, short_list
+from tarnish.operators.tables import grid
 from tarnish.plans.registry import Tables, query
 from tarnish.plans.table_queries import rounded
 from tarnish.plans.text_queries import gram_rows
@@ -264,8 +264,8 @@ SELECT m, model, encoding, dim_reduction FROM n
 WHERE NOT (dim_reduction = 'passthrough' AND model = 'GradientBoostingClassifier' AND encoding LIKE 'lm\\_\\_%' ESCAPE '\\')
   AND NOT (dim_reduction <> 'passthrough' AND starts_with(encoding, 'skrub'))""")
 def pairing_rules_query(t: Tables) -> DataFrame:
-    configs = grid(t.part.select(F.col("p_type").alias("m")).distinct(), b=short_list(t.part, "p_brand"),
-                   s=short_list(t.part, "p_size"))
+    configs = grid(t.part.select(F.col("p_type").alias("m")).distinct(), b=t.part.select("p_brand"),
+                   s=t.part.select("p_size"))
     b = F.col("b")
     return pairing_rules(configs.select(
         "m", F.when(F.col("m").isin("LARGE", "SMALL"), "LogisticRegression").otherwise(

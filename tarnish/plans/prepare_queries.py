@@ -190,9 +190,9 @@ def class_counts(t: Tables) -> DataFrame:
 
 
 @query("validate_target", """
-SELECT 'label' AS source, least(count(DISTINCT label), 20) AS n_classes_capped, count(*) AS n_rows,
+SELECT 'label' AS source, count(DISTINCT label) AS n_classes, count(*) AS n_rows,
        count(DISTINCT label) < least(20, count(*)) AS valid FROM embeddings
-UNION ALL SELECT 'price', least(count(DISTINCT o_totalprice), 20), count(*),
+UNION ALL SELECT 'price', count(DISTINCT o_totalprice), count(*),
        count(DISTINCT o_totalprice) < least(20, count(*)) FROM orders""")
 def validate_target(t: Tables) -> DataFrame:
     return tables.union_all(

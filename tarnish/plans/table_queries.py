@@ -62,8 +62,7 @@ SELECT dataset, encoder_name, match_score FROM (SELECT DISTINCT p_brand AS datas
 def grid_cross_join(t: Tables) -> DataFrame:
     return tables.grid(
         t.part.select(F.col("p_brand").alias("dataset")).distinct(),
-        encoder_name=tables.short_list(t.part, "p_type"),
-        match_score=tables.short_list(t.lineitem, "l_discount"))
+        encoder_name=t.part.select("p_type"), match_score=t.lineitem.select("l_discount"))
 
 
 @query("lookup_join_back", "SELECT p_partkey, p_name, length(p_name) AS n_chars FROM part")

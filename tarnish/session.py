@@ -87,11 +87,9 @@ def scratch_scope(spark: SparkSession):
 
 
 def parallelism(spark: SparkSession) -> int:
-    """Partitions for a stage that computes much per input byte.
+    """Partitions for a stage that computes much per input byte: a task per core at least.
 
     Adaptive execution merges partitions by size, which would leave such a stage with few tasks.
+    The volume decides through ``spark.sql.shuffle.partitions``, as for every other shuffle.
     """
-    cores = spark.sparkContext.defaultParallelism
-    if spark.sparkContext.master.startswith("local"):
-        return cores
-    return max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

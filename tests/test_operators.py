@@ -55,14 +55,49 @@ def test_kfold_sizes_are_contiguous(spark):
     assert [r.fold for r in rows] == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3]
 
 
-@pytest.mark.parametrize("limit", [10_000, 1])
-def test_groups_stay_together(spark, limit):
+def greedy(sizes, k):
+    """Largest group first into the lightest fold."""
+    loads, folds = [0] * k, {}
+    for g in sorted(sizes, key=lambda g: (-sizes[g], g)):
+        f = loads.index(min(loads))
+        folds[g], loads[f] = f, loads[f] + sizes[g]
+    return folds
+
+
+def test_groups_stay_together(spark):
     sizes = {"a": 9, "b": 7, "c": 4, "d": 3, "e": 3}
-    df = frame(spark, [(g,) for g, n in sizes.items() for _ in range(n)], "g string")
-    folds = splits.group_folds(df, "g", 2, limit).collect()
-    assert {r.g: r.n for r in folds} == sizes
-    loads = sorted(sum(r.n for r in folds if r.fold == f) for f in (0, 1))
-    assert loads == [12, 14] if limit > 1 else sum(loads) == 26
+    df = frame(spark, [(g,) for g, n in sizes.items() for _ in range(n)] + [(None,)], "g string")
+    folds = splits.group_folds(df, "g", 2).collect()
+    assert {r.g: r.n for r in folds} == {**sizes, None: 1}
+    assert {r.g: r.fold for r in folds if r.g} == greedy(sizes, 2)
+    assert splits.group_kfold(df, "g", 2).count() == 27
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_dealing_by_size_is_the_greedy_choice(seed):
+    rng = random.Random(seed)
+    sizes = {i: rng.choice([1, 1, 1, 2, 3, 5, rng.randrange(1, 40)]) for i in range(rng.randrange(1, 200))}
+    k = rng.randrange(1, 8)
+    order = sorted(sizes, key=lambda g: (-sizes[g], g))
+    classes = [(n, sum(s == n for s in sizes.values())) for n in sorted(set(sizes.values()), reverse=True)]
+    got = {}
+    for size, first, last, folds in splits.deal_out(classes, k):
+        for p in range(first, last + 1):
+            assert sizes[order[p]] == size
+            got[order[p]] = folds[(p - first) % len(folds)]
+    assert got == greedy(sizes, k)
+
+
+def test_many_groups_follow_the_same_rule(spark):
+    df = spark.range(30_003).select((F.col("id") % 10_001).alias("g"))
+    folds = {r.g: r.fold for r in splits.group_folds(df, "g", 2).where("g < 12").collect()}
+    assert folds == {g: g % 2 for g in range(12)}
+
+
+def test_rows_without_a_class_keep_their_fold(spark):
+    df = frame(spark, [(i, None if i % 3 == 0 else "ab"[i % 2]) for i in range(30)], "id int, y string")
+    got = splits.stratified_kfold(df, "y", "id", 5).collect()
+    assert len(got) == 30 and sorted(r.fold for r in got if r.y is None) == sorted(list(range(5)) * 2)
 
 
 # --------------------------------------------------------------------------- ordered computations
@@ -116,8 +151,60 @@ def test_target_preparation(spark):
     many = spark.range(30).select(F.col("id").cast("double").alias("t"))
     assert target.prepare_target(many, "t").where("y = 1").count() == 15
     assert dict(target.prepare_target(many, "t", regression=True).dtypes)["y"] == "float"
-    with pytest.raises(Exception, match="more than 20 classes"):
-        target.label_encode(many, "t").collect()
+    twenty = spark.range(60).select((F.col("id") % 20).alias("t"))
+    with pytest.raises(ValueError, match="too many classes"):
+        target.prepare_target(twenty, "t")
+
+
+def test_no_limit_on_classes_and_categories(spark):
+    many = spark.range(100_050).select(F.concat(F.lit("c"), F.col("id") % 100_001).alias("t"))
+    codes = target.label_encode(many, "t")
+    assert codes.agg(F.max("y"), F.countDistinct("y")).first() == (100_000, 100_001)
+    assert codes.where("t = 'c0'").first().y == 0 and codes.where("t = 'c99999'").first().y == 100_000
+    known = encoders.ordinal_encode(many, "t", F.col("t") != "c0", "o")
+    assert known.where("t = 'c0'").first().o == -1 and known.where("t = 'c99999'").first().o == 99_999
+    few = frame(spark, [(str(i % 25),) for i in range(50)] + [(None,)], "t string")
+    assert sorted({r.y for r in target.label_encode(few, "t").collect()}, key=str) == sorted([None, *range(25)], key=str)
+    assert target.validate_target(few, "t").first()[:2] == (25, 51)
+
+
+def test_grid_has_every_value(spark):
+    got = tables.grid(spark.range(2), v=spark.range(3000).selectExpr("id % 2500"), w=F.array(F.lit(1), F.lit(2)))
+    assert got.count() == 2 * 2500 * 2
+
+
+def test_classes_of_nulls_dont_set_the_size(spark):
+    df = frame(spark, [(i, None if i < 2 else i % 2) for i in range(20)], "id int, y int")
+    got = target.balance_classes(df, "y", "id").collect()
+    assert sorted(r.y for r in got) == [0] * 9 + [1] * 9
+
+
+def test_normal_quantile(spark):
+    from statistics import NormalDist
+
+    from tarnish.functions.scalars import normal_quantile
+    ps = [1e-9, 1e-4, 0.07, 0.075, 0.3, 0.5, 0.6, 0.925, 0.93, 0.999, 1 - 1e-7]
+    got = frame(spark, [(p,) for p in ps], "p double").select("p", normal_quantile(F.col("p")).alias("z")).collect()
+    assert all(abs(r.z - NormalDist().inv_cdf(r.p)) < 1e-9 for r in got)
+
+
+def test_power_transform_finds_the_maximum(spark):
+    rng = np.random.default_rng(3)
+    values = {0: np.exp(rng.normal(0, 1, 300)), 1: -np.exp(rng.normal(0, 1, 300)), 2: rng.normal(5, 2, 300), 3: np.ones(300)}
+    long = frame(spark, [(i, d, float(x), True) for d, v in values.items() for i, x in enumerate(v)], "id int, dim int, value double, train boolean")
+    got = scaling.power_transform(long).collect()
+
+    def likelihood(v, lam):
+        up = np.log1p(v.clip(0)) if abs(lam) < 1e-9 else ((v.clip(0) + 1) ** lam - 1) / lam
+        down = -np.log1p((-v).clip(0)) if abs(lam - 2) < 1e-9 else -(((-v).clip(0) + 1) ** (2 - lam) - 1) / (2 - lam)
+        y = np.where(v >= 0, up, down)
+        return -len(v) / 2 * np.log(y.var()) + (lam - 1) * np.sum(np.sign(v) * np.log1p(abs(v))), y
+    for d in range(3):
+        lam = max(np.arange(-8, 8, 1e-3), key=lambda x: likelihood(values[d], x)[0])
+        y = likelihood(values[d], lam)[1]
+        mine = np.array([r.value for r in sorted(got, key=lambda r: r.id) if r.dim == d])
+        assert np.abs(mine - (y - y.mean()) / y.std()).max() < 0.02
+    assert {r.value for r in got if r.dim == 3} == {1.0}
 
 
 def test_balance(spark):
