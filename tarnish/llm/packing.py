@@ -1,7 +1,7 @@
 """Packing token pieces into sequences by minimum bin slack.
 
 Texts become token ids where they are read: words repeat, so a worker keeps the ids of those it
-has met and asks the tokenizer for new ones only. Documents longer than a sequence are cut into
+has met and has only new ones merged. Documents longer than a sequence are cut into
 pieces.
 
 Which pieces share a sequence depends on their lengths alone. The solver therefore sees the
@@ -20,6 +20,8 @@ repeated rows are packed as often as they occur; other columns go along with eve
 
 from __future__ import annotations
 
+import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -30,17 +32,37 @@ from tarnish.llm.texts import fresh, raw_texts
 from tarnish.session import materialise
 
 CAPACITY = 4096
-#: Words remembered per worker, and the longest of them in bytes.
+#: Words remembered per worker in each generation, and the longest of them.
 REMEMBERED, LONGEST = 400_000, 64
 #: Pieces of one length that are numbered together.
 BUCKET = 20_000
 
 
+#: Characters whose treatment needs no Unicode tables: ASCII but the apostrophe, and Latin-1 letters.
+LETTERS, MARKS = "a-zß-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+PLAIN = re.compile(rf"[ \t-\r0-9A-ZÀ-ÖØ-Þ{LETTERS}{MARKS}]*")
+#: What the tokenizer's own pattern finds in a lower-cased text of such characters.
+PART = re.compile(rf"[{LETTERS}]+|[0-9]|[{MARKS}]+")
+#: A full stop or comma next to another mark, with which it is one part.
+TOGETHER = re.compile(rf"[.,][{MARKS}]|[{MARKS}][.,]")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: itself if it shows, else the
+    next one after the 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class WordTokens(dict):
-    """Token ids of each word, as little-endian 32-bit numbers.
+    """Token ids of a text, as little-endian 32-bit numbers.
 
-    For tokenizers that drop white space and let no token reach over it, so that a text's ids
-    are those of its words one after the other.
+    For lower-casing byte-level BPE tokenizers that drop white space and cut a text into words
+    before they merge. A text of plain characters is cut here, by the same pattern, and each word's
+    parts merged by the tokenizer's model, once while it is remembered; any other word goes
+    through the whole tokenizer. What is remembered has two generations: when the younger is full, the older
+    is forgotten, so frequent parts stay.
     """
 
     def __init__(self, path: str):
@@ -49,22 +71,55 @@ class WordTokens(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        if self.plain(b"a b\n c") != b"".join(map(self.plain, (b"a", b"b", b"c"))):
-            raise ValueError("this tokenizer's tokens don't stay within words")
-
-    def plain(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.plain(word)
+        self.model, self.letters, self.older = self.tokenizer.model, byte_letters(), {}
+        self.odd: dict[str, bytes] = {}
+        for text in ("Ab é0x!?\n c12 _ÀÖß", "".join(map(chr, [*range(32, 39), *range(40, 127), *range(192, 215), *range(216, 247), *range(248, 256)]))):
+            if self.of(text.encode()) != self.whole(text):
+                raise ValueError("this tokenizer doesn't cut texts in the way that is provided for")
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = b"".join(map(self.merged, PART.findall(word)))
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
+    def merged(self, part: str) -> bytes:
+        seen = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        found = [t.id for t in self.model.tokenize(seen)]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def plain(self, text: str) -> bytes:
+        text = text.lower()
+        # a mark alone is a part of its own: apart from its word, both are met more often
+        if not TOGETHER.search(text):
+            text = text.replace(".", " . ").replace(",", " , ")
+        return b"".join(map(self.__getitem__, text.split()))
+
+    def word(self, word: str) -> bytes:
+        if "<|" not in word and PLAIN.fullmatch(word):
+            return self.plain(word)
+        ids = self.odd.get(word)
+        if ids is None:
+            ids = self.whole(word)
+            if len(word) <= LONGEST:
+                if len(self.odd) >= REMEMBERED:
+                    self.odd.clear()
+                self.odd[word] = ids
+        return ids
+
     def of(self, raw: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, raw.split()))
+        text = raw.decode()
+        if "<|" not in text and PLAIN.fullmatch(text):
+            return self.plain(text)
+        return b"".join(self.word(w.decode()) for w in raw.split())
 
 
 @lru_cache(maxsize=2)

@@ -15,7 +15,8 @@ from tarnish.llm import packing
 PATH = public_tokenizers.path("word_bpe_49k.json")
 PLAIN = Tokenizer.from_file(PATH)
 TEXTS = ["", None, "a", "Two Words", "é ﬁ 12 345's don't", "<|endoftext|> x<|startoftext|>y <|ENDOFTEXT|>",
-         "é e ́  　x\x0by\x1cz", "日本語 テキスト", "Σας ΣΑΣ", "🙂🙂" * 50, "x" * 3000, "word " * 9000]
+         "é e ́  　x\x0by\x1cz", "日本語 テキスト", "Σας ΣΑΣ", "🙂🙂" * 50, "x" * 3000, "word " * 9000,
+         "Ünï'cödé ÀÖØÞß÷×µªº ŠžŸÿ İ", "".join(map(chr, range(1, 600))), "a\x7fb\x85c\xa0d\xadE", "__x--y''z''S'S 's'T"]
 
 
 def ids(text):
@@ -34,6 +35,19 @@ def test_ids_of_any_text(text):
     assert np.frombuffer(packing.tokens_of(PATH).of(text.encode()), "<u4").tolist() == ids(text)
 
 
+def test_forgetting_changes_nothing(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 10)
+    known = packing.WordTokens(PATH)
+    for text in [f"ab{i} Cd{i % 7} é{i % 5}ï œ{i}" for i in range(100)]:
+        assert np.frombuffer(known.of(text.encode()), "<u4").tolist() == ids(text)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=0x17F)))
+def test_ids_of_latin_text(text):
+    assert np.frombuffer(packing.tokens_of(PATH).of(text.encode()), "<u4").tolist() == ids(text)
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_fullest_is_the_fullest(seed):
     rng = random.Random(seed)
