@@ -226,11 +226,11 @@ def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY,
         raise ValueError(f"lengths must be from 1 to {capacity}")
     plan = seats(minimum_bin_slack(counts, capacity))
 
-    # at most ``capacity`` rows, known to be small
+    # at most ``capacity`` rows: broadcast, so that no row is dealt by its length alone
     sizes = items.sparkSession.createDataFrame(
         [(k, -(-v // BUCKET)) for k, v in counts.items()], "_len bigint, _buckets bigint")
     of = fresh("_size", columns)
-    dealt = items.join(sizes.select(F.struct("_len", "_buckets").alias(of)), size == F.col(f"{of}._len"))
+    dealt = items.join(F.broadcast(sizes.select(F.struct("_len", "_buckets").alias(of))), size == F.col(f"{of}._len"))
     dealt = dealt.select(*items.columns, F.floor(F.col(r) * F.col(f"{of}._buckets")).alias(b))
     totals = dealt.groupBy(size.alias("_len"), F.col(b).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("_len").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
