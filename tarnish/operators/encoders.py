@@ -37,7 +37,7 @@ def high_cardinality_columns(df: DataFrame, threshold: int = 30,
 
 def auto_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(name, as_type)``: text columns whose non-null values all look like numbers or dates."""
-    columns = columns or text_columns(df)
+    columns = text_columns(df) if columns is None else columns
     long = df.unpivot([], columns, "name", "v").groupBy("name").agg(
         F.count("v").alias("n"),
         F.count(F.when(F.col("v").rlike(NUMBER_PATTERN), 1)).alias("numbers"),
@@ -49,7 +49,8 @@ def auto_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def auto_type_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Cast number-looking and date-looking text columns."""
-    types = {r["name"]: r["as_type"] for r in auto_types(df, columns).collect()}
+    columns = text_columns(df) if columns is None else columns
+    types = {r["name"]: r["as_type"] for r in auto_types(df, columns).collect()} if columns else {}
     return df.select(*[
         F.col(c).try_cast(types[c]).alias(c) if types.get(c, "string") != "string" else F.col(c)
         for c in df.columns])
@@ -234,13 +235,23 @@ def encode(df: DataFrame, text: str, spec: str, out: str = "v",
 
 
 def encode_high_cardinality(df: DataFrame, spec: str, threshold: int = 30,
-                            besides: list[str] | None = None, models=None) -> DataFrame:
-    """Replace every high-cardinality text column by its vector (one array column each)."""
-    candidates = [c for c in text_columns(df) if c not in (besides or [])]
+                            besides: list[str] | None = None, models=None, hashing: str = "fast",
+                            auto_type: bool = True) -> DataFrame:
+    """Replace every high-cardinality text column by its vector (one array column each).
+
+    With ``auto_type`` text that looks like numbers or dates throughout is cast first, so that it
+    is never taken for text.
+    """
+    besides = besides or []
+    if auto_type:
+        df = auto_type_columns(df, [c for c in text_columns(df) if c not in besides])
+    candidates = [c for c in text_columns(df) if c not in besides]
+    if not candidates:
+        return df
     chosen = sorted(r["name"] for r in high_cardinality_columns(df, threshold, candidates)
                     .where("high").collect())
     for c in chosen:
-        df = encode(df, c, spec, f"_{c}_v", models).drop(c).withColumnRenamed(f"_{c}_v", c)
+        df = encode(df, c, spec, f"_{c}_v", models, hashing).drop(c).withColumnRenamed(f"_{c}_v", c)
     return df
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import (PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tarnish.operators import metrics
-from tarnish.operators.encoders import encode, hashing_vectorizer, high_cardinality_columns
+from tarnish.operators.encoders import auto_type_columns, encode, hashing_vectorizer, high_cardinality_columns
 from tarnish.operators.reduction import truncated_svd
 from tarnish.operators.splits import stratified_kfold
 from tarnish.session import materialise
@@ -27,10 +27,10 @@ SHORT_VECTORS = ("skrub", "fasttext__")
 FEATURES = ("all", "text_only", "rest_only")
 
 
-def make_model(name: str, n_classes: int = 2, trees: int = 100, **params):
-    """MLlib estimator for a model name; boosting of several classes is one-vs-rest."""
+def make_model(name: str, n_classes: int = 2, trees: int = 100):
+    """Estimator for a model name; boosting of several classes is one-vs-rest."""
     if name == "LogisticRegression":
-        return LogisticRegression(maxIter=100, regParam=params.get("reg", 1e-3), labelCol="y")
+        return UnitLogistic()
     if name == "LinearRegression":
         return LinearRegression(labelCol="y")
     if name == "GradientBoostingRegressor":
@@ -41,6 +41,40 @@ def make_model(name: str, n_classes: int = 2, trees: int = 100, **params):
     raise ValueError(f"unknown model {name!r}")
 
 
+class UnitLogistic(Estimator):
+    """Logistic regression with inverse penalty C = 1 on the features as they are.
+
+    MLlib averages the loss over rows, so the penalty is divided by their number.
+    """
+
+    def _fit(self, df: DataFrame):
+        n = max(1, df.count())
+        return LogisticRegression(maxIter=100, regParam=1.0 / n, standardization=False, labelCol="y").fit(df)
+
+
+class PopulationScaler(Estimator):
+    """z-scores of number columns as a vector, with the population deviation of the fitted rows;
+    a constant column is only centred."""
+
+    def __init__(self, columns: list[str], out: str):
+        super().__init__()
+        self.columns, self.out = columns, out
+
+    def _fit(self, df: DataFrame) -> "ScaledNumbers":
+        stats = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")) for c in self.columns]).first()
+        return ScaledNumbers(self.columns, self.out, [(s.m or 0.0, s.s or 1.0) for s in stats])
+
+
+class ScaledNumbers(Transformer):
+    def __init__(self, columns: list[str], out: str, stats: list[tuple[float, float]]):
+        super().__init__()
+        self.columns, self.out, self.stats = columns, out, stats
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        z = [(F.col(c).cast("double") - m) / s for c, (m, s) in zip(self.columns, self.stats)]
+        return df.withColumn(self.out, array_to_vector(F.array(*z)))
+
+
 def pairing_allowed(reduction: Column, model: Column, encoding: Column) -> Column:
     """Combinations worth running.
 
@@ -93,28 +127,48 @@ class Features:
             out += [StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep"),
                     OneHotEncoder(inputCols=[f"{c}_i"], outputCols=[f"{c}_h"], dropLast=True)]
             inputs.append(f"{c}_h")
-        if self.numbers:
-            out.append(VectorAssembler(inputCols=self.numbers, outputCol="_numbers"))
-            if scale:
-                out.append(StandardScaler(withMean=True, withStd=True, inputCol="_numbers",
-                                          outputCol="_scaled"))
-            inputs.append("_scaled" if scale else "_numbers")
+        if self.numbers and scale:
+            out.append(PopulationScaler(self.numbers, "_scaled"))
+            inputs.append("_scaled")
+        elif self.numbers:
+            inputs += self.numbers
         return [*out, VectorAssembler(inputCols=inputs, outputCol="features")]
 
 
-def table_vectorizer(df: DataFrame, columns: list[str], threshold: int = 30,
-                     components: int = 10) -> tuple[DataFrame, Features]:
-    """Route columns by type: numbers as they are, few categories one-hot, many by min-hash.
+def date_parts(c: str) -> dict[str, Column]:
+    """Year, month, day and seconds since 1970 of a date or time column."""
+    return {f"{c}_year": F.year(c), f"{c}_month": F.month(c), f"{c}_day": F.dayofmonth(c),
+            f"{c}_total_seconds": F.unix_seconds(F.col(c).cast("timestamp"))}
+
+
+def table_vectorizer(df: DataFrame, columns: list[str], threshold: int = 30, components: int = 10,
+                     hashing: str = "fast") -> tuple[DataFrame, Features]:
+    """Route columns by type: numbers as they are, truth values as 0 and 1, dates by their parts,
+    few categories one-hot, many by min-hash. Text that looks like numbers or dates throughout is
+    cast first; a column of any other type is refused.
 
     Min-hash needs no fitting, so those columns are encoded here; the rest is left to the stages.
     """
+    df = auto_type_columns(df, [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)])
     types = {f.name: f.dataType for f in df.schema.fields}
+    numbers = []
+    for c in columns:
+        if isinstance(types[c], T.BooleanType):
+            df = df.withColumn(c, F.col(c).cast("double"))
+            numbers.append(c)
+        elif isinstance(types[c], (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            parts = date_parts(c)
+            df = df.withColumns({n: p.cast("double") for n, p in parts.items()})
+            numbers += parts
+        elif isinstance(types[c], T.NumericType):
+            numbers.append(c)
+        elif not isinstance(types[c], T.StringType):
+            raise TypeError(f"column {c!r} of type {types[c].simpleString()} can't be a feature")
     texts = [c for c in columns if isinstance(types[c], T.StringType)]
-    numbers = [c for c in columns if isinstance(types[c], T.NumericType)]
     high = {r["name"] for r in high_cardinality_columns(df, threshold, texts).where("high").collect()
             } if texts else set()
     for c in sorted(high):
-        df = encode(df, c, f"skrub__minhash_{components}", f"{c}_mh").withColumn(
+        df = encode(df, c, f"skrub__minhash_{components}", f"{c}_mh", hashing=hashing).withColumn(
             f"{c}_mh", array_to_vector(f"{c}_mh"))
     return df, Features([f"{c}_mh" for c in sorted(high)], numbers,
                         [c for c in texts if c not in high])
@@ -264,7 +318,7 @@ def evaluate_ensemble(df: DataFrame, row_id: str, text: Features, rest: Features
         for f in range(inner_folds):
             inner = [p.fit(folds.where(F.col("fold") != f)) for p in pipelines]
             outside.append(stack_inputs(folds.where(F.col("fold") == f), row_id, inner))
-        meta = LogisticRegression(labelCol="y").fit(reduce(DataFrame.unionByName, outside))
+        meta = UnitLogistic().fit(reduce(DataFrame.unionByName, outside))
         return _Stacked(row_id, [p.fit(train) for p in pipelines], meta)
 
     if aggregation not in ("voting", "stacking"):

@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from tarnish.functions import vectors
+from tarnish.functions.scalars import QUANTILE_MIDDLE, QUANTILE_TAIL
 from tarnish.operators import encoders, reduction, scaling
 from tarnish.operators.models import pairing_rules, table_vectorizer
 from tarnish.operators.tables import grid
@@ -142,18 +143,30 @@ def encode_distinct(t: Tables) -> DataFrame:
         "doc_id", F.posexplode("v").alias("dim", "value")), "value")
 
 
-@query("encode_dispatch")
+_LETTERS = "regexp_replace(lower(regexp_replace(p_name, '[^\\x00-\\x7F]', '', 'g')), '[^a-z]', '', 'g')"
+
+
+@query("encode_dispatch", f"""
+SELECT p_partkey, 'a' AS enc, d::INT AS dim,
+  round((len(letters) - len(replace(letters, chr(97 + d::INT), ''))) / greatest(len(letters), 1), 9) AS value
+FROM (SELECT p_partkey, {_LETTERS} AS letters FROM part), (SELECT unnest(range(26)) AS d)
+UNION ALL SELECT p_partkey, 'b', dim, round(value, 9) FROM ({_minhash_sql('part', 'p_partkey', 'p_brand', 'char', 2, 4, 8)})""")
 def encode_dispatch(t: Tables) -> DataFrame:
     models = {"letters": _letter_profile}
     df = encoders.encode(t.part, "p_name", "letters__26", "a", models)
-    return encoders.encode(df, "p_brand", "skrub__minhash_8_char_none", "b").select(
-        "p_partkey", F.size("a").alias("n_a"), F.size("b").alias("n_b"))
+    df = encoders.encode(df, "p_brand", "skrub__minhash_8_char_none", "b", hashing="md5")
+    parts = [df.select("p_partkey", F.lit(c).alias("enc"), F.posexplode(c).alias("dim", "value")) for c in "ab"]
+    return rounded(parts[0].union(parts[1]), "value")
 
 
-@query("encode_high_cardinality")
+@query("encode_high_cardinality", f"""
+SELECT p_partkey, p_brand, code, dim, value FROM ({_minhash_sql('part', 'p_partkey', 'p_name', 'char', 2, 4, 10)})
+JOIN (SELECT p_partkey, p_brand, p_partkey::DOUBLE AS code FROM part) USING (p_partkey)""")
 def encode_high_cardinality(t: Tables) -> DataFrame:
-    wide = encoders.encode_high_cardinality(t.part, "skrub__minhash_10", 30)
-    return vectors.vector_to_wide(wide, "p_name", 10)
+    # a number written as text is a number, however many values it has
+    parts = t.part.select("p_partkey", "p_name", "p_brand", F.col("p_partkey").cast("string").alias("code"))
+    wide = encoders.encode_high_cardinality(parts, "skrub__minhash_10", 30, hashing="md5")
+    return wide.select("p_partkey", "p_brand", "code", F.posexplode("p_name").alias("dim", "value"))
 
 
 # A word vector for every word of the benchmark texts: a row of the embeddings picked by hash.
@@ -215,12 +228,40 @@ def standard_scale(t: Tables) -> DataFrame:
     return rounded(out, *cols, digits=6).select("l_orderkey", "l_linenumber", *cols)
 
 
-@query("table_vectorizer")
+# Orders with a truth value and the size of the customer number as text; fitted on some of them.
+_ORDERS = """SELECT o_orderkey, o_orderpriority, o_orderstatus, o_totalprice, o_orderdate, o_totalprice > 100000 AS dear,
+  o_custkey::VARCHAR AS code, o_orderkey % 3 > 0 AND o_orderpriority <> '5-LOW' AS fit FROM orders"""
+
+
+def _hot(column: str, first: int) -> str:
+    """Categories of the fitted rows by falling number of rows; an unknown one has no slot."""
+    return f"""SELECT o_orderkey, ({first} + i)::INT AS slot, CAST({column} = v AS DOUBLE) AS value FROM o, (
+      SELECT {column} AS v, row_number() OVER (ORDER BY count(*) DESC, {column}) - 1 AS i FROM o WHERE fit GROUP BY {column})"""
+
+
+def _scaled(slot: str, x: str) -> str:
+    return f"""SELECT o_orderkey, ({slot})::INT AS slot, ({x} - avg({x}) FILTER (fit) OVER ()) / coalesce(
+      nullif(stddev_pop({x}) FILTER (fit) OVER (), 0), 1) AS value FROM o"""
+
+
+_NUMBERS = ["o_totalprice", "CAST(dear AS DOUBLE)", "year(o_orderdate)", "month(o_orderdate)", "day(o_orderdate)",
+            "epoch(o_orderdate)", "code::DOUBLE"]
+_SLOTS = "(SELECT count(DISTINCT o_orderpriority) FROM o WHERE fit) + (SELECT count(DISTINCT o_orderstatus) FROM o WHERE fit)"
+
+
+@query("table_vectorizer", f"""
+WITH o AS ({_ORDERS}) SELECT o_orderkey, slot, round(value, 6) AS value FROM (
+  {_hot("o_orderpriority", 0)} UNION ALL {_hot("o_orderstatus", "(SELECT count(DISTINCT o_orderpriority) FROM o WHERE fit)")}
+  UNION ALL {" UNION ALL ".join(_scaled(f"{_SLOTS} + {i}", x) for i, x in enumerate(_NUMBERS))}) WHERE round(value, 6) <> 0""")
 def table_vectorizer_query(t: Tables) -> DataFrame:
     from pyspark.ml import Pipeline
-    df, features = table_vectorizer(t.part, ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"], 30)
-    fitted = Pipeline(stages=features.stages(scale=True)).fit(df.where("p_type <> 'PROMO'"))
-    return fitted.transform(df).select("p_partkey", F.size(vector_to_array("features")).alias("n_features"))
+    rows = t.orders.selectExpr(
+        "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice", "o_orderdate", "o_totalprice > 100000 AS dear",
+        "string(o_custkey) AS code", "o_orderkey % 3 > 0 AND o_orderpriority <> '5-LOW' AS fit")
+    df, features = table_vectorizer(rows, ["o_orderpriority", "o_orderstatus", "o_totalprice", "dear", "o_orderdate", "code"], 30)
+    fitted = Pipeline(stages=features.stages(scale=True)).fit(df.where("fit"))
+    long = fitted.transform(df).select("o_orderkey", F.posexplode(vector_to_array("features")).alias("slot", "value"))
+    return rounded(long, "value", digits=6).where("value <> 0")
 
 
 def _selected(method: str):
@@ -303,14 +344,54 @@ def robust_scale(t: Tables) -> DataFrame:
     return _flat(scaling.robust_scale(_matrix(t)))
 
 
-@query("quantile_to_normal")
+def _ratio_sql(t: str, rational) -> str:
+    def horner(terms) -> str:
+        out = repr(terms[-1])
+        for c in reversed(terms[:-1]):
+            out = f"({out} * {t} + {c!r})"
+        return out
+    return f"({horner(rational[0])} / {horner(rational[1])})"
+
+
+_PROBIT = f"""CASE WHEN abs(p - 0.5) <= 0.425 THEN (p - 0.5) * {_ratio_sql("(0.180625::DOUBLE - (p - 0.5) * (p - 0.5))", QUANTILE_MIDDLE)}
+  ELSE sign(p - 0.5) * {_ratio_sql("(sqrt(-ln(least(p, 1.0 - p))) - 1.6::DOUBLE)", QUANTILE_TAIL)} END"""
+
+
+@query("quantile_to_normal", f"""
+WITH c AS (SELECT dim, value, count(*) FILTER ({_TRAIN}) AS t FROM ({_MATRIX}) GROUP BY dim, value),
+r AS (SELECT dim, value, (coalesce(sum(t) OVER (PARTITION BY dim ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  + t / 2.0)::DOUBLE / sum(t) OVER (PARTITION BY dim) AS p FROM c),
+z AS (SELECT dim, value, greatest(1e-7::DOUBLE, least(1 - 1e-7::DOUBLE, p)) AS p FROM r)
+SELECT vec_id, dim, round({_PROBIT}, 6) AS value FROM ({_MATRIX}) JOIN z USING (dim, value)""")
 def quantile_to_normal(t: Tables) -> DataFrame:
     return _flat(scaling.quantile_to_normal(_matrix(t), "vec_id"))
 
 
-@query("power_transform")
+def _yeo_sql(lam: str) -> str:
+    return f"""CASE WHEN value >= 0 THEN CASE WHEN abs({lam}) < 1e-9 THEN ln(1 + value) ELSE (pow(value + 1, {lam}) - 1) / ({lam}) END
+      ELSE CASE WHEN abs({lam} - 2) < 1e-9 THEN -ln(1 - value) ELSE -(pow(1 - value, 2 - ({lam})) - 1) / (2 - ({lam})) END END"""
+
+
+def _power_sql() -> str:
+    """The same search, a pass per step: 17 exponents around the best, then an eighth of the step."""
+    parts, step, i = [f"b0 AS (SELECT DISTINCT dim, 0.0::DOUBLE AS lam FROM ({_MATRIX}))"], 1.0, 0
+    while True:
+        parts.append(f"""o{i} AS (SELECT dim, lam + k * {step!r}::DOUBLE AS l, value FROM ({_MATRIX}) JOIN b{i} USING (dim),
+          (SELECT unnest(range(-8, 9)) AS k) WHERE {_TRAIN}),
+        y{i} AS (SELECT dim, l, value, {_yeo_sql("l")} AS y FROM o{i}),
+        s{i} AS (SELECT dim, l, avg(y) AS m, stddev_pop(y) AS s, round(-count(*) / 2.0 * ln(var_pop(y))
+          + (l - 1) * sum(sign(value) * ln(1 + abs(value))), 9) AS ll FROM y{i} GROUP BY dim, l),
+        b{i + 1} AS (SELECT dim, l AS lam, m, s FROM (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY ll DESC, l DESC) AS r FROM s{i}) WHERE r = 1)""")
+        i += 1
+        if step <= 1e-4:
+            return f"""WITH {", ".join(parts)} SELECT vec_id, dim, round((({_yeo_sql("lam")}) - m) / s, 3) AS value
+              FROM ({_MATRIX}) JOIN b{i} USING (dim)"""
+        step /= 8
+
+
+@query("power_transform", _power_sql())
 def power_transform(t: Tables) -> DataFrame:
-    return _flat(scaling.power_transform(_matrix(t)))
+    return _flat(scaling.power_transform(_matrix(t)), digits=3)
 
 
 @query("rank_transform", f"""
@@ -335,28 +416,73 @@ def rescale_by_used_features(t: Tables) -> DataFrame:
     return _flat(scaling.rescale_by_used_features(_matrix(t), 100))
 
 
-@query("preprocess_features")
+@query("preprocess_features", f"""
+WITH s AS (SELECT dim, avg(value) AS m, stddev_samp(value) + 1e-6 AS s FROM ({_MATRIX}) WHERE {_TRAIN} GROUP BY dim HAVING min(value) < max(value)),
+z AS (SELECT vec_id, label, dim, greatest(-100, least(100, (value - m) / s)) AS value FROM ({_MATRIX}) JOIN s USING (dim)),
+a AS (SELECT dim, avg(value) - 4 * stddev_samp(value) AS l, avg(value) + 4 * stddev_samp(value) AS h FROM z WHERE {_TRAIN} GROUP BY dim),
+b AS (SELECT dim, avg(value) - 4 * stddev_samp(value) AS l, avg(value) + 4 * stddev_samp(value) AS h
+  FROM z JOIN a USING (dim) WHERE {_TRAIN} AND value BETWEEN a.l AND a.h GROUP BY dim),
+c AS (SELECT vec_id, dim, h, greatest(-ln(1 + abs(value)) + l, value) AS x FROM z JOIN b USING (dim))
+SELECT vec_id, dim, round(least(ln(1 + abs(x)) + h, x) * 100.0 / (SELECT count(*) FROM s), 6) AS value FROM c""")
 def preprocess_features(t: Tables) -> DataFrame:
     return _flat(scaling.preprocess_features(_matrix(t), "vec_id"))
 
 
 # --------------------------------------------------------------------------- reduction
 
-@query("pca_reduce")
+# All components together are a rotation: it keeps every row's squared distance from the mean, and
+# on the fitted rows the components' variances add up to those of the coordinates.
+def _rotated(df: DataFrame, row_id: str, v: str) -> DataFrame:
+    return df.select(row_id, F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"),
+                     F.size(v).alias("n"))
+
+
+def _centred_sql(means: str, on: str) -> str:
+    return f"""SELECT vec_id, round(sum((value - m) * (value - m)), 6) AS norm, count(*)::INT AS n
+FROM ({_MATRIX}) x JOIN ({means}) s ON s.dim = x.dim AND {on} GROUP BY vec_id"""
+
+
+@query("pca_reduce", _centred_sql(f"SELECT dim, avg(value) AS m FROM ({_MATRIX}) WHERE {_TRAIN} GROUP BY dim", "true"))
 def pca_reduce(t: Tables) -> DataFrame:
-    out = reduction.pca_reduce(t.embeddings.select("vec_id", "label", "embedding"), "embedding", 10, F.expr(_TRAIN))
-    return out.select("vec_id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.round("x", 6))
+    rows = t.embeddings.select("vec_id", "label", "embedding")
+    return _rotated(reduction.pca_reduce(rows, "embedding", 64, F.expr(_TRAIN)), "vec_id", "embedding")
 
 
-@query("pca_batch_centred")
+@query("pca_batch_centred", _centred_sql(
+    f"SELECT dim, {_TRAIN} AS tr, avg(value) AS m FROM ({_MATRIX}) GROUP BY ALL", "s.tr = (x.label < 7)"))
 def pca_batch_centred(t: Tables) -> DataFrame:
-    out = reduction.pca_reduce(t.embeddings.select("vec_id", "label", "embedding"), "embedding", 10,
-                               F.expr(_TRAIN), centre="batch")
-    return out.select("vec_id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.round("x", 6))
+    rows = t.embeddings.select("vec_id", "label", "embedding")
+    return _rotated(reduction.pca_reduce(rows, "embedding", 64, F.expr(_TRAIN), centre="batch"), "vec_id", "embedding")
+
+
+@query("pca_variances", f"""
+SELECT round(sum(v), 6) AS variance, true AS falling, true AS uncorrelated
+FROM (SELECT var_pop(value) AS v FROM ({_MATRIX}) WHERE {_TRAIN} GROUP BY dim)""")
+def pca_variances(t: Tables) -> DataFrame:
+    out = reduction.pca_reduce(t.embeddings.select("vec_id", "label", "embedding"), "embedding", 64, F.expr(_TRAIN))
+    scores = out.where(_TRAIN).select(*[F.col("embedding")[i].alias(f"p{i}") for i in range(64)])
+    one = scores.agg(*[F.var_pop(f"p{i}").alias(f"v{i}") for i in range(64)],
+                     *[F.abs(F.covar_pop(f"p{i}", f"p{i + 1}")).alias(f"c{i}") for i in range(63)])
+    falling = F.lit(True)
+    for i in range(63):
+        falling = falling & (F.col(f"v{i}") >= F.col(f"v{i + 1}") - 1e-12)
+    small = F.greatest(*[f"c{i}" for i in range(63)]) < 1e-9
+    return one.select(F.round(sum((F.col(f"v{i}") for i in range(64)), F.lit(0.0)), 6).alias("variance"),
+                      falling.alias("falling"), small.alias("uncorrelated"))
+
+
+# The singular vectors of all dimensions are a rotation too; the rows are of different lengths.
+@query("truncated_svd", """
+SELECT c_custkey, round(pow(1 + c_nationkey, 2), 6) AS norm FROM customer""")
+def truncated_svd(t: Tables) -> DataFrame:
+    long = encoders.hashing_vectorizer(t.customer, "c_custkey", "c_name", "char", (1, 1), 2 ** 10)
+    long = long.join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey").withColumn(
+        "w", F.col("w") * (1 + F.col("c_nationkey"))).drop("c_nationkey")
+    return _rotated(reduction.truncated_svd(long, "c_custkey", 64), "c_custkey", "v").drop("n")
 
 
-@query("truncated_svd")
-def truncated_svd(t: Tables) -> DataFrame:
-    long = encoders.hashing_vectorizer(t.customer, "c_custkey", "c_name", "char", (2, 3), 2 ** 10)
-    return reduction.truncated_svd(long, "c_custkey", 10).select(
+@query("truncated_svd_components")
+def truncated_svd_components(t: Tables) -> DataFrame:
+    long = encoders.hashing_vectorizer(t.customer, "c_custkey", "c_name", "char", (2, 3), 2 ** 14)
+    return reduction.truncated_svd(long, "c_custkey", 30).select(
         "c_custkey", F.posexplode("v").alias("dim", "x")).withColumn("x", F.round("x", 6))

@@ -53,9 +53,11 @@ def fuzzy_sql(main: str, aux: str, analyzer: str = "char_wb", lo: int = 2, hi: i
     dist = ("round(abs(x.z1 - y.z1) / sz1, 9)" if not text and numbers == 1
             else f"round(sqrt({gap}), 9)" if not text
             else f"round(sqrt(round(greatest({d2}, 0) + {gap}, 9)), 9)")
+    # in one dimension the distance decides as it is, else rounded
+    order = "abs(x.z1 - y.z1)" if not text and numbers == 1 else dist
     parts += [
-        f"p AS (SELECT {xs}, y.aid, {dist} AS d FROM {source})",
-        f"b AS (SELECT {key}, aid, d FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY d, aid) AS i FROM p) WHERE i = 1)",
+        f"p AS (SELECT {xs}, y.aid, {dist} AS d, {order} AS o FROM {source})",
+        f"b AS (SELECT {key}, aid, d FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY o, aid) AS i FROM p) WHERE i = 1)",
         f"m AS (SELECT mid, b.aid, CASE WHEN (SELECT max(d) FROM b) > 0 THEN 1.0 - b.d / (2.0 * (SELECT max(d) FROM b)) "
         f"ELSE 1.0 END AS score FROM main JOIN b USING ({key}))"]
     return "WITH " + ", ".join(parts)
@@ -248,8 +250,8 @@ def fuzzy_join_sort(t: Tables) -> DataFrame:
 
 
 @query("nearest_one", """
-WITH p AS (SELECT x.s_suppkey, y.c_custkey, round(abs(x.s_acctbal - y.c_acctbal), 9) AS d FROM supplier x CROSS JOIN customer y)
-SELECT s_suppkey, c_custkey, d FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY d, c_custkey) AS i FROM p) WHERE i = 1""")
+WITH p AS (SELECT x.s_suppkey, y.c_custkey, abs(x.s_acctbal - y.c_acctbal) AS d FROM supplier x CROSS JOIN customer y)
+SELECT s_suppkey, c_custkey, round(d, 9) AS d FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY d, c_custkey) AS i FROM p) WHERE i = 1""")
 def nearest_one(t: Tables) -> DataFrame:
     from tarnish.operators.nearest import nearest_numeric
     main = t.supplier.selectExpr("CAST(s_suppkey AS STRING) AS k", "s_acctbal AS z")

@@ -283,9 +283,37 @@ def friedman_average_ranks(t: Tables) -> DataFrame:
     return rounded(quality.friedman(_scores(t), "dataset", "encoding", "f1"), "mean_rank", "chi2")
 
 
-@query("critical_difference_groups")
+_TAIL = """1.0 / sqrt(2 * pi()) * exp(-z * z / 2) * k * (0.319381530 + k * (-0.356563782 + k * (1.781477937
+  + k * (-1.821255978 + k * 1.330274429))))"""
+
+
+@query("critical_difference_groups", f"""
+WITH s AS ({_SCORES}),
+r AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY f1 DESC)
+        + (count(*) OVER (PARTITION BY dataset, f1) - 1) / 2.0 AS rk FROM s),
+m AS (SELECT encoding, avg(rk)::DOUBLE AS mean_rank, count(*) AS n FROM r GROUP BY encoding),
+c AS (SELECT 12.0 * max(n) / (count(*) * (count(*) + 1)) *
+        (sum(mean_rank * mean_rand) - count(*) * (count(*) + 1) * (count(*) + 1) / 4) AS chi2 FROM (SELECT *, mean_rank AS mean_rand FROM m)),
+d AS (SELECT x.encoding AS a, y.encoding AS b, round(x.f1 - y.f1, 12) AS diff FROM s x JOIN s y USING (dataset)
+      WHERE x.encoding < y.encoding AND round(x.f1 - y.f1, 12) <> 0),
+w AS (SELECT a, b, diff, rank() OVER (PARTITION BY a, b ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY a, b, abs(diff)) - 1) / 2.0 AS q,
+        count(*) OVER (PARTITION BY a, b, abs(diff)) AS t FROM d),
+z AS (SELECT a, b, count(*)::DOUBLE AS n, coalesce(sum(q) FILTER (diff > 0), 0)::DOUBLE AS plus, sum(t * t - 1)::DOUBLE AS ties FROM w GROUP BY a, b),
+p AS (SELECT a, b, abs((plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)) AS z FROM z),
+v AS (SELECT a, b, least(1.0, 2 * ({_TAIL})) AS p FROM (SELECT *, 1.0 / (1 + 0.2316419 * z) AS k FROM p)),
+h AS (SELECT a, b, max(least(1.0, p * left_)) OVER (ORDER BY p, a, b) AS adj FROM (
+        SELECT *, count(*) OVER () - row_number() OVER (ORDER BY p, a, b) + 1 AS left_ FROM v)),
+o AS (SELECT encoding, row_number() OVER (ORDER BY mean_rank, encoding) AS i FROM m),
+different AS (SELECT least(x.i, y.i) AS i, greatest(x.i, y.i) AS j FROM h JOIN o x ON x.encoding = a JOIN o y ON y.encoding = b WHERE adj < 0.05),
+reach AS (SELECT o.i, coalesce((SELECT min(j) - 1 FROM different d WHERE d.i >= o.i), (SELECT max(i) FROM o)) AS j FROM o),
+runs AS (SELECT i, j, row_number() OVER (ORDER BY i) - 1 AS g FROM (
+  SELECT i, j, lag(j) OVER (ORDER BY i) AS earlier FROM reach) WHERE j > i AND (earlier IS NULL OR earlier < j))
+SELECT m.encoding, round(mean_rank, 9) AS mean_rank, n AS n_datasets, round(chi2, 9) AS chi2,
+  coalesce((SELECT string_agg(g::VARCHAR, ',' ORDER BY g) FROM runs WHERE o.i BETWEEN runs.i AND runs.j), '') AS tied
+FROM m JOIN o USING (encoding), c""")
 def critical_difference_groups(t: Tables) -> DataFrame:
-    return quality.critical_difference_groups(_scores(t), "dataset", "encoding", "f1")
+    out = quality.critical_difference_groups(_scores(t), "dataset", "encoding", "f1")
+    return rounded(out, "mean_rank", "chi2").withColumn("tied", F.array_join("tied", ","))
 
 
 # --------------------------------------------------------------------------- windows

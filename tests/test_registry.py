@@ -11,7 +11,11 @@ SF = "/root/testdata/sf0.001"
 CHECKED = ["drop_sparse_columns", "remove_missing_values", "fixed_size_split", "group_kfold", "group_multi_agg",
            "rank_avg_desc", "metric_roc_auc", "char_wb_ngrams", "word_ngrams", "profile_ngram_quantiles",
            "tfidf_vectorizer", "minhash_encode", "fuzzy_join_numeric", "fuzzy_join_string_char",
-           "report_column_gain", "report_ensemble_gain"]
+           "report_column_gain", "report_ensemble_gain", "label_encode", "validate_target", "ordinal_encode", "grid_cross_join",
+           "pairing_rules", "critical_difference_groups", "quantile_to_normal", "power_transform", "preprocess_features",
+           "encode_dispatch", "encode_high_cardinality", "table_vectorizer", "pca_reduce", "truncated_svd", "nearest_one",
+           "scan_csv", "vector_cache", "filter_isin", "group_mean", "last_row_per_group", "join_quality",
+           "fuzzy_join_mixed", "fuzzy_join_vector", "soft_clip_outliers"]
 
 
 def test_oracles_belong_to_queries():
