@@ -193,8 +193,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``docs`` with the smallest id among the texts that verified links connect.
 
     Equal texts are one. In every band group each text is paired with the group's first text, not
-    with all others, and the true Jaccard of the shingle sets decides; texts that don't match
-    their first text form the group anew, until each group is used up.
+    with all others, and the true Jaccard of the shingle sets decides. Texts that don't match
+    their first text are grouped anew by one band more, and so on: a group that a common passage
+    has drawn together falls apart by what else its texts hold, in at most as many rounds as
+    there are bands. Texts that are near share most bands, so they meet in many groups.
     """
     spark = docs.sparkSession
     columns = [c for c in docs.columns if c != out]
@@ -219,9 +221,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.array(out_, pa.list_(pa.int64()))
 
     sets = materialise(texts.select("node", "first", F.arrow_udf(hashed, "array<bigint>")("text").alias("set")), "sets")
-    bands = materialise(sets.select("node", F.explode(F.arrow_udf(banded, "array<bigint>")("set")).alias("band")), "bands")
-    links = None
-    while True:
+    signed = materialise(sets.select("node", F.arrow_udf(banded, "array<bigint>")("set").alias("all")), "signed")
+    bands = signed.select("node", F.posexplode("all").alias("i", "band"))
+    links, n = None, PERMUTATIONS // BAND
+    for more in range(1, n + 1):
         groups = bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
         members = bands.join(groups.select("band", "a"), "band").where("node <> a")
         pairs = members.select("a", F.col("node").alias("b")).distinct()
@@ -231,8 +234,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         close = materialise(pairs.join(one, "a").join(two, "b").where(
             (union == 0) | (both >= F.lit(least) * union)).select("a", "b"), "links")
         links = close if links is None else links.union(close)
-        left = members.join(close.select("a", F.col("b").alias("node")), ["a", "node"], "left_anti")
-        bands = materialise(left.select("node", "band"), "bands")
+        left = members.join(close.select("a", F.col("b").alias("node")), ["a", "node"], "left_anti").join(signed, "node")
+        following = F.get("all", (F.col("i") + more) % n)
+        bands = materialise(left.select("node", "i", F.xxhash64("band", following).alias("band")), "bands")
         if bands.isEmpty():
             break
     roots = components(links).select(F.col("node"), F.col("root"))

@@ -95,6 +95,11 @@ def minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.against_next(table(spark, folder, "documents"))
 
 
+@query("minhash_band_groups")
+def minhash_band_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "group_id")
+
+
 @query("op7_minimum_bin_slack")
 def minimum_bin_slack(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers

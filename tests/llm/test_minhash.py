@@ -86,3 +86,13 @@ def test_groups(spark):
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
     assert [r.group_id for r in sorted(got.collect(), key=lambda r: r.doc_id)] == root
+
+
+def test_a_common_passage_draws_nobody_together(spark):
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"q{rng.randrange(10 ** 6)}" for _ in range(60)]) for _ in range(40)]
+    texts += [t + " end" for t in texts[:10]]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.group_id for r in minhash.near_duplicates(df).collect()}
+    assert got == {i: i if i < 40 else i - 40 for i in range(50)}
