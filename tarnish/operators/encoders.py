@@ -236,9 +236,12 @@ def encode(df: DataFrame, text: str, spec: str, out: str = "v",
 
 def encode_high_cardinality(df: DataFrame, spec: str, threshold: int = 30,
                             besides: list[str] | None = None, models=None, hashing: str = "fast",
-                            auto_type: bool = True) -> DataFrame:
+                            auto_type: bool = True, cache=None, dataset: str = "", **flags) -> DataFrame:
     """Replace every high-cardinality text column by its vector (one array column each).
 
+    With a :class:`~tarnish.sources.cache.VectorCache` the vectors of each column are kept under
+    ``dataset``; ``flags`` are ``use_cache``, ``override_cache`` and ``fail_if_not_cached``.
+
     With ``auto_type`` text that looks like numbers or dates throughout is cast first, so that it
     is never taken for text.
     """
@@ -251,7 +254,12 @@ def encode_high_cardinality(df: DataFrame, spec: str, threshold: int = 30,
     chosen = sorted(r["name"] for r in high_cardinality_columns(df, threshold, candidates)
                     .where("high").collect())
     for c in chosen:
-        df = encode(df, c, spec, f"_{c}_v", models, hashing).drop(c).withColumnRenamed(f"_{c}_v", c)
+        if cache is None:
+            df = encode(df, c, spec, f"_{c}_v", models, hashing)
+        else:
+            df = cache.encode(df, c, dataset, spec, lambda texts: encode(
+                texts, "text", spec, "v", models, hashing), **flags).withColumnRenamed("v", f"_{c}_v")
+        df = df.drop(c).withColumnRenamed(f"_{c}_v", c)
     return df
 
 

@@ -75,18 +75,20 @@ class ScaledNumbers(Transformer):
         return df.withColumn(self.out, array_to_vector(F.array(*z)))
 
 
-def pairing_allowed(reduction: Column, model: Column, encoding: Column) -> Column:
+def pairing_allowed(reduction: Column, model: Column, encoding: Column,
+                    exempt: tuple[str, ...] = SHORT_VECTORS) -> Column:
     """Combinations worth running.
 
-    Full-length vectors only go to linear models; short vectors are never reduced.
+    Full-length vectors only go to linear models, unless their family is ``exempt``; min-hash is
+    never reduced. Ensembles exempt min-hash alone.
     """
-    short = reduce(lambda a, b: a | b, [encoding.startswith(p) for p in SHORT_VECTORS])
+    short = reduce(lambda a, b: a | b, [encoding.startswith(p) for p in exempt])
     full = reduction == "passthrough"
     return ~(full & ~model.isin(*LINEAR) & ~short) & ~(~full & encoding.startswith(SHORT_VECTORS[0]))
 
 
-def pairing_rules(grid: DataFrame) -> DataFrame:
-    return grid.where(pairing_allowed(F.col("dim_reduction"), F.col("model"), F.col("encoding")))
+def pairing_rules(grid: DataFrame, exempt: tuple[str, ...] = SHORT_VECTORS) -> DataFrame:
+    return grid.where(pairing_allowed(F.col("dim_reduction"), F.col("model"), F.col("encoding"), exempt))
 
 
 @dataclass

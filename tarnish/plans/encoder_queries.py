@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -9,11 +11,13 @@ from pyspark.sql import DataFrame, functions as F
 from tarnish.functions import vectors
 from tarnish.functions.scalars import QUANTILE_MIDDLE, QUANTILE_TAIL
 from tarnish.operators import encoders, reduction, scaling
-from tarnish.operators.models import pairing_rules, table_vectorizer
+from tarnish.operators.models import SHORT_VECTORS, pairing_rules, table_vectorizer
 from tarnish.operators.tables import grid
 from tarnish.plans.registry import Tables, query
 from tarnish.plans.table_queries import rounded
 from tarnish.plans.text_queries import gram_rows
+from tarnish.session import scratch_dir
+from tarnish.sources.cache import VectorCache
 
 _MATRIX = ("SELECT vec_id, label, unnest(range(64))::INT AS dim, unnest(embedding::DOUBLE[]) AS value FROM embeddings")
 _TRAIN = "label < 7"
@@ -169,6 +173,18 @@ def encode_high_cardinality(t: Tables) -> DataFrame:
     return wide.select("p_partkey", "p_brand", "code", F.posexplode("p_name").alias("dim", "value"))
 
 
+@query("encode_high_cardinality_cached", f"""
+SELECT p_partkey, dim, value FROM ({_minhash_sql('part', 'p_partkey', 'p_name', 'char', 2, 4, 6)})""")
+def encode_high_cardinality_cached(t: Tables) -> DataFrame:
+    # filled from half of the rows, completed by all, then read alone
+    cache = VectorCache(t.spark, f"{scratch_dir(t.spark)}/tarnish/vectors-{uuid.uuid4().hex}")
+    parts = t.part.select("p_partkey", "p_name")
+    for rows, flags in ((parts.where("p_partkey % 2 = 0"), {}), (parts, {}), (parts, {"fail_if_not_cached": True})):
+        wide = encoders.encode_high_cardinality(
+            rows, "skrub__minhash_6", 30, hashing="md5", cache=cache, dataset="part", **flags)
+    return wide.select("p_partkey", F.posexplode("p_name").alias("dim", "value"))
+
+
 # A word vector for every word of the benchmark texts: a row of the embeddings picked by hash.
 _WORDS = """
 SELECT word, embedding::DOUBLE[] AS v FROM (
@@ -295,20 +311,35 @@ def top_k_dims(t: Tables) -> DataFrame:
     return rounded(out.orderBy(F.desc("variance"), "dim").limit(10), "variance")
 
 
-@query("pairing_rules", """
+_CONFIGS = """
 WITH g AS (SELECT p_type AS m, p_brand AS b, p_size AS s FROM (SELECT DISTINCT p_type FROM part),
   (SELECT DISTINCT p_brand FROM part), (SELECT DISTINCT p_size FROM part)),
 n AS (SELECT CASE WHEN m IN ('LARGE', 'SMALL') THEN 'LogisticRegression' ELSE 'GradientBoostingClassifier' END AS model, m,
   CASE WHEN b < 'Brand#15' THEN 'skrub__' || b WHEN b < 'Brand#2' THEN 'fasttext__' || b ELSE 'lm__' || b END AS encoding,
-  CASE WHEN s > 30 THEN 'passthrough' ELSE 'PCA_' || s END AS dim_reduction FROM g)
+  CASE WHEN s > 30 THEN 'passthrough' ELSE 'PCA_' || s END AS dim_reduction FROM g)"""
+
+
+@query("pairing_rules", _CONFIGS + """
 SELECT m, model, encoding, dim_reduction FROM n
 WHERE NOT (dim_reduction = 'passthrough' AND model = 'GradientBoostingClassifier' AND encoding LIKE 'lm\\_\\_%' ESCAPE '\\')
   AND NOT (dim_reduction <> 'passthrough' AND starts_with(encoding, 'skrub'))""")
 def pairing_rules_query(t: Tables) -> DataFrame:
+    return pairing_rules(_configurations(t))
+
+
+@query("ensemble_pairing_rules", f"""{_CONFIGS}
+SELECT m, model, encoding, dim_reduction FROM n
+WHERE NOT (dim_reduction = 'passthrough' AND model = 'GradientBoostingClassifier' AND NOT starts_with(encoding, 'skrub'))
+  AND NOT (dim_reduction <> 'passthrough' AND starts_with(encoding, 'skrub'))""")
+def ensemble_pairing_rules(t: Tables) -> DataFrame:
+    return pairing_rules(_configurations(t), exempt=SHORT_VECTORS[:1])
+
+
+def _configurations(t: Tables) -> DataFrame:
     configs = grid(t.part.select(F.col("p_type").alias("m")).distinct(), b=t.part.select("p_brand"),
                    s=t.part.select("p_size"))
     b = F.col("b")
-    return pairing_rules(configs.select(
+    return (configs.select(
         "m", F.when(F.col("m").isin("LARGE", "SMALL"), "LogisticRegression").otherwise(
             "GradientBoostingClassifier").alias("model"),
         F.concat(F.when(b < "Brand#15", "skrub__").when(b < "Brand#2", "fasttext__").otherwise("lm__"), b)

@@ -13,10 +13,6 @@ from tarnish.operators.splits import fixed_size_split, group_kfold, kfold_contig
 from tarnish.plans.registry import Tables, query
 from tarnish.plans.table_queries import rounded
 
-# Trees per boosted model in these queries; the library default is 100.
-TREES = 5
-
-
 def documents(t: Tables) -> DataFrame:
     """Labelled documents: text, language, source, length, and quality as target."""
     return t.documents.join(t.labels, "doc_id").select(
@@ -29,7 +25,7 @@ def encoded(t: Tables, spec: str = "skrub__minhash_30") -> tuple[DataFrame, Feat
     return df.drop("text"), Features(["text_v", *rest.vectors], rest.numbers, rest.categories)
 
 
-def halves(df: DataFrame, row_id: str, n_splits: int = 2) -> DataFrame:
+def halves(df: DataFrame, row_id: str, n_splits: int = 7) -> DataFrame:
     """Repeated splits, half of the rows for training, all others for testing."""
     rows = df.select(row_id)
     return fixed_size_split(rows, row_id, rows.count() // 2, None, n_splits)
@@ -71,15 +67,15 @@ def evaluate_multi_reduction(t: Tables) -> DataFrame:
 def evaluate_ngram_matrix(t: Tables) -> DataFrame:
     df = documents(t)
     return flat(models.evaluate_ngram_matrix(
-        df, "doc_id", ["text"], ["lang", "source", "n_chars"], halves(documents(t), "doc_id", 1),
-        "LogisticRegression", {"dataset": "documents"}, components=10, tfidf=True, dimensions=2 ** 10),
+        df, "doc_id", ["text"], ["lang", "source", "n_chars"], halves(documents(t), "doc_id"),
+        "LogisticRegression", {"dataset": "documents"}, tfidf=True),
         "accuracies", "roc_auc", "roc_auc_hard")
 
 
 @query("feature_regimes")
 def feature_regimes(t: Tables) -> DataFrame:
     df, features = encoded(t)
-    splits = halves(documents(t), "doc_id", 1)
+    splits = halves(documents(t), "doc_id")
     return flat(reduce(DataFrame.unionByName, [models.evaluate_encoding(
         df, "doc_id", features.regime(r, ["text_v"]), splits, "LogisticRegression", {"features": r})
         for r in models.FEATURES]), "accuracies", "roc_auc")
@@ -90,7 +86,7 @@ def logistic_regression(t: Tables) -> DataFrame:
     # ten classes: one-vs-rest AUC
     df = with_vectors(t.embeddings.withColumn("y", F.col("label").cast("double")), ["embedding"])
     return flat(models.evaluate_encoding(
-        df, "vec_id", Features(["embedding"]), halves(t.embeddings.select("vec_id"), "vec_id", 1), "LogisticRegression",
+        df, "vec_id", Features(["embedding"]), halves(t.embeddings.select("vec_id"), "vec_id"), "LogisticRegression",
         {"dataset": "embeddings"}, n_classes=10), "accuracies", "roc_auc")
 
 
@@ -98,8 +94,8 @@ def logistic_regression(t: Tables) -> DataFrame:
 def gbt_classifier(t: Tables) -> DataFrame:
     df, features = encoded(t)
     return flat(models.evaluate_encoding(
-        df, "doc_id", features, halves(documents(t), "doc_id", 1), "GradientBoostingClassifier",
-        {"dataset": "documents"}, trees=TREES), "accuracies", "roc_auc")
+        df, "doc_id", features, halves(documents(t), "doc_id"), "GradientBoostingClassifier",
+        {"dataset": "documents"}), "accuracies", "roc_auc")
 
 
 def _customers(t: Tables) -> tuple[DataFrame, Features]:
@@ -128,14 +124,14 @@ def linear_regression(t: Tables) -> DataFrame:
 
 @query("gbt_regressor")
 def gbt_regressor(t: Tables) -> DataFrame:
-    return _regression(t, "GradientBoostingRegressor", custom=True, trees=TREES)
+    return _regression(t, "GradientBoostingRegressor", custom=True)
 
 
 def _ensemble(t: Tables, aggregation: str, **params) -> DataFrame:
     df, features = encoded(t)
     return flat(models.evaluate_ensemble(
         df, "doc_id", features.regime("text_only", ["text_v"]), features.regime("rest_only", ["text_v"]),
-        halves(documents(t), "doc_id", 1), "LogisticRegression", "LogisticRegression", aggregation,
+        halves(documents(t), "doc_id"), "LogisticRegression", "LogisticRegression", aggregation,
         {"encoding": "skrub__minhash_30"}, **params), "accuracies", "roc_auc")
 
 
@@ -146,7 +142,7 @@ def ensemble_voting(t: Tables) -> DataFrame:
 
 @query("ensemble_stacking")
 def ensemble_stacking(t: Tables) -> DataFrame:
-    return _ensemble(t, "stacking", inner_folds=3)
+    return _ensemble(t, "stacking")
 
 
 @query("column_replacement_ablation")
@@ -156,5 +152,5 @@ def column_replacement_ablation(t: Tables) -> DataFrame:
     n = total // 2
     return flat(models.column_replacement_ablation(
         df, "doc_id", ["text", "source"], ["lang", "n_chars"], "skrub__minhash_10", "skrub__minhash_30",
-        fixed_size_split(df, "doc_id", n, None, 1), "LogisticRegression", {"dataset": "documents"},
-        n, total - n, components=5), "accuracies", "roc_auc")
+        fixed_size_split(df, "doc_id", n, None, 7), "LogisticRegression", {"dataset": "documents"},
+        n, total - n), "accuracies", "roc_auc")

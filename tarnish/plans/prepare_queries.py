@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tarnish.operators import clean, splits, tables, target
 from tarnish.operators.clean import FALSE_MISSING
+from tarnish.operators.loading import prepare_dataset
 from tarnish.plans.fixtures import DIRTY_SQL, RESULTS_SQL, dirty, results
 from tarnish.plans.registry import Tables, query
 
@@ -215,6 +216,14 @@ def prepare_target(t: Tables) -> DataFrame:
     return target.prepare_target(t.orders, "o_totalprice").select("o_orderkey", "y")
 
 
+@query("prepare_dataset", f"""
+WITH k AS (SELECT * FROM ({_CLEAN}) WHERE target IS NOT NULL AND name IS NOT NULL AND segment IS NOT NULL AND balance IS NOT NULL)
+SELECT id, name, segment, balance, CAST(target > (SELECT median(target) FROM k) AS BIGINT) AS y FROM k
+ORDER BY md5(concat('42:', CAST(id AS VARCHAR))), id LIMIT 500""")
+def prepare_dataset_query(t: Tables) -> DataFrame:
+    return prepare_dataset(dirty(t), "target", "id", _FEATURES, max_rows=500)
+
+
 # --------------------------------------------------------------------------- splits
 
 @query("shuffle_limit", """

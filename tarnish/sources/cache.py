@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.errors import AnalysisException
 
 
 class VectorCache:
@@ -22,12 +21,17 @@ class VectorCache:
         self.spark, self.path = spark, path
 
     def read(self, dataset: str, column: str, encoder: str) -> DataFrame:
-        try:
+        if self.exists():
             rows = self.spark.read.schema(self.SCHEMA).parquet(self.path)
-        except AnalysisException:
+        else:
             rows = self.spark.createDataFrame([], self.SCHEMA)
+        # two writers may have added the same text
         return rows.where((F.col("dataset") == dataset) & (F.col("column") == column)
-                          & (F.col("encoder") == encoder)).select("text", "v")
+                          & (F.col("encoder") == encoder)).select("text", "v").dropDuplicates(["text"])
+
+    def exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def missing(self, texts: DataFrame, dataset: str, column: str, encoder: str) -> DataFrame:
         """Distinct texts the cache does not hold."""
@@ -49,7 +53,10 @@ class VectorCache:
     def encode(self, df: DataFrame, column: str, dataset: str, encoder: str,
                model: Callable[[DataFrame], DataFrame], use_cache: bool = True,
                override_cache: bool = False, fail_if_not_cached: bool = False) -> DataFrame:
-        """Give every row the vector of its text; ``model`` maps ``(text)`` to ``(text, v)``."""
+        """Give every row the vector ``v`` of its text; ``model`` maps ``(text)`` to ``(text, v)``.
+
+        Reads, and where texts are missing writes, the cache before it returns.
+        """
         texts = df.select(F.col(column).alias("text"))
         if not use_cache:
             vectors = model(texts.where("text is not null").distinct())
