@@ -30,7 +30,7 @@ WIDTH, PERMUTATIONS = 5, 128
 #: 32 bands of 4: a pair of likeness 0.8 shares no band with probability 4e-8.
 BAND = 4
 #: Shingles that go through all permutations at a time, and words remembered by a worker.
-CHUNK, REMEMBERED = 2048, 1 << 19
+CHUNK, REMEMBERED = 2048, 1 << 18
 
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(0, 1 << 64, PERMUTATIONS, np.uint64) | np.uint64(1)

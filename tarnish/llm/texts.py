@@ -10,7 +10,8 @@ import pyarrow as pa
 
 def raw_texts(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 of each text, one at a time; a null text is empty."""
-    for value in column.cast(pa.large_binary()):
+    # the same bytes under another type: nothing is copied
+    for value in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()):
         yield value.as_py() or b""
 
 
@@ -30,7 +31,7 @@ class WordIds(dict):
     numbers below 2**21, so that three of them fit one 64-bit integer.
     """
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 17
 
     def __missing__(self, word: bytes) -> int:
         self[word] = found = len(self)

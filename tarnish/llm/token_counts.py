@@ -9,7 +9,7 @@ any text is read:
 * which strings of the vocabulary the model itself encodes, standing alone, as that one token.
 
 A pre-token among these counts one. Only the rest goes through the model's merges, each string
-once per worker while it stays in a table of bounded size.
+once per worker while it is remembered, in tables of bounded size.
 
 Defined cases: a null text is empty and has no tokens; repeated rows and extra columns pass
 through; an empty table stays empty. Special strings inside a text are ordinary text, as the
@@ -28,18 +28,22 @@ from pyspark.sql import DataFrame, functions as F
 SPACE = "▁"
 #: A line feed; a word with the space marks before it; space marks alone.
 PRE_TOKEN = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-#: Strings remembered per worker, and the longest of them.
-REMEMBERED, LONGEST = 500_000, 64
+#: Strings remembered per worker in each generation, and the longest of them.
+REMEMBERED, LONGEST = 150_000, 64
 
 
 class PreTokenCounts(dict):
-    """Tokens of each pre-token; begins with the proven whole tokens."""
+    """Tokens of each pre-token; begins with the proven whole tokens.
+
+    When the younger of two generations is full, the older is forgotten: frequent strings stay.
+    """
 
     def __init__(self, model: str):
         import sentencepiece
         super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
         self.feed = len(self.model.encode("\n", num_threads=1))
+        self.older: dict[str, int] = {}
         self.prove()
 
     def prove(self) -> None:
@@ -63,9 +67,10 @@ class PreTokenCounts(dict):
         return len(self.model.encode("\n" + chunk, num_threads=1)) - self.feed
 
     def __missing__(self, chunk: str) -> int:
-        count = self.merged(chunk)
+        count = self.older.get(chunk) or self.merged(chunk)
         if len(chunk) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
                 self.update(dict.fromkeys(self.whole, 1))
             self[chunk] = count
