@@ -35,7 +35,7 @@ CAPACITY = 4096
 #: Words remembered per worker in each generation, and the longest of them.
 REMEMBERED, LONGEST = 150_000, 64
 #: Pieces of one length that are numbered together.
-BUCKET = 20_000
+BUCKET = 1000
 
 
 #: Characters whose treatment needs no Unicode tables: ASCII but the apostrophe, and Latin-1 letters.
