@@ -182,7 +182,9 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     joined = docs.join(anchors.select(F.struct("id", "version", "anchors").alias(a)), (ident == F.col(f"{a}.id")) & (
         F.xxhash64(body) == F.col(f"{a}.version")), "left")
     # texts without a run in common with an earlier one don't go to Python
-    joined = joined.withColumn(d, F.when(F.col(f"{a}.anchors").isNotNull(), F.arrow_udf(delete, BLOCKS)(
+    # called nondeterministic, so that a filter on its result doesn't have it done twice
+    remove = F.arrow_udf(delete, BLOCKS).asNondeterministic()
+    joined = joined.withColumn(d, F.when(F.col(f"{a}.anchors").isNotNull(), remove(
         F.when(F.col(f"{a}.anchors").isNotNull(), body), F.col(f"{a}.anchors"))))
     none = F.array().cast("array<struct<partner:bigint,first_line:int,last_line:int,words:int>>")
     return joined.select(*[(F.when(F.col(d).isNotNull(), F.col(f"{d}.text")).otherwise(F.col(f"`{c}`")).alias(c) if c == text

@@ -33,7 +33,7 @@ from tarnish.session import materialise
 
 CAPACITY = 4096
 #: Words remembered per worker in each generation, and the longest of them.
-REMEMBERED, LONGEST = 150_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 #: Pieces of one length that are numbered together.
 BUCKET = 1000
 

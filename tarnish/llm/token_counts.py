@@ -29,7 +29,7 @@ SPACE = "▁"
 #: A line feed; a word with the space marks before it; space marks alone.
 PRE_TOKEN = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 #: Strings remembered per worker in each generation, and the longest of them.
-REMEMBERED, LONGEST = 150_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 
 
 class PreTokenCounts(dict):
@@ -93,6 +93,7 @@ def token_counts(docs: DataFrame, model: str, text: str = "text", out: str = "n_
     One pass without a shuffle: every row is counted where it is read.
     """
     def count(texts: pa.Array) -> pa.Array:
+        pa.default_memory_pool().release_unused()
         known = counts_of(model)
         return pa.array(np.fromiter((known.of(t.as_py() or "") for t in texts), np.int64, len(texts)))
 
