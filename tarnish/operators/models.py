@@ -243,13 +243,33 @@ def _split_ids(splits: DataFrame) -> list[int]:
 def evaluate_encoding(df: DataFrame, row_id: str, features: Features, splits: DataFrame,
                       model_name: str, labels: dict, regression: bool = False,
                       n_classes: int = 2, trees: int = 100) -> DataFrame:
-    """Fit and score one configuration on every split; returns its record."""
-    data = materialise(df, "features")
+    """Fit and score one configuration on every split; returns its record, with the rows of its
+    first split. A combination that the pairing rules exclude is refused."""
+    refuse_excluded(labels, model_name)
+    data, splits = materialise(df, "features"), materialise(splits, "splits")
+    ids = _split_ids(splits)
     estimator = make_model(model_name, n_classes, trees)
     stages = [*features.stages(model_name in LINEAR), estimator]
-    predictions = cross_predict(data, row_id, materialise(splits, "splits"), _split_ids(splits),
+    predictions = cross_predict(data, row_id, splits, ids,
                                 lambda train: Pipeline(stages=stages).fit(train), n_classes)
-    return to_record(score(predictions, regression, n_classes), {**labels, "model": model_name})
+    return to_record(score(predictions, regression, n_classes), {
+        **labels, "model": model_name, **split_sizes(splits, ids)})
+
+
+def split_sizes(splits: DataFrame, ids: list[int]) -> dict[str, int]:
+    """``n_train`` and ``n_test`` of the first split."""
+    counts = {r.role: r["count"] for r in splits.where(F.col("split_id") == ids[0]).groupBy("role").count().collect()} if ids else {}
+    return {f"n_{role}": counts.get(role, 0) for role in ("train", "test")}
+
+
+def refuse_excluded(labels: dict, model_name: str, exempt: tuple[str, ...] = SHORT_VECTORS) -> None:
+    """The pairing rules for one configuration that names its encoding and its reduction."""
+    encoding, reduction = labels.get("encoding"), labels.get("dim_reduction")
+    if encoding is None or reduction is None:
+        return
+    full, short = reduction == "passthrough", str(encoding).startswith(exempt)
+    if (full and model_name not in LINEAR and not short) or (not full and str(encoding).startswith(SHORT_VECTORS[0])):
+        raise ValueError(f"{encoding} with {reduction} is not to be run with {model_name}")
 
 
 def reduction_names(features: Features, text: list[str]) -> str:
@@ -306,6 +326,8 @@ def evaluate_ensemble(df: DataFrame, row_id: str, text: Features, rest: Features
     ``voting`` averages probabilities; ``stacking`` fits a logistic model on out-of-fold
     probabilities of the training rows.
     """
+    for name in (text_model, rest_model):
+        refuse_excluded(labels, name, exempt=SHORT_VECTORS[:1])
     data = materialise(df, "features")
     pipelines = [
         Pipeline(stages=[*f.stages(m in LINEAR), make_model(m, n_classes, trees)])

@@ -20,15 +20,29 @@ def range_splits(df: DataFrame, value: str, buckets: int | None = None) -> Colum
 
     The sketch has a fixed size whatever the data volume.
     """
-    n = buckets or max(4, min(1024, parallelism(df.sparkSession)))
+    # as many as there are partitions, which the user sets by the volume
+    n = buckets or max(4, min(1 << 14, parallelism(df.sparkSession)))
     probs = ", ".join(f"{i / n!r}D" for i in range(1, n))
     return df.agg(F.expr(
         f"percentile_approx(cast(`{value}` as double), array({probs}), {10 * n})").alias("s")).scalar()
 
 
+# Split points that are compared one by one; longer lists are searched in two levels.
+BLOCK = 128
+
+
 def bucket_of(value: Column, splits: Column) -> Column:
     """Number of split points below the value: a monotone bucket number."""
-    return F.coalesce(F.size(F.filter(splits, lambda s: s < value.cast("double"))), F.lit(0))
+    v = value.cast("double")
+
+    def below(points: Column) -> Column:
+        return F.size(F.filter(points, lambda s: s < v))
+
+    # the last point of every block first, then the points of the one block that is left
+    blocks = F.sequence(F.lit(0), F.floor(F.size(splits) / BLOCK).cast("int") - 1)
+    full = F.size(F.filter(blocks, lambda i: F.get(splits, (i + 1) * BLOCK - 1) < v)) * BLOCK
+    two_levels = full + below(F.slice(splits, full + 1, F.lit(BLOCK)))
+    return F.coalesce(F.when(F.size(splits) <= 2 * BLOCK, below(splits)).otherwise(two_levels), F.lit(0))
 
 
 def hash_bucket(digest: str) -> Column:
@@ -90,27 +104,40 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str,
                     probs: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation, ``probs`` mapping output name to probability.
 
-    Equal to ``percentile`` but without holding the distinct values of a group in one task.
+    Equal to ``percentile`` but without holding the distinct values of a group in one task. The
+    buckets' totals tell which bucket holds a wanted rank; only those buckets are sorted.
     """
-    cum = cumulative_counts(df, keys, value)
-    present = df.where(F.col(value).isNotNull())
-    # one row per group joins back; the filter below keeps only values that cover a wanted rank
-    if keys:
-        joined = cum.join(present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")), keys)
-    else:
-        joined = cum.withColumn("_total", present.agg(F.count(F.lit(1))).scalar())
-    first, last = F.col("_before"), F.col("_before") + F.col("_n") - 1
-    aggs, wanted = [], F.lit(False)
+    counts = value_counts(df, keys, value)
+    counts = counts.withColumn("_splits", range_splits(counts, value)).withColumn(
+        "_b", bucket_of(F.col(value), F.col("_splits"))).drop("_splits")
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    # one row per (group, bucket)
+    totals = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_t"))
+    totals = totals.withColumn("_total", F.sum("_t").over(group)).withColumn("_start", F.coalesce(F.sum("_t").over(
+        group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+    def covers(first: Column, n: Column, rank: Column) -> Column:
+        return (first <= rank) & (rank < first + n)
+
+    def any_rank(first: Column, n: Column) -> Column:
+        found = F.lit(False)
+        for p in probs.values():
+            rank = F.lit(float(p)) * (F.col("_total") - 1)
+            found = found | covers(first, n, F.floor(rank)) | covers(first, n, F.ceil(rank))
+        return found
+
+    needed = totals.where(any_rank(F.col("_start"), F.col("_t"))).drop("_t")
+    needed = needed.withColumnsRenamed({c: f"_k_{c}" for c in [*keys, "_b"]})
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*keys, "_b"]]
+    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.join(needed, reduce(lambda a, b: a & b, same)).withColumn(
+        "_before", F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    aggs = []
     for name, p in probs.items():
-        rank = F.lit(float(p)) * (F.col("_total") - 1)
-        lo, hi, frac = F.floor(rank), F.ceil(rank), rank - F.floor(rank)
-        has_lo, has_hi = (first <= lo) & (lo <= last), (first <= hi) & (hi <= last)
-        wanted = wanted | has_lo | has_hi
-        v = F.col(value).cast("double")
-        low, high = F.max(F.when(has_lo, v)), F.max(F.when(has_hi, v))
-        weight = F.max(frac)
-        aggs.append((low + (high - low) * weight).alias(name))
-    return joined.where(wanted).groupBy(*keys).agg(*aggs)
+        rank, v = F.lit(float(p)) * (F.col("_total") - 1), F.col(value).cast("double")
+        low, high = (F.max(F.when(covers(F.col("_before"), F.col("_n"), r), v)) for r in (F.floor(rank), F.ceil(rank)))
+        aggs.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(name))
+    return ranked.where(any_rank(F.col("_before"), F.col("_n"))).groupBy(*keys).agg(*aggs)
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str = "rank",

@@ -218,7 +218,8 @@ def prepare_target(t: Tables) -> DataFrame:
 
 @query("prepare_dataset", f"""
 WITH k AS (SELECT * FROM ({_CLEAN}) WHERE target IS NOT NULL AND name IS NOT NULL AND segment IS NOT NULL AND balance IS NOT NULL)
-SELECT id, name, segment, balance, CAST(target > (SELECT median(target) FROM k) AS BIGINT) AS y FROM k
+SELECT id, name, segment, balance, CASE WHEN (SELECT count(DISTINCT target) FROM k) <= 20
+  THEN dense_rank() OVER (ORDER BY target) - 1 ELSE CAST(target > (SELECT median(target) FROM k) AS BIGINT) END AS y FROM k
 ORDER BY md5(concat('42:', CAST(id AS VARCHAR))), id LIMIT 500""")
 def prepare_dataset_query(t: Tables) -> DataFrame:
     return prepare_dataset(dirty(t), "target", "id", _FEATURES, max_rows=500)

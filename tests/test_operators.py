@@ -357,3 +357,12 @@ def test_positions(spark):
     got = {(r.g, r.v): r.position for r in tables.row_position(df, ["g"], "v").collect()}
     assert got == {("a", 2): 1, ("a", 5): 2, ("a", 9): 3, ("b", 1): 1}
     assert {r.v: r.position for r in ordering.sorted_positions(df, [], "v").collect()} == {1: 0, 2: 1, 5: 2, 9: 3}
+
+
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 256, 257, 300, 1023])
+def test_bucket_number_in_two_levels(spark, n):
+    points = [float(i) for i in range(n)]
+    values = [-1.0, 0.0, 0.5, 127.0, 127.5, 128.0, 255.5, 256.5, 299.5, 5000.0]
+    df = frame(spark, [(v, points) for v in values], "v double, s array<double>")
+    got = {r.v: r.b for r in df.select("v", ordering.bucket_of(F.col("v"), F.col("s")).alias("b")).collect()}
+    assert got == {v: sum(p < v for p in points) for v in values}
