@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tarnish.llm.texts import fresh
 from tarnish.session import materialise
@@ -30,26 +30,28 @@ OVERFULL, ROUNDS = 2.0, 4
 Key = tuple[int, int, int]
 
 
-def ascending(splitters: list[Key]) -> Column:
-    """The splitters as a literal array of structs."""
-    return F.array(*[F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in zip("gtu", s)]) for s in splitters])
+def with_range(records: DataFrame, splitters: list[Key], out: str = "r") -> DataFrame:
+    """Add the number of splitters at or below the key ``(g, t, u)``.
 
-
-def range_of(key: Column, splitters: list[Key]) -> Column:
-    """Number of splitters at or below the key: first among every w-th, then among the w after it."""
+    The splitters are one array, computed once per job; every w-th is compared first, then the w
+    of the one block that is left.
+    """
     if not splitters:
-        return F.lit(0)
-    w = max(1, math.isqrt(len(splitters)))
-    every = ascending(splitters[w - 1::w])
-    coarse = F.size(F.filter(every, lambda s: s <= key))
-    blocks = [splitters[i:i + w] for i in range(0, len(splitters), w)]
-    block = F.get(F.array(*[ascending(b) for b in blocks]), coarse)
-    return coarse * w + F.coalesce(F.size(F.filter(block, lambda s: s <= key)), F.lit(0))
+        return records.withColumn(out, F.lit(0))
+    table = records.sparkSession.createDataFrame(splitters, "g bigint, t bigint, u bigint")
+    points = table.agg(F.sort_array(F.collect_list(F.struct("g", "t", "u")))).scalar()
+    key, w = F.struct("g", "t", "u"), max(1, math.isqrt(len(splitters)))
+    firsts = F.transform(F.sequence(F.lit(1), F.lit(len(splitters) // w)), lambda i: F.get("_points", i * w - 1))
+    found = records.withColumn("_points", points).withColumn("_firsts", firsts).withColumn(
+        "_block", F.size(F.filter("_firsts", lambda s: s <= key)) * w)
+    own = F.slice("_points", F.col("_block") + 1, F.lit(w))
+    return found.withColumn(out, F.col("_block") + F.size(F.filter(own, lambda s: s <= key))).drop(
+        "_points", "_firsts", "_block")
 
 
 def splitters_of(records: DataFrame, ranges: int, total: int) -> list[Key]:
     """Quantile boundaries from a size-weighted sample; overfull ranges are cut again."""
-    key, share = F.struct("g", "t", "u"), total / ranges
+    share = total / ranges
     chance = F.pmod(F.xxhash64("u", "t"), F.lit(1 << 40)) / float(1 << 40)
 
     def sample(rows: DataFrame, per_byte: float) -> list[Key]:
@@ -59,13 +61,13 @@ def splitters_of(records: DataFrame, ranges: int, total: int) -> list[Key]:
     points = sample(records, POINTS * ranges / total)
     cuts = sorted(set(points[POINTS - 1::POINTS]))
     for i in range(1, ROUNDS + 1):
-        sums = {r.r: r.size for r in records.groupBy(range_of(key, cuts).alias("r")).agg(F.sum("size").alias("size")).collect()}
+        sums = {r.r: r.size for r in with_range(records, cuts).groupBy("r").agg(F.sum("size").alias("size")).collect()}
         over = [r for r, size in sums.items() if size > OVERFULL * share]
         if not over:
             break
         # four times as many points inside them, and a cut at every half share
         points = POINTS * 4 ** i
-        inside = records.where(range_of(key, cuts).isin(over))
+        inside = with_range(records, cuts).where(F.col("r").isin(over))
         new = set(sample(inside, points * ranges / total)[::points // 2]) - set(cuts)
         if not new:  # single records larger than a range
             break
@@ -87,7 +89,7 @@ def shard(records: DataFrame, shards: int, size: str = "size", group: str = "gro
     ranges = max(shards * RANGES, min(1 << 16, -(-n // RECORDS)))
     cuts = splitters_of(bare, ranges, total) if total else []
 
-    at = bare.withColumn("r", range_of(F.struct("g", "t", "u"), cuts))
+    at = with_range(bare, cuts)
     here = Window.partitionBy("r").orderBy("g", "t", "u")
     placed = materialise(at.select(
         "g", "u", "r", "size", (F.row_number().over(here) - 1).alias("row"),

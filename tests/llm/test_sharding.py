@@ -63,10 +63,10 @@ def test_overfull_ranges_are_cut(spark, monkeypatch):
     total = sum(r[1] for r in rows)
     cuts = sharding.splitters_of(keyed, 64, total)
     from pyspark.sql import functions as F
-    sums = keyed.groupBy(sharding.range_of(F.struct("g", "t", "u"), cuts).alias("r")).agg(F.sum("size").alias("s")).collect()
+    sums = sharding.with_range(keyed, cuts).groupBy("r").agg(F.sum("size").alias("s")).collect()
     assert max(r.s for r in sums) <= 2 * total / 64 + 50
     keys = sorted(tuple(r)[:3] for r in keyed.collect())
-    ranged = {(r.g, r.t, r.u): r.r for r in keyed.withColumn("r", sharding.range_of(F.struct("g", "t", "u"), cuts)).collect()}
+    ranged = {(r.g, r.t, r.u): r.r for r in sharding.with_range(keyed, cuts).collect()}
     assert [ranged[k] for k in keys] == [sum(c <= k for c in cuts) for k in keys]
 
 
