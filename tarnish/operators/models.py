@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import (PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler)
@@ -197,13 +200,20 @@ def _probabilities(df: DataFrame, n_classes: int) -> DataFrame:
 def cross_predict(df: DataFrame, row_id: str, splits: DataFrame, split_ids: list[int],
                   fit: Callable[[DataFrame], object], n_classes: int) -> DataFrame:
     """Predictions of every test part: ``(split_id, row_id, y, prediction, p)``."""
-    parts = []
-    for s in split_ids:
+    def one(s: int) -> DataFrame:
         model = fit(_part(df, splits, row_id, s, "train"))
         test = model.transform(_part(df, splits, row_id, s, "test"))
-        parts.append(_probabilities(test, n_classes).select(
-            F.lit(s).alias("split_id"), row_id, "y", "prediction", "p"))
-    return materialise(reduce(DataFrame.unionByName, parts), "predictions")
+        return _probabilities(test, n_classes).select(F.lit(s).alias("split_id"), row_id, "y", "prediction", "p")
+
+    return materialise(reduce(DataFrame.unionByName, side_by_side(one, split_ids)), "predictions")
+
+
+def side_by_side(work: Callable[[int], DataFrame], splits: list[int], threads: int = 8) -> list[DataFrame]:
+    """The splits' fits at the same time: each is a chain of small jobs that leaves cores idle."""
+    with ThreadPoolExecutor(min(threads, max(1, len(splits)))) as pool:
+        # every thread sees the caller's scratch scopes
+        runs = [pool.submit(inheritable_thread_target(copy_context().run), work, s) for s in splits]
+        return [r.result() for r in runs]
 
 
 def score(predictions: DataFrame, regression: bool, n_classes: int) -> DataFrame:
@@ -368,8 +378,7 @@ def evaluate_ngram_matrix(df: DataFrame, row_id: str, texts: list[str], rest: li
     splits = materialise(splits, "splits")
     longs = {c: materialise(hashing_vectorizer(df, row_id, c, analyzer, ngram_range, dimensions),
                             "ngrams") for c in texts}
-    parts = []
-    for s in _split_ids(splits):
+    def one(s: int) -> DataFrame:
         mine = splits.where(F.col("split_id") == s).select(row_id, "role")
         data, used = base.join(mine, row_id), list(routed.vectors)
         for c, long in longs.items():
@@ -388,8 +397,9 @@ def evaluate_ngram_matrix(df: DataFrame, row_id: str, texts: list[str], rest: li
         model = Pipeline(stages=[*stages, make_model(model_name, 2, trees)]).fit(
             data.where("role = 'train'"))
         test = _probabilities(model.transform(data.where("role = 'test'")), 2)
-        parts.append(test.select(F.lit(s).alias("split_id"), row_id, "y", "prediction", "p"))
-    predictions = materialise(reduce(DataFrame.unionByName, parts), "predictions")
+        return test.select(F.lit(s).alias("split_id"), row_id, "y", "prediction", "p")
+
+    predictions = materialise(reduce(DataFrame.unionByName, side_by_side(one, _split_ids(splits))), "predictions")
     scores = score(predictions, False, 2).join(
         metrics.balanced_accuracy(predictions, ["split_id"], "y", "prediction"), "split_id")
     return to_record(scores, {**labels, "model": model_name, "features": features,
