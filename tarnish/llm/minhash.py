@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tarnish.llm.components import components
 from tarnish.llm.texts import fresh, raw_texts
@@ -188,60 +188,106 @@ def against_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return whole.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8,
-                    out: str = "group_id") -> DataFrame:
-    """``docs`` with the smallest id among the texts that verified links connect.
+def text_hash(text: Column) -> Column:
+    """60 bits of SHA-256 stand for a text; a null text is empty."""
+    return F.conv(F.substring(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256), 1, 15), 16, 10).cast("bigint")
 
-    Equal texts are one. In every band group each text is paired with the group's first text, not
-    with all others, and the true Jaccard of the shingle sets decides. Texts that don't match
-    their first text are grouped anew by one band more, and so on: a group that a common passage
-    has drawn together falls apart by what else its texts hold, in at most as many rounds as
-    there are bands. Texts that are near share most bands, so they meet in many groups.
-    """
-    spark = docs.sparkSession
-    columns = [c for c in docs.columns if c != out]
-    node = fresh("_text_hash", columns)
-    # 64 bits of SHA-256 stand for a text; the id of the lowest row stands for its copies
-    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], F.conv(F.substring(F.sha2(
-        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256), 1, 15), 16, 10).cast("bigint").alias(node))
-    texts = keyed.groupBy(F.col(node).alias("node")).agg(
-        F.min(f"`{doc_id}`").alias("first"), F.min(F.col(f"`{text}`").cast("string")).alias("text"))
 
+def links(texts: DataFrame, least: float = 0.8) -> DataFrame:
+    """Edges ``(a, b)`` that connect what a likeness of ``least`` links among the ``node`` (see
+    :func:`text_hash`) and ``text`` of ``texts``: two texts that share a band and whose true
+    Jaccard reaches it. Rows may repeat. Only texts in company are moved.
+
+    In every band group each text is first paired with the group's busiest one, that with the most
+    company over all its bands: the original of many edits is in company with all of them. Pairs
+    that these links leave apart are all looked at by :func:`apart`.
+    """
     def hashed(column: pa.Array) -> pa.Array:
         known = WordHashes()
         return pa.array([np.unique(shingles(raw, known)).view(np.int64) for raw in raw_texts(column)],
                         pa.list_(pa.int64()))
 
     def banded(column: pa.Array) -> pa.Array:
-        out_ = []
-        for own in column:
-            own = np.asarray(own.as_py() or [], np.int64).view(np.uint64)
-            rows = signature(own).reshape(-1, BAND)
+        known, out_ = WordHashes(), []
+        for raw in raw_texts(column):
+            rows = signature(shingles(raw, known)).reshape(-1, BAND)
             out_.append([xxhash.xxh3_64_intdigest(r.tobytes(), i) >> 1 for i, r in enumerate(rows)])
         return pa.array(out_, pa.list_(pa.int64()))
 
-    sets = materialise(texts.select("node", "first", F.arrow_udf(hashed, "array<bigint>")("text").alias("set")), "sets")
-    signed = materialise(sets.select("node", F.arrow_udf(banded, "array<bigint>")("set").alias("all")), "signed")
-    bands = signed.select("node", F.posexplode("all").alias("i", "band"))
-    links, n = None, PERMUTATIONS // BAND
-    for more in range(1, n + 1):
-        groups = bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
-        members = bands.join(groups.select("band", "a"), "band").where("node <> a")
-        pairs = members.select("a", F.col("node").alias("b")).distinct()
-        one, two = (sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        union = F.size("set_a") + F.size("set_b") - both
-        close = materialise(pairs.join(one, "a").join(two, "b").where(
-            (union == 0) | (both >= F.lit(least) * union)).select("a", "b"), "links")
-        links = close if links is None else links.union(close)
-        left = members.join(close.select("a", F.col("b").alias("node")), ["a", "node"], "left_anti").join(signed, "node")
-        following = F.get("all", (F.col("i") + more) % n)
-        bands = materialise(left.select("node", "i", F.xxhash64("band", following).alias("band")), "bands")
-        if bands.isEmpty():
-            break
-    roots = components(links).select(F.col("node"), F.col("root"))
-    named = sets.select("node", "first").join(roots, "node", "left").select(
-        "node", "first", F.coalesce("root", "node").alias("root"))
+    signed = texts.select("node", F.arrow_udf(banded, "array<bigint>")("text").alias("all")).dropDuplicates(["node"])
+    bands = materialise(signed.select("node", F.explode("all").alias("band")), "signed")
+    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bands = materialise(bands.join(sizes, "band").select("node", "band", "n"), "bands")
+    company = materialise(bands.groupBy("node").agg(F.sum("n").alias("company")), "company")
+    sets = materialise(texts.join(company, "node", "left_semi").dropDuplicates(["node"]).select(
+        "node", F.arrow_udf(hashed, "array<bigint>")("text").alias("set")), "sets")
+    busiest = bands.join(company, "node").groupBy("band").agg(F.max(F.struct("company", "node")).alias("of"))
+    pairs = bands.join(busiest, "band").select(F.col("of.node").alias("a"), F.col("node").alias("b")).where("a <> b")
+    close = materialise(verified(pairs.distinct(), sets, least), "links")
+    roots = components(close)
+    labelled = bands.join(roots, "node", "left").select("node", "band", F.coalesce("root", "node").alias("root"))
+    mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    split = materialise(labelled.join(mixed, "band", "left_semi").select("node", "root").distinct(), "split")
+    return close.union(materialise(verified(apart(split.join(sets, "node"), least), sets, least), "links"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets have a Jaccard of ``least`` or more."""
+    one, two = (sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    union = F.size("set_a") + F.size("set_b") - both
+    return pairs.join(one, "a").join(two, "b").where((union == 0) | (both >= F.lit(least) * union)).select("a", "b")
+
+
+#: Holders of a shingle that meet in one piece of a join.
+HOLDERS = 256
+
+
+def apart(split: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(a, b)`` of different roots that may reach ``least``; none that does is left out.
+
+    With the shingles of every set ordered from the rarest on, two sets of Jaccard ``least`` share
+    one among the first ``n - ceil(least * n) + 1`` of each; the first that they share has enough
+    shingles behind it on either side, and their sizes are near. Texts that a common passage
+    has drawn together don't meet, for their rarest shingles lie outside it. Holders of one
+    shingle meet chunk by chunk.
+    """
+    slack = 1e-9  # bounds are rounded towards more pairs
+    each = split.select("node", "root", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
+    shared = each.join(often.where("df > 1"), "shingle").groupBy("node", "root", "n").agg(
+        F.array_sort(F.collect_list(F.struct("df", "shingle", (F.col("low") < F.col("high")).alias("links")))).alias("shared"))
+    # the shingles that no other set has come first and fill places too
+    alone = F.col("n") - F.size("shared")
+    places = F.col("n") - F.ceil(F.col("n") * least - slack) + 1 - alone
+    first = shared.where(places > 0).select(
+        "node", "root", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), places.cast("int"))).alias("place", "of"))
+    # a shingle whose holders are all connected links nothing
+    held = materialise(first.where("of.links").select(
+        "node", "root", "n", (F.col("alone") + F.col("place")).alias("place"), F.col("of.shingle").alias("shingle"),
+        F.ceil(F.col("of.df") / HOLDERS).cast("int").alias("chunks")), "held")
+    own = held.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    rows = own.select(F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"),
+                      "shingle", F.col("own").alias("row"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("column"))
+    columns = own.select(F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"),
+                         "shingle", F.col("own").alias("column"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("row"))
+    needed = (F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - slack
+    behind = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    return rows.join(columns, ["shingle", "row", "column"]).where(
+        (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (behind >= needed)).select("a", "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8,
+                    out: str = "group_id") -> DataFrame:
+    """``docs`` with the smallest id among the texts that verified links connect. Equal texts are one."""
+    columns = [c for c in docs.columns if c != out]
+    node = fresh("_text_hash", columns)
+    # the id of the lowest row stands for its copies
+    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], text_hash(F.col(f"`{text}`")).alias(node))
+    texts = docs.select(text_hash(F.col(f"`{text}`")).alias("node"), F.col(f"`{text}`").cast("string").alias("text"))
+    roots = components(links(texts, least))
+    firsts = keyed.groupBy(F.col(node).alias("node")).agg(F.min(f"`{doc_id}`").alias("first"))
+    named = firsts.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least_id = named.groupBy("root").agg(F.min("first").alias("least"))
     of = fresh("_of", [*columns, node])
     of_node = named.join(least_id, "root").select(F.struct("node", "least").alias(of))

@@ -96,3 +96,47 @@ def test_a_common_passage_draws_nobody_together(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA)
     got = {r.doc_id: r.group_id for r in minhash.near_duplicates(df).collect()}
     assert got == {i: i if i < 40 else i - 40 for i in range(50)}
+
+
+def test_every_link_of_a_large_group(spark):
+    """One original and hundreds of edits that reach 0.8 with it, but not with each other."""
+    rng = random.Random(6)
+    original = [f"o{i}" for i in range(500)]
+    texts = []
+    for _ in range(300):
+        edit = original.copy()
+        for at in rng.sample(range(500), 10):
+            edit[at] = f"e{rng.randrange(10 ** 9)}"
+        texts.append(" ".join(edit))
+    # the original itself, and a text that shares only a passage with it
+    texts += [" ".join(original), " ".join(original[:250] + [f"z{i}" for i in range(250)])]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.group_id for r in minhash.near_duplicates(df).collect()}
+    every = [sets(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(every[i] & every[j])
+            if root[i] != root[j] and both >= 0.8 * (len(every[i]) + len(every[j]) - both):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert [got[i] for i in range(len(texts))] == root
+    assert root.count(0) > 250
+
+
+def test_texts_left_apart_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HOLDERS", 4)
+    rng = random.Random(8)
+    rows, base = [], [rng.sample(range(10 ** 6), 60) for _ in range(6)]
+    for i in range(150):
+        own = set(rng.choice(base))
+        for _ in range(rng.randrange(0, 10)):
+            own.discard(rng.choice(sorted(own)))
+            own.add(rng.randrange(10 ** 6))
+        rows.append((i, i % 40, sorted(own)))
+    want = {(a, b) for a, ra, x in rows for b, rb, y in rows if a < b and ra != rb
+            and len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))}
+    df = spark.createDataFrame(rows, "node long, root long, set array<long>")
+    got = {tuple(r) for r in minhash.apart(df, 0.8).collect()}
+    assert len(want) > 200 and want <= got
+    assert {tuple(r) for r in minhash.verified(minhash.apart(df, 0.8), df.select("node", "set"), 0.8).collect()} == want
