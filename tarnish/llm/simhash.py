@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tarnish.llm import minhash
 from tarnish.llm.components import components
 from tarnish.llm.texts import fresh, raw_texts
 from tarnish.session import materialise
@@ -212,3 +213,29 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     # a repeated id is one document: of its rows one stays, whose texts are equal or near
     once = docs.where(ident.isNotNull()).join(kept, ident == F.col(kept.columns[0]), "left_semi").dropDuplicates([doc_id])
     return once.union(docs.where(ident.isNull()))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 2, least: float = 0.8) -> DataFrame:
+    """One row of each component; texts are linked at ``k`` differing bits or fewer and, whatever
+    their bits, at a true Jaccard of ``least`` or more over five words.
+
+    The row with the smallest id stays, one without an id only where its component has no other.
+    Rows are told apart by id and text, so an id that stands for two texts keeps both.
+    """
+    ident, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")
+    marked = materialise(docs.select(ident.alias("id"), minhash.text_hash(body).alias("node"),
+                                     fingerprints(body).alias("fp")), "fingerprints")
+    of_text = materialise(marked.groupBy("node").agg(F.min("fp").alias("fp")), "texts")
+    near = minhash.links(docs.select(minhash.text_hash(body).alias("node"), body.alias("text")), least)
+    one, two = (of_text.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}")) for c in "ab")
+    near = near.join(one, "a").join(two, "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    distinct = materialise(of_text.select("fp").distinct(), "distinct")
+    linked = components(links(distinct, k).union(near)).select(F.col("node").alias("fp"), "root")
+    i, n = fresh("_id", docs.columns), fresh("_node", docs.columns)
+    kept = marked.join(linked, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(
+        F.min(F.struct(F.col("id").isNull().alias("without"), "id", "node")).alias("first")).select(
+        F.col("first.id").alias(i), F.col("first.node").alias(n))
+    rows = docs.withColumn(n, minhash.text_hash(body))
+    rows = rows.join(kept.withColumnRenamed(n, f"{n}_"), ident.eqNullSafe(F.col(i)) & (F.col(n) == F.col(f"{n}_")), "left_semi")
+    # rows with the same id and text
+    return rows.dropDuplicates([doc_id, n]).select(*[F.col(f"`{c}`") for c in docs.columns])

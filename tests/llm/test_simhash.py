@@ -109,3 +109,17 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**dict.fromkeys(range(1, 41), 0), **dict.fromkeys(range(101, 150), 100)}
     none = spark.createDataFrame([], T.StructType([T.StructField(c, T.LongType()) for c in "ab"]))
     assert components(none).count() == 0
+
+
+def test_near_copies_go_whatever_their_bits(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 10 ** 6, 120)]
+        edit = words.copy()
+        edit[20], edit[90] = "x", "y"  # 10 of 116 shingles: Jaccard 0.84
+        texts += [" ".join(words), " ".join(edit)]
+    bits = [(plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count() for a, b in zip(texts[::2], texts[1::2])]
+    assert max(bits) > 2
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == list(range(0, 24, 2))
