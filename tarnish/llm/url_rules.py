@@ -3,7 +3,7 @@
 A listed rule names a host and a path prefix. It fits the host and its subdomains if the path
 starts with its own; of several the longest decides. URLs that no listed rule fits are judged by
 association rules: the URLs that are decided are the labelled examples, FP-growth finds the
-combinations of URL tokens (labels of the host, segments of the path) that come with a verdict,
+combinations of URL tokens (labels of the host, segments of the path, keys of the query) that come with a verdict,
 and those with enough support and confidence become rules, unless a rule with fewer tokens says
 the same with no less confidence. An inverted index files each rule under its rarest token, so a
 URL meets only rules that share a token with it. The most confident rule decides, then the one
@@ -29,8 +29,6 @@ from tarnish.session import materialise
 
 #: Least share of the examples (and least number) that a rule's tokens must have, and its confidence.
 SUPPORT, EXAMPLES, CONFIDENCE = 0.005, 3, 0.9
-#: Path segments that become tokens.
-SEGMENTS = 3
 
 
 @dataclass(frozen=True)
@@ -59,11 +57,18 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def tokens_of(host: Column, path: Column) -> Column:
-    """Host labels and the first path segments, numbers alike, as a sorted set."""
+def query_of(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1), F.lit(""))
+
+
+def tokens_of(host: Column, path: Column, query: Column) -> Column:
+    """Host labels, path segments and query keys, numbers alike, as a sorted set."""
     labels = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("host:"), x))
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    parts = F.transform(F.slice(parts, 1, SEGMENTS), lambda x: F.concat(F.lit("path:"), F.regexp_replace(x, "[0-9]+", "0")))
+    keys = F.transform(F.split(query, "[&;]"), lambda x: F.substring_index(x, "=", 1))
+
+    def named(kind: str, words: Column) -> Column:
+        return F.transform(F.filter(words, lambda x: x != ""), lambda x: F.concat(F.lit(kind), F.regexp_replace(x, "[0-9]+", "0")))
+    parts = F.concat(named("path:", F.split(path, "/")), named("query:", keys))
     none = F.array().cast("array<string>")
     return F.array_sort(F.array_distinct(F.concat(F.when(host != "", labels).otherwise(none), parts)))
 
@@ -126,7 +131,7 @@ def decide(pages: DataFrame, rules: list[UrlRule], url: str = "url", support: fl
     seen = pages.select(*[F.col(f"`{c}`") for c in columns], F.struct(host_of(u).alias("host"), path_of(u).alias("path")).alias(own))
     host, path = F.col(f"{own}.host"), F.col(f"{own}.path")
     l, t = fresh("_listed", [*columns, own]), fresh("_tokens", [*columns, own])
-    seen = seen.withColumn(l, listed(rules, host, path)).withColumn(t, tokens_of(host, path))
+    seen = seen.withColumn(l, listed(rules, host, path)).withColumn(t, tokens_of(host, path, query_of(u)))
     facts = materialise(seen.select(F.col(f"{l}.verdict").alias("verdict"), F.col(t).alias("items")), "urls")
     mined = mine(facts.where("verdict is not null"), support, confidence)
     undecided = facts.where("verdict is null").select("items").distinct()

@@ -80,3 +80,14 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "http://a.net/x", "q"), (2, None, "q")], SCHEMA)
     assert {r.decision.verdict for r in url_rules.decide(df, URL_RULES).collect()} == {"allow"}
     assert url_rules.decide(df.limit(0), URL_RULES).count() == 0
+
+
+def test_tokens_from_the_whole_url(spark):
+    rows = [(i, f"http://{h}/{i}/a/b/c/{word}", "x") for i, (h, word) in enumerate([("x.bad", "spam"), ("x.good", "fine")] * 10)]
+    rows += [(i + 100, f"http://{h}/{i}?{key}=1#f", "x") for i, (h, key) in enumerate([("x.bad", "track"), ("x.good", "page")] * 10)]
+    rows += [(200, "http://y.net/7/d/e/f/spam", "x"), (201, "http://y.net/7/d/e/f/fine", "x"),
+             (202, "http://y.net/7?q=a&track=9", "x"), (203, "http://y.net/7?q=a/track", "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    rules = [url_rules.UrlRule("block", "bad/"), url_rules.UrlRule("allow", "good/")]
+    got = {r.page_id: r.decision.mined for r in url_rules.decide(df, rules).collect() if r.page_id >= 200}
+    assert got == {200: ["path:spam"], 201: ["path:fine"], 202: ["query:track"], 203: None}
