@@ -123,3 +123,11 @@ def test_near_copies_go_whatever_their_bits(spark):
     assert max(bits) > 2
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], SCHEMA)
     assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == list(range(0, 24, 2))
+
+
+def test_pipeline_stage_keeps_rows_and_not_ids(spark):
+    import corpus_pipeline
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a, 1), (5, b, 2), (3, b, 3), (None, a, 4), (None, c, 5), (None, c, 5), (7, a, 6), (3, b, 3)]
+    got = corpus_pipeline.dedup_documents(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted((r.doc_id or 0, r.text, r.fp) for r in got) == [(0, c, 5), (3, b, 3), (5, a, 1)]
