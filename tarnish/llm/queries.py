@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tarnish.llm import chat, line_dedup, minhash, mixing, packing, quality_rules, sharding, simhash, token_counts, url_rules
+from tarnish.llm import chat, line_dedup, minhash, mixing, packing, quality_rules, sharding, simhash, token_counts, url_rules, whitening
 from tarnish.plans.registry import Query
 from tarnish.sources.files import table
 
@@ -184,6 +184,12 @@ def patience_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.transform("blocks", lambda b: b["partner"]))).alias("partners"), "blocks")
 
 
+@query("op12_embedding_whitening")
+def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(rows).select("vec_id", "whitening.*")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
