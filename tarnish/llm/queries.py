@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tarnish.llm import chat, line_dedup, minhash, mixing, packing, quality_rules, sharding, simhash, token_counts, url_rules, whitening
+from tarnish.llm import bayes_minhash, chat, line_dedup, minhash, mixing, packing, quality_rules, sharding, simhash, token_counts, url_rules, whitening
 from tarnish.plans.registry import Query
 from tarnish.sources.files import table
 
@@ -190,6 +190,32 @@ def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(rows).select("vec_id", "whitening.*")
 
 
+OP13_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^ 	-]+') w FROM documents),
+placed AS (SELECT doc_id, unnest(w) word, generate_subscripts(w, 1) i, len(w) n FROM words),
+sets AS (
+  SELECT DISTINCT doc_id, x FROM (
+    SELECT doc_id, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o x FROM placed WHERE n > 2
+    WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE x IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) IN (1, 2)),
+sizes AS (SELECT doc_id, count(*) n FROM sets GROUP BY doc_id),
+numbered AS (SELECT doc_id, dense_rank() OVER (ORDER BY x) x FROM sets),
+shared AS (SELECT a.doc_id a, b.doc_id b, count(*) k FROM numbered a JOIN numbered b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 85 * (p.n + q.n - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM words UNION SELECT reach.doc_id, b FROM reach JOIN edges ON a = other),
+least AS (SELECT doc_id, min(other) component_id FROM reach GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT n_shingles, component_id, w.doc_id = component_id AS kept
+FROM words w JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
+
+
+@query("op13_bayesian_minhash", OP13_SQL)
+def bayesian_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return bayes_minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
