@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tarnish.llm import bayes_minhash, chat, line_dedup, minhash, mixing, packing, quality_rules, sharding, simhash, token_counts, url_rules, whitening
+from tarnish.llm import bayes_minhash, chat, line_dedup, minhash, mixing, packing, phrases, quality_rules, sharding, simhash, token_counts, url_rules, whitening
 from tarnish.plans.registry import Query
 from tarnish.sources.files import table
 
@@ -190,10 +190,44 @@ def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(rows).select("vec_id", "whitening.*")
 
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) p FROM documents),
+numbered AS (SELECT lang, row_number() OVER () id, regexp_extract_all(p, '[^\x20\x09]+') w FROM pieces),
+placed AS (SELECT lang, id, unnest(w) a, generate_subscripts(w, 1) i FROM numbered),
+runs AS (SELECT lang, a, lead(a) OVER o b, lead(a, 2) OVER o c, lead(a, 3) OVER o d FROM placed
+  WINDOW o AS (PARTITION BY id ORDER BY i)),
+f AS (
+  SELECT lang, [a] w, count(*) f FROM runs GROUP BY lang, a
+  UNION ALL SELECT lang, [a, b], count(*) FROM runs WHERE b IS NOT NULL GROUP BY lang, a, b HAVING count(*) >= 30
+  UNION ALL SELECT lang, [a, b, c], count(*) FROM runs WHERE c IS NOT NULL GROUP BY lang, a, b, c HAVING count(*) >= 30
+  UNION ALL SELECT lang, [a, b, c, d], count(*) FROM runs WHERE d IS NOT NULL GROUP BY lang, a, b, c, d HAVING count(*) >= 30),
+found AS (SELECT * FROM f WHERE len(w) > 1),
+cuts AS (SELECT lang, w, f, unnest(range(1, len(w))) k FROM found),
+scores AS (
+  SELECT c.lang, c.w, c.f, k, x.f l, y.f r, (2000000::HUGEINT * c.f) // (x.f + y.f) score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.w = c.w[1:k] JOIN f y ON y.lang = c.lang AND y.w = c.w[k + 1:]),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+places AS (SELECT lang, w, f, unnest(range(2, len(w))) k FROM found WHERE len(w) > 2),
+starts AS (SELECT *, unnest(range(1, len(w) - k + 2)) i FROM places),
+longer AS (SELECT lang, w[i:i + k - 1] w, max(f) most FROM starts GROUP BY 1, 2),
+kept AS (SELECT b.*, array_to_string(b.w, ' ') phrase FROM best b LEFT JOIN longer USING (lang, w) WHERE most IS NULL OR 100 * most < 80 * b.f)
+SELECT lang, rank, phrase, f a, l, r, n, score::BIGINT score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) rank FROM kept)
+JOIN (SELECT lang, count(*) n FROM placed GROUP BY lang) USING (lang) WHERE rank <= 2000"""
+
+
+@query("op11_phrase_collocations", OP11_SQL)
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 OP13_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    '[^ 	-]+') w FROM documents),
+                                    '[^ 	-
+]+') w FROM documents),
 placed AS (SELECT doc_id, unnest(w) word, generate_subscripts(w, 1) i, len(w) n FROM words),
 sets AS (
   SELECT DISTINCT doc_id, x FROM (
