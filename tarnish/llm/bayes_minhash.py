@@ -53,13 +53,13 @@ CHUNK = 2048
 _rng = np.random.default_rng(20250713)
 FACTORS = _rng.integers(0, 1 << 64, PERMUTATIONS, np.uint64) | np.uint64(1)
 OFFSETS = _rng.integers(0, 1 << 64, PERMUTATIONS, np.uint64)
-PLACES = _rng.integers(0, 1 << 64, WIDTH, np.uint64) | np.uint64(1)
+PLACES = _rng.integers(0, 1 << 64, 16, np.uint64) | np.uint64(1)
 
 
-def shingle_set(raw: bytes, known: WordHashes) -> np.ndarray:
+def shingle_set(raw: bytes, known: WordHashes, width: int = WIDTH) -> np.ndarray:
     """Ascending 64-bit hashes of the different shingles."""
     words = raw.lower().split()
-    width = min(WIDTH, len(words))
+    width = min(width, len(words))
     if not width:
         return np.empty(0, np.uint64)
     hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -133,14 +133,16 @@ def candidates_left(pairs: DataFrame, nodes: DataFrame, least: tuple[int, int],
 class Sets:
     """Full sets of the nodes that are asked for, from one document of each."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame):
-        self.docs, self.nodes = docs, nodes
+    def __init__(self, docs: DataFrame, nodes: DataFrame, width: int):
+        self.docs, self.nodes, self.width = docs, nodes, width
 
     def verified(self, pairs: DataFrame, least: tuple[int, int]) -> DataFrame:
         """The pairs ``(a, b)`` whose sets are that alike."""
+        width = self.width
+
         def hashed(column: pa.Array) -> pa.Array:
             known = WordHashes()
-            return pa.array([shingle_set(raw, known).tobytes() for raw in raw_texts(column)], pa.binary())
+            return pa.array([shingle_set(raw, known, width).tobytes() for raw in raw_texts(column)], pa.binary())
 
         def alike(one: pa.Array, two: pa.Array) -> pa.Array:
             out = []
@@ -210,13 +212,12 @@ def in_blocks(rows: DataFrame, nodes: DataFrame, least: tuple[int, int], miss: f
     return found.select(*unordered("node", "other")).distinct()
 
 
-def links(docs: DataFrame, nodes: DataFrame, least: tuple[int, int] = LEAST, miss: float = MISS) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, least: tuple[int, int] = LEAST, miss: float = MISS, width: int = WIDTH) -> DataFrame:
     """Edges ``(a, b)`` that connect the nodes as their verified links do.
 
-    ``nodes``: ``node``, ``n``, ``sig``, and ``id`` and ``key`` of one of its rows in ``docs``, which
-    also has ``text``.
+    ``nodes``: see :func:`nodes_of`; ``docs``: ``id``, ``key`` and ``text``.
     """
-    sets = Sets(docs, nodes)
+    sets = Sets(docs, nodes, width)
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)])
     bands = nodes.select("node", F.explode(keys).alias("band"))
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("company")).where("company > 1")
@@ -244,6 +245,12 @@ def links(docs: DataFrame, nodes: DataFrame, least: tuple[int, int] = LEAST, mis
     return linked
 
 
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """Of rows ``(id, key, node, n, sig)``, those with a set: a row per node, with the ``id`` and ``key`` of one of its rows."""
+    first = rows.where("n > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "key", "n", "sig")).alias("f"))
+    return materialise(first.select("node", "f.id", "f.key", "f.n", "f.sig"), "nodes")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: tuple[int, int] = LEAST,
                     miss: float = MISS, out: tuple[str, str, str] = ("n_shingles", "component_id", "kept")) -> DataFrame:
     """Every row's columns but the text, its set's size, its component's smallest id, and whether it
@@ -265,9 +272,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marked = materialise(docs.select(*[F.col(f"`{c}`") for c in columns], F.struct(
         ident.alias("id"), F.xxhash64(body).alias("key"),
         F.arrow_udf(read, "struct<node:bigint,n:bigint,sig:binary>")(body).alias("of")).alias(s)), "signed")
-    bare = marked.select(f"{s}.id", f"{s}.key", f"{s}.of.*").where("n > 0")
-    first = bare.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "key", "n", "sig")).alias("f"))
-    nodes = materialise(first.select("node", "f.id", "f.key", "f.n", "f.sig"), "nodes")
+    nodes = nodes_of(marked.select(f"{s}.id", f"{s}.key", f"{s}.of.*"))
     plain = docs.select(ident.alias("id"), F.xxhash64(body).alias("key"), body.alias("text"))
     roots = components(links(plain, nodes, least, miss))
     named = materialise(nodes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "roots")

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tarnish.llm import minhash
+from tarnish.llm import bayes_minhash, minhash
 from tarnish.llm.components import components
 from tarnish.llm.texts import fresh, raw_texts
 from tarnish.session import materialise
@@ -205,37 +205,51 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         *[F.col(f"`{c}`") for c in others], hex_digits(F.col(fp)).alias(out[0]), F.col(f"{of}.component").alias(out[1]))
 
 
-def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 2) -> DataFrame:
-    """One document of each component, the one with the smallest id; rows without an id stay."""
-    columns, ident = docs.columns, F.col(f"`{doc_id}`")
-    kept = near_duplicates(docs.select(ident.alias("id"), F.col(f"`{text}`").alias("text")), "id", k=k).where(
-        "id = component_id").select(F.col("id").alias(fresh("_id", columns))).distinct()
-    # a repeated id is one document: of its rows one stays, whose texts are equal or near
-    once = docs.where(ident.isNotNull()).join(kept, ident == F.col(kept.columns[0]), "left_semi").dropDuplicates([doc_id])
-    return once.union(docs.where(ident.isNull()))
-
-
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 2, least: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 2,
+                least: tuple[int, int] = (80, 100), width: int = 5) -> DataFrame:
     """One row of each component; texts are linked at ``k`` differing bits or fewer and, whatever
-    their bits, at a true Jaccard of ``least`` or more over five words.
+    their bits, where their sets of ``width`` words are alike in ``least`` (80 of 100).
 
-    The row with the smallest id stays, one without an id only where its component has no other.
-    Rows are told apart by id and text, so an id that stands for two texts keeps both.
+    Fingerprint, set and signature of a text are made in one pass; what follows works on those. The
+    row with the smallest id stays, one without an id only where its component has no other. Rows
+    are told apart by id and text, so an id that stands for two texts keeps both.
     """
-    ident, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")
-    marked = materialise(docs.select(ident.alias("id"), minhash.text_hash(body).alias("node"),
-                                     fingerprints(body).alias("fp")), "fingerprints")
-    of_text = materialise(marked.groupBy("node").agg(F.min("fp").alias("fp")), "texts")
-    near = minhash.links(docs.select(minhash.text_hash(body).alias("node"), body.alias("text")), least)
-    one, two = (of_text.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}")) for c in "ab")
+    ident, body = F.col(f"`{doc_id}`").cast("bigint"), F.col(f"`{text}`").cast("string")
+
+    def read(column: pa.Array) -> pa.Array:
+        known, rows = minhash.WordHashes(), []
+        for raw in raw_texts(column):
+            own = bayes_minhash.shingle_set(raw, known, width)
+            rows.append((fingerprint(raw), bayes_minhash.digest(own), len(own), bayes_minhash.signature(own)))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, kinds)], ["fp", "node", "n", "sig"])
+
+    plain = docs.select(ident.alias("id"), F.xxhash64(body).alias("key"), body.alias("text"))
+    marked = materialise(plain.select("id", "key", F.arrow_udf(read, "struct<fp:bigint,node:bigint,n:bigint,sig:binary>")("text").alias("of")
+                                      ).select("id", "key", "of.*"), "fingerprints")
+    nodes = bayes_minhash.nodes_of(marked)
+    near = bayes_minhash.links(plain, nodes, least, width=width)
+    # a set stands for all fingerprints of its texts
+    fps = materialise(marked.groupBy("fp", "node").agg(F.max("n").alias("n")), "fps")
+    of_node = fps.where("n > 0").groupBy("node").agg(F.min("fp").alias("first"))
+    same = fps.join(of_node, "node").where("n > 0 and fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    one, two = (of_node.select(F.col("node").alias(c), F.col("first").alias(f"fp_{c}")) for c in "ab")
     near = near.join(one, "a").join(two, "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
-    distinct = materialise(of_text.select("fp").distinct(), "distinct")
-    linked = components(links(distinct, k).union(near)).select(F.col("node").alias("fp"), "root")
-    i, n = fresh("_id", docs.columns), fresh("_node", docs.columns)
-    kept = marked.join(linked, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(
-        F.min(F.struct(F.col("id").isNull().alias("without"), "id", "node")).alias("first")).select(
-        F.col("first.id").alias(i), F.col("first.node").alias(n))
-    rows = docs.withColumn(n, minhash.text_hash(body))
-    rows = rows.join(kept.withColumnRenamed(n, f"{n}_"), ident.eqNullSafe(F.col(i)) & (F.col(n) == F.col(f"{n}_")), "left_semi")
-    # rows with the same id and text
-    return rows.dropDuplicates([doc_id, n]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    distinct = materialise(fps.select("fp").distinct(), "distinct")
+    linked = components(links(distinct, k).union(near).union(same)).select(F.col("node").alias("fp"), "root")
+    rows = marked.join(linked, "fp", "left").groupBy("id", "key").agg(F.min(F.coalesce("root", "fp")).alias("root"), F.count(F.lit(1)).alias("times"))
+    rows = materialise(rows, "rooted")
+    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("without"), "id", "key")).alias("first")).select("first.id", "first.key")
+    i, n = fresh("_id", docs.columns), fresh("_key", docs.columns)
+    same_row = ident.eqNullSafe(F.col(i)) & (F.xxhash64(body) == F.col(n))
+    named = lambda x: x.select(F.col("id").alias(i), F.col("key").alias(n))
+    # what goes is far less than what stays; rows with one id and text go too, and one of them comes back
+    gone = materialise(named(rows.where("times > 1").union(rows.join(kept.withColumn("stays", F.lit(True)), rows.id.eqNullSafe(kept.id) & (
+        rows.key == kept.key), "left").where("stays is null").select(rows["*"]))), "gone")
+    left = docs.join(gone, same_row, "left_anti")
+    repeated = rows.where("times > 1")
+    if repeated.isEmpty():
+        return left
+    again = materialise(named(repeated.join(kept, rows.id.eqNullSafe(kept.id) & (rows.key == kept.key), "left_semi")), "repeated")
+    back = docs.join(again, same_row, "left_semi").withColumn(n, F.xxhash64(body)).dropDuplicates([doc_id, n]).drop(n)
+    return left.union(back)
