@@ -81,29 +81,55 @@ def listed(rules: list[UrlRule], host: Column, path: Column) -> Column:
     return found.cast("struct<rule:string,verdict:string>")
 
 
-def mine(examples: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """``(tokens, verdict, confidence, support)`` from ``(items, verdict)``, redundant rules left out.
+def mine(examples: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """Rules ``(tokens, verdict, confidence, support)`` from ``(items, verdict)``, redundant ones left
+    out, and the ``(token, class)`` that their tokens stand for.
 
     A token is frequent only if a share of ``support`` of all examples has it, so at most tokens
-    per URL / ``support`` are, whatever the number of URLs.
+    per URL / ``support`` are, whatever the number of URLs. FP-growth writes every combination of
+    frequent tokens that enough examples share, so what can't make a difference is taken out first:
+
+    * Tokens of the same examples (the segments of a deep common path) are one item, their class,
+      named by its first token. A URL has a class if it has any of its tokens, for each of them
+      alone would have made the same rules.
+    * A token whose examples all have one verdict is a rule by itself, of confidence 1, and any
+      longer rule with it would be redundant.
     """
     n = examples.count()
-    schema = "tokens array<string>, verdict string, confidence double, support double"
-    if not n:
-        return examples.sparkSession.createDataFrame([], schema)
+    least = max(support, EXAMPLES / max(n, 1)) * n
+    sets = materialise(examples.groupBy("items", "verdict").agg(F.count(F.lit(1)).alias("n")), "sets")
+    # tokens with the same examples agree in the number, the sum and the exclusive or of their sets' hashes
+    h = F.xxhash64("items", "verdict")
+    tokens = sets.select("verdict", "n", h.alias("h"), F.explode("items").alias("token")).groupBy("token").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("sets"), F.sum(F.col("h").cast("decimal(20,0)")).alias("sum"),
+        F.bit_xor("h").alias("xor"), F.min("verdict").alias("verdict"), (F.min("verdict") == F.max("verdict")).alias("pure"))
+    tokens = materialise(tokens.where(F.col("n") >= least - 1e-9), "tokens")
+    pure = tokens.where("pure").select(F.array("token").alias("tokens"), "verdict", F.lit(1.0).alias("confidence"), (F.col("n") / F.lit(float(max(n, 1)))).alias("support"))
+    mixed = tokens.where("not pure")
+    classes = mixed.groupBy("sets", "sum", "xor").agg(F.min("token").alias("class"), F.collect_list("token").alias("tokens"))
+    members = materialise(classes.select(F.explode("tokens").alias("token"), "class").union(
+        tokens.where("pure").select("token", F.col("token").alias("class"))), "members")
+    kept = members.join(mixed.select("token"), "token", "left_semi")
+    of_set = sets.select("items").distinct().select("items", F.explode("items").alias("token")).join(kept, "token").groupBy("items").agg(
+        F.collect_set("class").alias("classes"))
     label = F.concat(F.lit("is:"), F.col("verdict"))
-    baskets = examples.select(F.array_append("items", label).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, EXAMPLES / n)), minConfidence=confidence).fit(baskets)
+    baskets = examples.join(of_set, "items").select(F.array_append("classes", label).alias("items"))
+    schema = "tokens array<string>, verdict string, confidence double, support double"
+    if of_set.isEmpty():
+        return materialise(pure.select(*[c.split()[0] for c in schema.split(", ")]), "pruned"), members
+    # FP-growth takes its shares from the baskets it is given
+    given = baskets.count()
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / given), minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent")[0].startswith("is:")).select(
         F.array_sort("antecedent").alias("tokens"), F.substr(F.col("consequent")[0], F.lit(4)).alias("verdict"),
-        "confidence", "support")
+        "confidence", (F.col("support") * (given / n)).alias("support"))
     rules = materialise(rules, "rules")
     # a shorter rule inside a longer one, with the same verdict and no less confidence
     longer = rules.select(F.col("tokens").alias("items"), F.col("verdict").alias("own"), F.col("confidence").alias("own_confidence"))
     redundant = matches(longer, index(rules)).where(
         (F.size("tokens") < F.size("items")) & (F.col("verdict") == F.col("own")) & (F.col("confidence") >= F.col("own_confidence")))
     redundant = redundant.select(F.col("items").alias("tokens"), F.col("own").alias("verdict")).distinct()
-    return materialise(rules.join(redundant, ["tokens", "verdict"], "left_anti"), "pruned")
+    return materialise(rules.join(redundant, ["tokens", "verdict"], "left_anti").unionByName(pure), "pruned"), members
 
 
 def index(rules: DataFrame) -> DataFrame:
@@ -133,10 +159,15 @@ def decide(pages: DataFrame, rules: list[UrlRule], url: str = "url", support: fl
     l, t = fresh("_listed", [*columns, own]), fresh("_tokens", [*columns, own])
     seen = seen.withColumn(l, listed(rules, host, path)).withColumn(t, tokens_of(host, path, query_of(u)))
     facts = materialise(seen.select(F.col(f"{l}.verdict").alias("verdict"), F.col(t).alias("items")), "urls")
-    mined = mine(facts.where("verdict is not null"), support, confidence)
-    undecided = facts.where("verdict is null").select("items").distinct()
-    best = matches(undecided, index(mined)).groupBy("items").agg(F.min(F.struct(
-        (-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), "tokens", "verdict")).alias("best"))
+    mined, members = mine(facts.where("verdict is not null"), support, confidence)
+    # a set's classes, and the token by which it has each of them
+    undecided = facts.where("verdict is null").select("items").distinct().select("items", F.explode("items").alias("token"))
+    by_class = undecided.join(members, "token").groupBy("items", "class").agg(F.min("token").alias("token"))
+    undecided = by_class.groupBy(F.col("items").alias("urls")).agg(
+        F.collect_list("class").alias("items"), F.map_from_entries(F.collect_list(F.struct("class", "token"))).alias("by"))
+    own_tokens = F.array_sort(F.transform("tokens", lambda c: F.col("by")[c])).alias("tokens")
+    best = matches(undecided, index(mined)).groupBy(F.col("urls").alias("items")).agg(F.min(F.struct(
+        (-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), own_tokens, "verdict")).alias("best"))
     m = fresh("_mined", [*columns, own, l, t])
     found = materialise(best.select(F.struct("items", F.col("best.tokens").alias("tokens"), F.col("best.verdict").alias("verdict")).alias(m)), "verdicts")
     return seen.join(found, F.col(f"{l}.verdict").isNull() & (F.col(t) == F.col(f"{m}.items")), "left").select(

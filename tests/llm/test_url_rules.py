@@ -1,6 +1,7 @@
 """URL rules: parsing and precedence by hand, mining against all combinations of tokens."""
 
 import random
+import time
 from itertools import combinations
 
 import pytest
@@ -63,7 +64,7 @@ def test_mined_rules_and_verdicts(spark, seed):
     assert sorted(r["page_id"] for r in got) == sorted(p[0] for p in pages)
 
     def items(d):
-        parts = [p for p in d["path"].split("/") if p][:3]
+        parts = [p for p in d["path"].split("/") if p]
         return {*(f"host:{x}" for x in d["host"].split(".") if d["host"]), *("path:" + ("0" if p.isdigit() else p) for p in parts)}
     examples = [(items(r["decision"]), r["decision"]["verdict"]) for r in got if r["decision"]["rule"]]
     rules = plain_rules(examples, 0.02, 0.8)
@@ -76,6 +77,50 @@ def test_mined_rules_and_verdicts(spark, seed):
             assert d["mined"] == (fits[0][2] if fits else None)
 
 
+def deep_pages(rng, segments, n):
+    """URLs that share a deep path, on hosts that decide and on one that doesn't, and a word that tells."""
+    path = "/".join(f"s{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(segments))
+    pages = []
+    for i in range(n):
+        host = rng.choice(["x.bad", "x.good", "y.net"])
+        word = rng.choice(["spam", "ad", "page"] if host == "x.bad" else ["fine", "page", "ad", "ad"])
+        place = rng.choice(["top", "low"]) if word != "page" or rng.random() < .15 else "top" if host == "x.bad" else "low"  # page and top together tell
+        pages.append((i, f"http://{host}/{path}/{place}/{word}" if rng.random() < .8 else f"http://{host}/{word}/{place}", "x"))
+    # parts of the path only
+    return pages + [(n, "http://y.net/saa", "x"), (n + 1, "http://y.net/sab/spam", "x"), (n + 2, "http://y.net/other", "x")]
+
+
+@pytest.mark.parametrize("segments, merged", [(5, False), (60, True)])
+def test_deep_common_paths(spark, segments, merged):
+    """Against all combinations of tokens; with 60 segments, of one token for each set of examples."""
+    rng = random.Random(segments)
+    df = spark.createDataFrame(deep_pages(rng, segments, 120), SCHEMA)
+    rules = [url_rules.UrlRule("block", "bad/"), url_rules.UrlRule("allow", "good/")]
+    started = time.monotonic()
+    got = [r.asDict(True) for r in url_rules.decide(df, rules, support=0.05, confidence=0.7).collect()]
+    assert time.monotonic() - started < 60
+
+    def items(d):
+        return {*(f"host:{x}" for x in d["host"].split(".") if d["host"]), *(f"path:{p}" for p in d["path"].split("/") if p)}
+    examples = [(items(r["decision"]), r["decision"]["verdict"]) for r in got if r["decision"]["rule"]]
+    named = {}  # one token for each set of examples
+    for token in sorted(set().union(*[i for i, _ in examples])):
+        named[token] = min(t for t in set().union(*[i for i, _ in examples]) if not merged and t == token or merged and all(
+            (t in i) == (token in i) for i, _ in examples))
+    found = plain_rules([({named[t] for t in i}, v) for i, v in examples], 0.05, 0.7)
+    assert found and max(len(k[0]) for k in found) > 1
+    for r in got:
+        d = r["decision"]
+        if not d["rule"]:
+            own = {}
+            for t in sorted(items(d)):
+                if t in named:
+                    own.setdefault(named[t], t)
+            fits = sorted((-v[0], -v[1], sorted(own[c] for c in k[0]), k[1]) for k, v in found.items() if set(k[0]) <= set(own))
+            assert d["verdict"] == (fits[0][3] if fits else "allow")
+            assert d["mined"] == (fits[0][2] if fits else None)
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "http://a.net/x", "q"), (2, None, "q")], SCHEMA)
     assert {r.decision.verdict for r in url_rules.decide(df, URL_RULES).collect()} == {"allow"}
