@@ -2,8 +2,10 @@
 
 Each document is measured in one pass over its text. Every rule's failures are summed by host,
 and a host's failure rate is drawn towards the rate of all hosts by a beta prior that is fitted
-to the hosts themselves (method of moments for the beta-binomial). A host whose shrunk rate of
-any rule is over that rule's limit is rejected with all its documents.
+to the hosts themselves (method of moments for the beta-binomial). The limit of a rule follows from
+the fitted prior: three times the mean rate of all hosts, but no less and no more than two fixed
+rates. A host is rejected, with all its documents, if its rate of any rule lies over the limit for
+nearly certain: its shrunk rate less three standard deviations of its posterior still does.
 
 Only sums leave the map side, so a host with a third of all documents is no heavier than others;
 the table of hosts is written once and joins back by whatever way its size suggests to Spark.
@@ -30,11 +32,11 @@ SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rule:
-    """``fails``: SQL over the measures. A host is rejected over ``limit``, its shrunk rate."""
+    """``fails``: SQL over the measures. ``most``: the limit of a host's rate is no higher."""
 
     name: str
     fails: str
-    limit: float
+    most: float
 
 
 #: The first two also reject the document itself.
@@ -48,6 +50,8 @@ RULES = (
 BASE_RULES = ("few_words", "repeats")
 #: A prior is worth at most this many documents, and at least the second figure.
 STRONGEST, WEAKEST = 10_000.0, 0.01
+#: A host stands out at so many times the mean rate, and at this rate at least, by so many deviations.
+TIMES, LEAST, DEVIATIONS = 3.0, 0.3, 3.0
 
 
 def repeated_words(ids: np.ndarray) -> int:
@@ -97,10 +101,16 @@ def host_table(measures: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
                                     totals[f"{r.name}_k"] or 0.0, totals[f"{r.name}_kk"] or 0.0)
         rate = (F.col(f"{r.name}_fails") + F.lit(mean * strength)) / (n + F.lit(strength))
         rates.append(rate.alias(f"{r.name}_rate"))
-        ok = ok & (rate <= r.limit)
+        deviation = F.sqrt(rate * (1 - rate) / (n + F.lit(strength) + 1))
+        ok = ok & (rate - DEVIATIONS * deviation <= F.lit(limit(r, mean)))
     return counts.select("host", "host_docs", *rates, ok.alias("host_ok"))
 
 
+def limit(rule: Rule, mean: float) -> float:
+    """The rate over which a host stands out from the others."""
+    return min(rule.most, max(LEAST, TIMES * mean))
+
+
 def beta_prior(hosts: float, docs: float, squares: float, k: float, kk: float) -> tuple[float, float]:
     """Mean and strength (a + b) of the beta prior, from sums over the hosts.
 

@@ -33,9 +33,10 @@ rates_{r.name} AS (
   m AS (SELECT *, k / d mean, d - q / d - (h - 1) room FROM s),
   v AS (SELECT *, CASE WHEN mean * (1 - mean) > 0 AND room > 0
                THEN (kk - d * mean * mean - mean * (1 - mean) * (h - 1)) / (mean * (1 - mean) * room) END share FROM m),
-  p AS (SELECT mean, CASE WHEN share > 0 THEN least({quality_rules.STRONGEST}, greatest({quality_rules.WEAKEST}, 1 / share - 1))
-               ELSE {quality_rules.STRONGEST} END strength FROM v)
-  SELECT c.source, (c.k + p.mean * p.strength) / (c.n + p.strength) <= {r.limit} AS ok FROM c, p)""")
+  p AS (SELECT mean, least({r.most}, greatest({quality_rules.LEAST}, {quality_rules.TIMES} * mean)) top, CASE WHEN share > 0 THEN least({quality_rules.STRONGEST}, greatest({quality_rules.WEAKEST}, 1 / share - 1))
+               ELSE {quality_rules.STRONGEST} END strength FROM v),
+  h AS (SELECT c.source, c.n, (c.k + p.mean * p.strength) / (c.n + p.strength) rate, p.strength, p.top FROM c, p)
+  SELECT source, rate - {quality_rules.DEVIATIONS} * sqrt(rate * (1 - rate) / (n + strength + 1)) <= top AS ok FROM h)""")
     return ",".join(parts)
 
 
@@ -199,7 +200,7 @@ placed AS (SELECT lang, id, unnest(w) a, generate_subscripts(w, 1) i FROM number
 runs AS (SELECT lang, a, lead(a) OVER o b, lead(a, 2) OVER o c, lead(a, 3) OVER o d FROM placed
   WINDOW o AS (PARTITION BY id ORDER BY i)),
 f AS (
-  SELECT lang, [a] w, count(*) f FROM runs GROUP BY lang, a
+  SELECT lang, [a] w, count(*) f FROM runs GROUP BY lang, a HAVING count(*) >= 30
   UNION ALL SELECT lang, [a, b], count(*) FROM runs WHERE b IS NOT NULL GROUP BY lang, a, b HAVING count(*) >= 30
   UNION ALL SELECT lang, [a, b, c], count(*) FROM runs WHERE c IS NOT NULL GROUP BY lang, a, b, c HAVING count(*) >= 30
   UNION ALL SELECT lang, [a, b, c, d], count(*) FROM runs WHERE d IS NOT NULL GROUP BY lang, a, b, c, d HAVING count(*) >= 30),

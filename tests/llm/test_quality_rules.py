@@ -81,8 +81,9 @@ def test_hosts(spark):
     for r in got:
         rate = (k[r.source] + mean * strength) / (n[r.source] + strength)
         assert r.quality.host_docs == n[r.source] and abs(r.quality.few_words_rate - rate) < 1e-9
-        assert r.quality.host_ok == (rate <= 0.5)
-        assert r.quality.base_failed == (r.text != good) and r.quality.kept == (rate <= 0.5 and r.text == good)
+        ok = rate - 3 * (rate * (1 - rate) / (n[r.source] + strength + 1)) ** 0.5 <= min(0.5, max(0.3, 3 * mean))
+        assert r.quality.host_ok == ok
+        assert r.quality.base_failed == (r.text != good) and r.quality.kept == (ok and r.text == good)
     assert {r.quality.host_ok for r in got} == {True, False}
     # one bad document on a small host is drawn to the others, a host of bad documents is not
     kept = Q.keep(df)
@@ -90,6 +91,39 @@ def test_hosts(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got if r.quality.kept)
 
 
+def planted():
+    """Twenty ordinary hosts; a large and a small bad one, and one too small to tell. Symbols fail no base rule."""
+    rng, good = random.Random(9), " ".join(f"w{i}" for i in range(60))
+    noisy = good + " ## $$ %% && ** ||"
+    hosts = [(f"h{i}", 100, 0.05) for i in range(20)] + [("large", 900, 0.65), ("small", 12, 1.0), ("tiny", 2, 1.0), (None, 50, 0.9)]
+    rows = [(noisy if rng.random() < share else good, host) for host, n, share in hosts for _ in range(n)]
+    return [(i, text, host, "q", "n", "_") for i, (text, host) in enumerate(rows)]
+
+
+def test_planted_hosts(spark):
+    df = spark.createDataFrame(planted(), SCHEMA).repartition(4)
+    verdicts = {r.source: r.ok for r in Q.judge(df).select("source", "quality.host_ok").distinct().withColumnRenamed("host_ok", "ok").collect()}
+    assert {h for h, ok in verdicts.items() if not ok} == {"large", "small", None} and len(verdicts) == 24
+    # whole hosts go, with their good documents; nothing else does
+    kept = Q.keep(df).collect()
+    assert sorted(r.doc_id for r in kept) == [r[0] for r in planted() if r[2] not in ("large", "small", None)]
+
+
+def test_planted_hosts_in_sql_and_pipeline(spark, tmp_path):
+    import corpus_pipeline
+    from tarnish.llm.queries import ORACLES, QUERIES
+    docs = spark.createDataFrame(planted(), SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(ORACLES["op1_host_quality_rules"])
+    names = [d[0] for d in cur.description]
+    got = QUERIES["op1_host_quality_rules"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r[c] for c in names) for r in got) == sorted(cur.fetchall())
+    assert sum(not r.kept and not r.base_failed for r in got) == 962
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() == len(got) - 962
+
+
 def test_no_rows_and_one_host(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert Q.judge(df).count() == 0 and Q.keep(df).count() == 0
