@@ -1,7 +1,7 @@
 """Sharding by sampled splitters, in DataFrame functions only.
 
 Records are put in the order of a key that is theirs alone: the hash of the group (equal texts
-lie side by side), the hash of the id, and the row's number. A sample in which every record's
+lie side by side), the hash of the id, and that of the row's number, which no two numbers share. A sample in which every record's
 chance follows its size gives quantiles of this order by size; they cut it into many ranges,
 whose sizes are then summed exactly. A range that came out overfull is sampled anew and cut
 again. Ranges are small, so positions inside them are running sums of one window each, and with
@@ -15,7 +15,7 @@ any size can be divided; an empty table has no rows; other columns pass through.
 
 from __future__ import annotations
 
-import math
+from collections import Counter
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -30,23 +30,55 @@ OVERFULL, ROUNDS = 2.0, 4
 Key = tuple[int, int, int]
 
 
+def slots(splitters: list[Key], level: int) -> list[tuple]:
+    """Rows ``(g, t, slot, before, values)`` for the splitters that agree in the ``level`` numbers before.
+
+    The numbers are hashes, so their leading bits file them evenly: for each such group of ``n`` there
+    are about ``n`` slots, each with its different values, how many splitters have them, and by how
+    many bits those are filed on the next level. ``before``: splitters of the group in earlier slots.
+    """
+    groups: dict[tuple, list[int]] = {}
+    for s in splitters:
+        groups.setdefault(s[:level], []).append(s[level])
+    rows = []
+    for prefix, values in groups.items():
+        bits, before, by_slot = bits_for(len(values)), 0, {}
+        for x in values:
+            by_slot.setdefault((x + (1 << 63)) >> (64 - bits), Counter())[x] += 1
+        for slot in range(1 << bits):
+            own = by_slot.get(slot, {})
+            rows.append((*(*prefix, 0, 0)[:2], slot, before, [(x, n, bits_for(n)) for x, n in sorted(own.items())]))
+            before += sum(own.values())
+    return rows
+
+
+def bits_for(n: int) -> int:
+    return max(1, (n - 1).bit_length())
+
+
 def with_range(records: DataFrame, splitters: list[Key], out: str = "r") -> DataFrame:
-    """Add the number of splitters at or below the key ``(g, t, u)``.
+    """Add the number of splitters at or below the key ``(g, t, u)``, of three hashes.
 
-    The splitters are one array, computed once per job; every w-th is compared first, then the w
-    of the one block that is left.
+    A record meets the slot of its ``g`` by an equi-join, and compares the one or two splitters there. Only
+    where a splitter has the same ``g`` does ``t`` matter, in slots of that group, and then ``u``. The
+    tables have at most two rows per splitter, so what a record costs doesn't depend on their number.
     """
     if not splitters:
         return records.withColumn(out, F.lit(0))
-    table = records.sparkSession.createDataFrame(splitters, "g bigint, t bigint, u bigint")
-    points = table.agg(F.sort_array(F.collect_list(F.struct("g", "t", "u")))).scalar()
-    key, w = F.struct("g", "t", "u"), max(1, math.isqrt(len(splitters)))
-    firsts = F.transform(F.sequence(F.lit(1), F.lit(len(splitters) // w)), lambda i: F.get("_points", i * w - 1))
-    found = records.withColumn("_points", points).withColumn("_firsts", firsts).withColumn(
-        "_block", F.size(F.filter("_firsts", lambda s: s <= key)) * w)
-    own = F.slice("_points", F.col("_block") + 1, F.lit(w))
-    return found.withColumn(out, F.col("_block") + F.size(F.filter(own, lambda s: s <= key))).drop(
-        "_points", "_firsts", "_block")
+    columns, found = records.columns, records.select("*", F.lit(bits_for(len(splitters))).alias("_bits"), F.lit(0).alias("_sum"))
+    for level, own in enumerate(("g", "t", "u")):
+        table = F.broadcast(records.sparkSession.createDataFrame(
+            slots(splitters, level), "_g bigint, _t bigint, _slot bigint, _before int, _values array<struct<x:bigint,n:int,bits:int>>"))
+        # from the least number on, as unsigned
+        slot = F.expr(f"shiftrightunsigned({own} ^ (-9223372036854775807L - 1L), 64 - _bits)")
+        same = (F.col("_slot") == F.col("_at")) & F.col("_bits").isNotNull()
+        for c in ("g", "t")[:level]:
+            same &= F.col(c) == F.col(f"_{c}")
+        met = found.withColumn("_at", slot).join(table, same, "left")
+        below = F.expr(f"aggregate(filter(_values, v -> v.x {'<=' if own == 'u' else '<'} {own}), 0, (a, v) -> a + v.n)")
+        equal = F.expr(f"get(filter(_values, v -> v.x = {own}), 0)")
+        found = met.select(*columns, equal["bits"].alias("_bits"), (F.col("_sum") + F.coalesce(F.col("_before") + below, F.lit(0))).alias("_sum"))
+    return found.withColumnRenamed("_sum", out).drop("_bits")
 
 
 def splitters_of(records: DataFrame, ranges: int, total: int) -> list[Key]:
@@ -82,7 +114,7 @@ def shard(records: DataFrame, shards: int, size: str = "size", group: str = "gro
     k = fresh("_key", columns)
     keyed = materialise(records.select(*[F.col(f"`{c}`") for c in columns], F.struct(
         F.xxhash64(F.col(f"`{group}`")).alias("g"), F.xxhash64(F.col(f"`{ident}`")).alias("t"),
-        F.monotonically_increasing_id().alias("u"), F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("bigint").alias("size")
+        F.xxhash64(F.monotonically_increasing_id()).alias("u"), F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("bigint").alias("size")
     ).alias(k)), "keyed")
     bare = keyed.select(f"{k}.*")
     total, n = bare.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()

@@ -75,3 +75,21 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(sharding.shard(spark.createDataFrame(rows, SCHEMA), 4), f"file://{tmp_path}/out")
     back = spark.read.parquet(f"file://{tmp_path}/out")
     assert back.count() == 100 and back.select("shard").distinct().count() == 4
+
+
+@pytest.mark.parametrize("kind", ["spread", "one group", "one id", "few"])
+def test_ranges_against_bisection(spark, kind):
+    from bisect import bisect_right
+    rng = random.Random(3)
+
+    def word():
+        return rng.randrange(-(1 << 63), 1 << 63)
+    hot, twin = word(), word()
+    keys = [{"spread": (word(), word(), word()), "one group": (hot if i % 3 else word(), word(), word()),
+             "one id": (hot, twin if i % 5 else word(), word()), "few": (i % 3, i % 2, word())}[kind] for i in range(3000)]
+    splitters = sorted(rng.sample(keys, 700) + [(hot, twin, word()), (-(1 << 63), 0, 0), ((1 << 63) - 1, 0, 5)])
+    rows = [(*k, 1) for k in keys] + [(-(1 << 63), 0, 0, 1), ((1 << 63) - 1, 0, 5, 1), ((1 << 63) - 1, 0, 4, 1)]
+    for cut in (splitters, splitters[:1], splitters[:2]):
+        got = sharding.with_range(spark.createDataFrame(rows, "g long, t long, u long, size long"), cut).collect()
+        assert len(got) == len(rows)
+        assert all(r.r == bisect_right(cut, (r.g, r.t, r.u)) for r in got)
