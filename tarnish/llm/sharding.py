@@ -15,8 +15,6 @@ any size can be divided; an empty table has no rows; other columns pass through.
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tarnish.llm.texts import fresh
@@ -33,51 +31,61 @@ Key = tuple[int, int, int]
 def slots(splitters: list[Key], level: int) -> list[tuple]:
     """Rows ``(g, t, slot, before, values)`` for the splitters that agree in the ``level`` numbers before.
 
-    The numbers are hashes, so their leading bits file them evenly: for each such group of ``n`` there
-    are about ``n`` slots, each with its different values, how many splitters have them, and by how
-    many bits those are filed on the next level. ``before``: splitters of the group in earlier slots.
+    The numbers are hashes, so their leading bits file them evenly, about eight to a slot. ``before``:
+    splitters of the group in earlier slots. ``values``: the different numbers of the slot, how many
+    splitters have each, the bits by which several are filed on the next level, or the rest of the one.
     """
-    groups: dict[tuple, list[int]] = {}
+    groups: dict[tuple, list[Key]] = {}
     for s in splitters:
-        groups.setdefault(s[:level], []).append(s[level])
+        groups.setdefault(s[:level], []).append(s)
     rows = []
-    for prefix, values in groups.items():
-        bits, before, by_slot = bits_for(len(values)), 0, {}
-        for x in values:
-            by_slot.setdefault((x + (1 << 63)) >> (64 - bits), Counter())[x] += 1
+    for prefix, own in groups.items():
+        if level and len(own) == 1:
+            continue
+        bits, before, by_slot = bits_for(len(own)), 0, {}
+        for s in own:
+            by_slot.setdefault((s[level] + (1 << 63)) >> (64 - bits), {}).setdefault(s[level], []).append(s)
         for slot in range(1 << bits):
-            own = by_slot.get(slot, {})
-            rows.append((*(*prefix, 0, 0)[:2], slot, before, [(x, n, bits_for(n)) for x, n in sorted(own.items())]))
-            before += sum(own.values())
+            values = by_slot.get(slot, {})
+            rows.append((*(*prefix, 0, 0)[:2], slot, before, [
+                (x, len(held), bits_for(len(held)), *(*held[0][level + 1:], 0, 0)[:2]) for x, held in values.items()]))
+            before += sum(map(len, values.values()))
     return rows
 
 
 def bits_for(n: int) -> int:
-    return max(1, (n - 1).bit_length())
+    return max(1, n.bit_length() - 3)
+
+
+#: Where a splitter has the record's number on a level and no other does, the rest of it decides.
+ALONE = {"g": "v.x = g and v.n = 1 and (v.one < t or v.one = t and v.two <= u)", "t": "v.x = t and v.n = 1 and v.one <= u", "u": "v.x = u"}
 
 
 def with_range(records: DataFrame, splitters: list[Key], out: str = "r") -> DataFrame:
     """Add the number of splitters at or below the key ``(g, t, u)``, of three hashes.
 
-    A record meets the slot of its ``g`` by an equi-join, and compares the one or two splitters there. Only
-    where a splitter has the same ``g`` does ``t`` matter, in slots of that group, and then ``u``. The
-    tables have at most two rows per splitter, so what a record costs doesn't depend on their number.
+    A record meets the slot of its ``g`` by an equi-join, and compares the few splitters there. Only
+    where several splitters have the same ``g`` they are filed by ``t``, and then by ``u``. No table has
+    more rows than splitters, so what a record costs doesn't depend on their number.
     """
     if not splitters:
         return records.withColumn(out, F.lit(0))
     columns, found = records.columns, records.select("*", F.lit(bits_for(len(splitters))).alias("_bits"), F.lit(0).alias("_sum"))
     for level, own in enumerate(("g", "t", "u")):
+        rows = slots(splitters, level)
+        if not rows:
+            break
         table = F.broadcast(records.sparkSession.createDataFrame(
-            slots(splitters, level), "_g bigint, _t bigint, _slot bigint, _before int, _values array<struct<x:bigint,n:int,bits:int>>"))
+            rows, "_g bigint, _t bigint, _slot bigint, _before int, _values array<struct<x:bigint,n:int,bits:int,one:bigint,two:bigint>>"))
         # from the least number on, as unsigned
         slot = F.expr(f"shiftrightunsigned({own} ^ (-9223372036854775807L - 1L), 64 - _bits)")
-        same = (F.col("_slot") == F.col("_at")) & F.col("_bits").isNotNull()
+        same = F.col("_slot") == F.col("_at")
         for c in ("g", "t")[:level]:
             same &= F.col(c) == F.col(f"_{c}")
         met = found.withColumn("_at", slot).join(table, same, "left")
-        below = F.expr(f"aggregate(filter(_values, v -> v.x {'<=' if own == 'u' else '<'} {own}), 0, (a, v) -> a + v.n)")
-        equal = F.expr(f"get(filter(_values, v -> v.x = {own}), 0)")
-        found = met.select(*columns, equal["bits"].alias("_bits"), (F.col("_sum") + F.coalesce(F.col("_before") + below, F.lit(0))).alias("_sum"))
+        below = F.expr(f"aggregate(filter(_values, v -> v.x < {own} or {ALONE[own]}), 0, (a, v) -> a + v.n)")
+        several = F.expr(f"get(filter(_values, v -> v.x = {own} and v.n > 1), 0).bits")
+        found = met.select(*columns, several.alias("_bits"), (F.col("_sum") + F.coalesce(F.col("_before") + below, F.lit(0))).alias("_sum"))
     return found.withColumnRenamed("_sum", out).drop("_bits")
 
 
