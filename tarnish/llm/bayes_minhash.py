@@ -12,11 +12,11 @@ dropped. All pairs that survive every batch are verified on their full sets.
 
 Links need not be found twice. In a band group of any size each node first meets the group's busiest
 one, that with the most company over all its bands. Where components leave a group split, the next
-busiest meets those that it is not connected with. What is split after some such rounds is compared in
-blocks of a few hundred nodes, the smaller components of a group with all of it, in numpy: first each
-node's best partner in each other component is verified, then every surviving pair that is still
-unconnected. No candidate is left out; the worst case is a large group whose members are all just
-below the threshold, where every pair survives and is verified.
+busiest meets those that it is not connected with. What is split after that is compared in blocks of
+a few hundred nodes, the smaller components of a group with all of it, in numpy, survivors verified
+there and then. No candidate is left out, and no block gives back more links than it takes to connect
+its nodes. The worst case is a large group whose members are all just below the threshold: the work
+inside its blocks then grows with the square of its size, and every 512 members add a copy of its rows.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; rows without
 an id get the smallest id of their component, or null; ``kept`` holds for the rows that carry that
@@ -26,7 +26,7 @@ empty; other columns pass through, those with the names of the results are repla
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -46,7 +46,7 @@ BATCH, MISS = 25, 1e-6
 #: Least likeness, as a fraction.
 LEAST = (85, 100)
 #: Rounds of the busiest, and nodes of a block.
-STARS, BLOCK = 3, 512
+STARS, BLOCK = 2, 512
 #: Shingles that go through all permutations at a time.
 CHUNK = 2048
 
@@ -130,43 +130,36 @@ def candidates_left(pairs: DataFrame, nodes: DataFrame, least: tuple[int, int],
     return met.where(F.arrow_udf(test, "boolean")("sig_a", "sig_b")).select("a", "b")
 
 
-class Sets:
-    """Full sets of the nodes that are asked for, from one document of each."""
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``wanted`` nodes with their full ``set``, from one document of each; only their texts are moved."""
+    def hashed(column: pa.Array) -> pa.Array:
+        known = WordHashes()
+        return pa.array([shingle_set(raw, known, width).tobytes() for raw in raw_texts(column)], pa.binary())
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, width: int):
-        self.docs, self.nodes, self.width = docs, nodes, width
+    of = wanted.select("node", "n", "sig", F.col("id").alias("of_id"), F.col("key").alias("of_key"))
+    found = docs.join(of, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))).dropDuplicates(["node"])
+    return materialise(found.select("node", "n", "sig", F.arrow_udf(hashed, "binary")("text").alias("set")), "sets")
 
-    def verified(self, pairs: DataFrame, least: tuple[int, int]) -> DataFrame:
-        """The pairs ``(a, b)`` whose sets are that alike."""
-        width = self.width
 
-        def hashed(column: pa.Array) -> pa.Array:
-            known = WordHashes()
-            return pa.array([shingle_set(raw, known, width).tobytes() for raw in raw_texts(column)], pa.binary())
+def verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The pairs ``(a, b)`` whose full sets are that alike."""
+    def alike(one: pa.Array, two: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(one, two):
+            p, q = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(least[1] * both >= least[0] * (len(p) + len(q) - both))
+        return pa.array(out, pa.bool_())
 
-        def alike(one: pa.Array, two: pa.Array) -> pa.Array:
-            out = []
-            for x, y in zip(one, two):
-                p, q = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                out.append(least[1] * both >= least[0] * (len(p) + len(q) - both))
-            return pa.array(out, pa.bool_())
-
-        pairs = materialise(pairs, "survivors")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes, "node").select(
-            "node", F.col("id").alias("of_id"), F.col("key").alias("of_key"))
-        found = self.docs.join(wanted, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))).dropDuplicates(["node"])
-        sets = materialise(found.select("node", F.arrow_udf(hashed, "binary")("text").alias("set")), "sets")
-        one, two = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-        return materialise(pairs.join(one, "a").join(two, "b").where(
-            F.arrow_udf(alike, "boolean")("set_a", "set_b")).select("a", "b"), "links")
+    one, two = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").where(F.arrow_udf(alike, "boolean")("set_a", "set_b")).select("a", "b")
 
 
 def split_groups(bands: DataFrame, linked: DataFrame | None) -> DataFrame:
     """The rows of the groups that hold more than one component, with each node's ``root``."""
     if linked is None:
         return bands.withColumn("root", F.col("node"))
-    labelled = bands.join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = bands.join(components(linked), "node", "left").select(*bands.columns, F.coalesce("root", "node").alias("root"))
     mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     return labelled.join(mixed.select("band"), "band", "left_semi")
 
@@ -175,41 +168,71 @@ def unordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def in_blocks(rows: DataFrame, nodes: DataFrame, least: tuple[int, int], miss: float, best: bool) -> DataFrame:
-    """Surviving pairs of different components in split groups; with ``best`` only the closest one of
-    each node to each other component."""
+class Cell:
+    """Nodes that meet in one task: their components, signatures and sets."""
+
+    def __init__(self, cell: pa.Table):
+        self.node, self.n, self.minor, self.index = (cell.column(c).to_numpy() for c in ("node", "n", "minor", "index"))
+        self.root = np.array(cell.column("root").to_numpy())  # changes as nodes are linked
+        self.sig = rows_of(cell.column("sig"))
+        sets = [np.frombuffer(v.as_py(), np.uint64) for v in cell.column("set")]
+        self.starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        # shingles by their number inside the cell
+        names, self.shingles = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(names), np.int32)
+
+    def own(self, i: int) -> np.ndarray:
+        return self.shingles[self.starts[i]:self.starts[i + 1]]
+
+    def shared(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Shingles that ``i`` has in common with each of ``js``."""
+        self.mark[self.own(i)] = 1
+        both = np.array([self.mark[self.own(j)].sum() for j in js], np.int64)
+        self.mark[self.own(i)] = 0
+        return both
+
+    def links(self, i: int, js: np.ndarray, least: tuple[int, int], miss: float) -> np.ndarray:
+        """Those of ``js`` that are alike and meet here first."""
+        low, high = np.minimum(self.n[i], self.n[js]), np.maximum(self.n[i], self.n[js])
+        js = js[(self.root[js] != self.root[i]) & (low * least[1] >= high * least[0])]
+        js = js[surviving(np.broadcast_to(self.sig[i], (len(js), PERMUTATIONS)), self.sig[js], least, miss) >= 0]
+        first = (self.sig[js] == self.sig[i]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+        js = js[first == self.index[i]]
+        both = self.shared(i, js)
+        return js[least[1] * both >= least[0] * (self.n[i] + self.n[js] - both)]
+
+
+def in_blocks(rows: DataFrame, sets: DataFrame, least: tuple[int, int], miss: float) -> DataFrame:
+    """Links ``(a, b)`` between the components in split groups, as few as connect them in each block.
+
+    A pair that shares several bands is looked at in the first of them.
+    """
     sizes = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("largest"), F.sum("n").alias("all"))
     cells = lambda n: F.ceil(n / BLOCK).cast("int")
-    rows = rows.join(largest, "band").join(nodes.select("node", "n", "sig"), "node").select(
-        "band", "node", "root", "n", "sig", (F.col("root") != F.col("largest.root")).alias("minor"),
+    rows = rows.join(largest, "band").select(
+        "band", "index", "node", "root", (F.col("root") != F.col("largest.root")).alias("minor"),
         cells(F.col("all") - F.col("largest.n")).alias("down"), cells(F.col("all")).alias("across"))
     own = lambda n: F.pmod(F.xxhash64("node", "band"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    fields = ("node", "root", "n", "sig", "minor")
+    fields = ("index", "node", "root", "minor")
     left = rows.where("minor").select("band", own(F.col("down")).alias("i"), every(F.col("across")).alias("j"), *fields, F.lit(True).alias("left"))
     right = rows.select("band", every(F.col("down")).alias("i"), own(F.col("across")).alias("j"), *fields, F.lit(False).alias("left"))
 
     def meet(cell: pa.Table) -> pa.Table:
-        cell = cell.combine_chunks()
-        side = cell.column("left").to_numpy()
-        node, root, n = (cell.column(c).to_numpy() for c in ("node", "root", "n"))
-        minor, sig = cell.column("minor").to_numpy(), rows_of(cell.column("sig"))
-        found = [(np.empty(0, np.int64),) * 4]
-        columns = np.flatnonzero(~side)
+        own_, side = Cell(cell.combine_chunks()), cell.column("left").to_numpy()
+        columns, found = np.flatnonzero(~side), [np.empty((0, 2), np.int64)]
         for i in np.flatnonzero(side):
-            low, high = np.minimum(n[i], n[columns]), np.maximum(n[i], n[columns])
-            js = columns[(root[columns] != root[i]) & (low * least[1] >= high * least[0]) & (~minor[columns] | (node[columns] > node[i]))]
-            agree = surviving(np.broadcast_to(sig[i], (len(js), PERMUTATIONS)), sig[js], least, miss)
-            js, agree = js[agree >= 0], agree[agree >= 0]
-            found.append((np.full(len(js), node[i]), node[js], root[js], agree))
-        return pa.table(dict(zip(("node", "other", "other_root", "agree"), map(np.concatenate, zip(*found)))))
+            js = columns[~own_.minor[columns] | (own_.node[columns] > own_.node[i])]
+            for j in own_.links(i, js, least, miss):
+                if own_.root[j] != own_.root[i]:  # one link joins two components
+                    found.append(own_.node[[i, j]][None])
+                    own_.root[own_.root == own_.root[j]] = own_.root[i]
+        pairs = np.concatenate(found)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    found = left.union(right).groupBy("band", "i", "j").applyInArrow(meet, "node bigint, other bigint, other_root bigint, agree bigint")
-    if best:
-        found = found.groupBy("node", "other_root").agg(F.max(F.struct("agree", "other")).alias("top")).select(
-            "node", F.col("top.other").alias("other"))
-    return found.select(*unordered("node", "other")).distinct()
+    met = left.union(right).join(sets, "node")
+    return met.groupBy("band", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame, least: tuple[int, int] = LEAST, miss: float = MISS, width: int = WIDTH) -> DataFrame:
@@ -217,32 +240,25 @@ def links(docs: DataFrame, nodes: DataFrame, least: tuple[int, int] = LEAST, mis
 
     ``nodes``: see :func:`nodes_of`; ``docs``: ``id``, ``key`` and ``text``.
     """
-    sets = Sets(docs, nodes, width)
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)])
-    bands = nodes.select("node", F.explode(keys).alias("band"))
+    bands = nodes.select("node", F.posexplode(keys).alias("index", "band"))
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("company")).where("company > 1")
     bands = materialise(bands.join(sizes, "band"), "bands")
     company = materialise(bands.groupBy("node").agg(F.sum("company").alias("company")), "company")
-    rows = materialise(bands.select("band", "node").join(company, "node"), "rows")
-    linked, found = None, []
+    sets = sets_of(docs, nodes.join(company, "node", "left_semi"), width)
+    rows = bands.select("band", "index", "node").join(company, "node")
+    linked = None
     for _ in range(STARS):
-        split = materialise(split_groups(rows.select("band", "node", "company"), linked), "split")
-        if split.isEmpty():
-            return linked if linked is not None else split.select(F.col("node").alias("a"), F.col("node").alias("b"))
+        split = materialise(split_groups(rows, linked), "split")
         lead = materialise(split.groupBy("band").agg(F.max(F.struct("company", "node", "root")).alias("lead")).select("band", "lead.node", "lead.root"), "lead")
         met = split.alias("x").join(lead.alias("l"), "band").where("x.root <> l.root")
         pairs = met.select(*unordered("x.node", "l.node")).distinct()
-        found.append(sets.verified(candidates_left(pairs, nodes, least, miss), least))
-        linked = reduce(DataFrame.union, found)
+        more = materialise(verified(candidates_left(pairs, nodes, least, miss), sets, least), "links")
+        linked = more if linked is None else linked.union(more)
         # a lead has met all of its group
-        rows = split.join(lead.select("band", "node"), ["band", "node"], "left_anti")
-    for best in (True, False):
-        split = materialise(split_groups(rows.select("band", "node", "company"), linked), "split")
-        if split.isEmpty():
-            break
-        found.append(sets.verified(in_blocks(split, nodes, least, miss, best), least))
-        linked = reduce(DataFrame.union, found)
-    return linked
+        rows = split.join(lead.select("band", "node"), ["band", "node"], "left_anti").select("band", "index", "node", "company")
+    split = materialise(split_groups(rows, linked), "split")
+    return linked if split.isEmpty() else linked.union(materialise(in_blocks(split, sets, least, miss), "links"))
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:

@@ -45,7 +45,9 @@ BITS = 1 << 26
 #: Phrases per trie.
 TRIE = 1 << 18
 #: Words remembered and counted by a task, positions advanced at a time, codes held, and phrases a task recalls.
-REMEMBERED, COUNTED, POSITIONS, HELD, SEEN = 1 << 17, 1 << 17, 1 << 19, 1 << 22, 1 << 19
+REMEMBERED, COUNTED, POSITIONS, HELD, SEEN = 1 << 16, 1 << 16, 1 << 18, 1 << 20, 1 << 19
+#: Texts in a batch that a task gives back.
+TEXTS = 500
 
 #: What ends a piece becomes a byte that no UTF-8 text has.
 BREAK = b"\xff"
@@ -95,17 +97,19 @@ def encoded(docs: DataFrame, seed: int) -> DataFrame:
                     words, pa.binary()).cast(pa.string()), pa.array(hashes), pa.array(list(own.values()), pa.int64())], schema=schema)
             counts.clear()
 
-        for batch in batches:
-            langs, ids = batch.column(0).to_pylist(), []
-            for lang, raw in zip(langs, raw_texts(batch.column(1))):
-                words = words_of(raw)
-                ids.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)).tobytes())
-                counts.setdefault(lang, Counter()).update(words)
-                if sum(map(len, counts.values())) > COUNTED:
-                    yield from counted()
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.binary()), pa.nulls(n, pa.string()),
-                                              pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(start, TEXTS)
+                langs, ids = batch.column(0).to_pylist(), []
+                for lang, raw in zip(langs, raw_texts(batch.column(1))):
+                    words = words_of(raw)
+                    ids.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)).tobytes())
+                    counts.setdefault(lang, Counter()).update(words)
+                    if sum(map(len, counts.values())) > COUNTED:
+                        yield from counted()
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.binary()), pa.nulls(n, pa.string()),
+                                                  pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
         yield from counted()
 
     return docs.mapInArrow(read, ENCODED)
