@@ -45,6 +45,22 @@ def bucket_of(value: Column, splits: Column) -> Column:
     return F.coalesce(F.when(F.size(splits) <= 2 * BLOCK, below(splits)).otherwise(two_levels), F.lit(0))
 
 
+def with_bucket(df: DataFrame, value: str, source: DataFrame, out: str = "_b") -> DataFrame:
+    """Add the bucket of ``value`` among equi-depth split points of ``source``.
+
+    A binary search, one step per projection: the points stay a constant of the generated code,
+    and a row costs the logarithm of their number.
+    """
+    n = max(4, min(1 << 14, parallelism(df.sparkSession)))
+    found = df.withColumn("_splits", range_splits(source, value, n)).withColumn(out, F.lit(0))
+    step, v = 1 << (n - 1).bit_length() - 1, F.col(value).cast("double")
+    while step:
+        # beyond the last point there is none to compare
+        found = found.withColumn(out, F.col(out) + F.when(F.get("_splits", F.col(out) + F.lit(step - 1)) < v, step).otherwise(0))
+        step >>= 1
+    return found.drop("_splits")
+
+
 def hash_bucket(digest: str) -> Column:
     """Bucket of an md5 text: its first three digits spread rows evenly over 4096 buckets."""
     return F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
@@ -75,6 +91,20 @@ def running_totals(df: DataFrame, keys: list[str], bucket: str, order: list[Colu
         for w, out in weights.items()])
 
 
+def running_max(df: DataFrame, bucket: str, order: list[Column], value: str, out: str) -> DataFrame:
+    """Add the largest ``value`` of all rows up to each row, in the order ``order``.
+
+    ``bucket`` must be monotone in ``order``. A bucket starts from the largest value of the buckets
+    before it, which a table with one row per bucket tells.
+    """
+    before = Window.partitionBy(F.lit(0)).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    tops = df.groupBy(bucket).agg(F.max(value).alias("_top"))
+    starts = tops.select(F.col(bucket).alias("_k"), F.max("_top").over(before).alias("_top_before"))
+    here = Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.join(starts, F.col(bucket) == F.col("_k")).select(
+        *df.columns, F.greatest(F.max(value).over(here), "_top_before").alias(out))
+
+
 def value_counts(df: DataFrame, keys: list[str], value: str,
                  extra: dict[str, Column] | None = None) -> DataFrame:
     """Distinct values with their counts (and other sums), pre-aggregated before the shuffle."""
@@ -91,13 +121,12 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, descending: bo
     """
     counts = value_counts(df, keys, value, extra)
     # the grouping is a shared subtree: Spark reuses its exchange for the sketch
-    with_bucket = counts.withColumn("_splits", range_splits(counts, value)).withColumn(
-        "_b", bucket_of(F.col(value), F.col("_splits"))).drop("_splits")
+    bucketed = with_bucket(counts, value, counts)
     sign = -1 if descending else 1
-    with_bucket = with_bucket.withColumn("_b", F.col("_b") * sign)
+    bucketed = bucketed.withColumn("_b", F.col("_b") * sign)
     order = [F.col(value).desc() if descending else F.col(value).asc()]
     weights = {"_n": "_before", **{name: f"{name}_before" for name in (extra or {})}}
-    return running_totals(with_bucket, keys, "_b", order, weights).drop("_b")
+    return running_totals(bucketed, keys, "_b", order, weights).drop("_b")
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str,
@@ -108,8 +137,7 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str,
     buckets' totals tell which bucket holds a wanted rank; only those buckets are sorted.
     """
     counts = value_counts(df, keys, value)
-    counts = counts.withColumn("_splits", range_splits(counts, value)).withColumn(
-        "_b", bucket_of(F.col(value), F.col("_splits"))).drop("_splits")
+    counts = with_bucket(counts, value, counts)
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     # one row per (group, bucket)
     totals = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_t"))
@@ -180,8 +208,6 @@ def sorted_positions(df: DataFrame, keys: list[str], by: str, out: str = "positi
         # without ties a rank is a position
         ranked = average_ranks(df, keys, by, out, descending=False)
         return ranked.withColumn(out, F.col(out).cast("bigint") - 1)
-    prepared = (df.withColumn("_splits", range_splits(df, by))
-                .withColumn("_b", bucket_of(F.col(by), F.col("_splits"))).drop("_splits")
-                .withColumn("_one", F.lit(1)))
+    prepared = with_bucket(df, by, df).withColumn("_one", F.lit(1))
     return running_totals(prepared, keys, "_b", [F.col(by).asc()], {"_one": out}).drop(
         "_b", "_one").withColumn(out, F.col(out).cast("bigint"))

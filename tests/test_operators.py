@@ -366,3 +366,49 @@ def test_bucket_number_in_two_levels(spark, n):
     df = frame(spark, [(v, points) for v in values], "v double, s array<double>")
     got = {r.v: r.b for r in df.select("v", ordering.bucket_of(F.col("v"), F.col("s")).alias("b")).collect()}
     assert got == {v: sum(p < v for p in points) for v in values}
+
+
+@pytest.mark.parametrize("n", [1, 3, 1000])
+def test_bucket_by_binary_search(spark, n):
+    import random
+    rng = random.Random(n)
+    df = frame(spark, [(float(rng.choice([rng.randrange(20), rng.random() * 9])),) for _ in range(n)] + [(None,)], "v double")
+    points = df.select(ordering.range_splits(df, "v").alias("s")).first().s
+    assert all(r.b == sum(p < r.v for p in points or []) if r.v is not None else r.b == 0
+               for r in ordering.with_bucket(df, "v", df, "b").collect())
+
+
+def test_holm_over_many_tests(spark):
+    import random
+    from tarnish.operators.quality import holm
+    rng = random.Random(4)
+    rows = [(f"m{i}", f"m{i + 1}", rng.choice([rng.random() ** 9, round(rng.random(), 2)])) for i in range(3000)]
+    got = {r.a: r.p_holm for r in holm(frame(spark, rows, "a string, b string, p double"), "p").collect()}
+    top, want = 0.0, {}
+    for i, (a, b, p) in enumerate(sorted(rows, key=lambda r: (r[2], r[0], r[1]))):
+        top = max(top, min(1.0, p * (len(rows) - i)))
+        want[a] = top
+    assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_runs_of_tied_methods(spark, monkeypatch):
+    """Runs from the farthest method before a difference, against all runs."""
+    import random
+    from itertools import combinations
+    from pyspark.sql import functions as F
+    from tarnish.operators import quality
+    rng = random.Random(1)
+    names = [f"m{i:02}" for i in range(25)]
+    scores = [(d, m, float(i) + rng.random()) for d in range(6) for i, m in enumerate(names)]
+    apart = {p for p in combinations(range(25), 2) if p[1] - p[0] > 2 and rng.random() < 0.2}
+    pairs = frame(spark, [(names[a], names[b], 0.01 if (a, b) in apart else 0.5) for a, b in combinations(range(25), 2)],
+                  "a string, b string, p_holm double")
+    monkeypatch.setattr(quality, "wilcoxon_pairs", lambda *a: pairs)
+    found = quality.critical_difference_groups(frame(spark, scores, "d int, m string, v double"), "d", "m", "v").orderBy("mean_rank").collect()
+    order = [names.index(r.m) for r in found]
+
+    def tied(i, j):
+        return not any(tuple(sorted(p)) in apart for p in combinations(order[i:j + 1], 2))
+    runs = [(i, j) for i, j in combinations(range(25), 2) if tied(i, j)]
+    longest = [r for r in runs if not any(o != r and o[0] <= r[0] and r[1] <= o[1] for o in runs)]
+    assert [r.tied for r in found] == [[g for g, (a, b) in enumerate(longest) if a <= i <= b] for i in range(25)]
