@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tarnish.operators.auto_fuzzy import auto_fuzzy_join
+from tarnish.operators.auto_fuzzy import auto_fuzzy_join, ball_counts
 from tarnish.operators.fuzzy import fuzzy_join, fuzzy_matches, sweep_thresholds
 from tarnish.operators.quality import join_quality, pair_set_quality
 from tarnish.plans.fixtures import typo
@@ -293,3 +293,29 @@ def fuzzy_join_pair_quality(t: Tables) -> DataFrame:
 @query("auto_fuzzy_join")
 def auto_fuzzy_join_query(t: Tables) -> DataFrame:
     return auto_fuzzy_join(_names(t), _typos(t), "id", "title", precision_target=0.9)
+
+
+# Frequencies over the distinct texts of either side, copies on the left counted as such; nearest
+# left text of each right one, and the left rows within twice the distance of that.
+_BALLS = f"""
+WITH lefts AS (SELECT lower(c_name) AS t, count(*) AS m, min(c_custkey) AS o FROM customer GROUP BY 1),
+rights AS (SELECT c_custkey AS id_r, lower({typo('c_name', 'c_custkey')}) AS t FROM customer),
+rk AS (SELECT t, count(*) AS m FROM rights GROUP BY t),
+every AS (SELECT t, max(m) AS m FROM (SELECT t, m FROM rk UNION ALL SELECT t, m FROM lefts) GROUP BY t),
+texts AS (SELECT t, every.m + coalesce(lefts.m, 0) AS m FROM every LEFT JOIN lefts USING (t)),
+cnt AS (SELECT t, gram, count(*) AS c FROM ({gram_rows('texts', 't', 't', 'char', 3, 3)}) GROUP BY ALL),
+df AS (SELECT gram, sum(m) AS df FROM cnt JOIN texts USING (t) GROUP BY gram),
+raw AS (SELECT t, gram, c * (ln((1.0 + (SELECT sum(m) FROM texts)) / (1.0 + df)) + 1.0) AS r FROM cnt JOIN df USING (gram)),
+w AS (SELECT t, gram, r / sqrt(sum(r * r) OVER (PARTITION BY t)) AS w FROM raw),
+sims AS (SELECT x.t AS a, y.t AS b, round(sqrt(round(greatest(2.0 - 2.0 * round(least(1.0, sum(x.w * y.w)), 9), 0), 9)), 9) AS d
+  FROM w x JOIN w y USING (gram) WHERE y.t IN (SELECT t FROM lefts) GROUP BY ALL),
+best AS (SELECT rk.t, lefts.t AS l, o, d FROM rk JOIN sims ON a = rk.t JOIN lefts ON b = lefts.t
+  QUALIFY row_number() OVER (PARTITION BY rk.t ORDER BY d, o) = 1),
+balls AS (SELECT best.t, sum(m) AS ball FROM best JOIN sims ON a = l AND sims.d <= round(2 * best.d, 9) JOIN lefts ON b = lefts.t GROUP BY best.t)
+SELECT id_r, o AS id_l, round(d, 6) AS d, CASE WHEN round(2 * d, 9) >= round(sqrt(2), 9) THEN (SELECT sum(m) FROM lefts) ELSE ball END::BIGINT AS ball
+FROM rights JOIN best USING (t) JOIN balls USING (t)"""
+
+
+@query("auto_fuzzy_ball_counts", _BALLS)
+def auto_fuzzy_ball_counts(t: Tables) -> DataFrame:
+    return ball_counts(_names(t), _typos(t), "id", "title").select("id_r", "id_l", F.round("d", 6).alias("d"), "ball")

@@ -196,3 +196,39 @@ def test_search_within_one_table(spark, tiny_chunks):
     for i, w in enumerate(words):
         cos = max(sum(x * vec[j].get(g, 0.0) for g, x in vec[i].items()) for j in range(len(words)) if j != i)
         assert got[w] == pytest.approx(math.sqrt(2 - 2 * min(cos, 1.0)), abs=1e-4)
+
+
+def test_ball_counts_against_all_pairs(spark):
+    """Radii of every size, several per text, copies among the reference texts, texts that share nothing."""
+    import random
+    from tarnish.operators.nearest import count_within, text_weights
+    rng = random.Random(12)
+    texts = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(3, 9))) for _ in range(120)} | {"zzzz", "yyyy"})
+    aux = [(f"k{i}", t, rng.choice([1, 1, 3])) for i, t in enumerate(texts)]
+    main = spark.createDataFrame([(k, t, 1) for k, t, _ in aux[::2]] + [("q", "abcdq", 2)], "k string, t string, m int")
+    right = spark.createDataFrame(aux, "k string, t string, m int")
+    weights = text_weights(main, right, "char", (2, 3))
+    vectors = {}
+    for r in weights.collect():
+        vectors.setdefault(r.k, {})[r.gram] = r.w
+
+    def distance(a, b):
+        cos = round(min(1.0, sum(w * vectors[b].get(g, 0.0) for g, w in vectors[a].items())), 9)
+        return round(round(max(2 - 2 * cos, 0.0), 9) ** 0.5, 9)
+    keys = [k for k, _, _ in aux[::2]] + ["q"]
+    radii = [(k, r) for k in keys for r in {0.0, round(rng.random() * 1.5, 3), 1.2, 1.5, distance(k, rng.choice(aux)[0])}]
+    got = {(r.k, r.r): r.n for r in count_within(spark.createDataFrame(radii, "k string, r double"), right, weights).collect()}
+    assert got == {(k, r): sum(m for x, _, m in aux if distance(k, x) <= r) for k, r in radii}
+
+
+def test_expected_precision_follows_the_balls(spark):
+    from tarnish.operators.auto_fuzzy import auto_fuzzy_join, ball_counts
+    left = spark.createDataFrame([(1, "golden gate bridge"), (2, "brooklyn bridge"), (3, "tower bridge east"), (4, "tower bridge west"), (5, "Tower Bridge West")],
+                                 "id int, title string")
+    right = spark.createDataFrame([(10, "golden gate brigde"), (11, "brooklyn bridge"), (12, "tower bridge est"), (13, "qqq")], "id int, title string")
+    balls = {r.id_r: (r.id_l, r.ball) for r in ball_counts(left, right, "id", "title").collect()}
+    assert balls[11] == (2, 1) and balls[10][0] == 1 and balls[12][0] in (3, 4) and 13 not in balls
+    assert balls[10][1] == 1 and balls[12][1] >= 1
+    got = {r.id_r: (r.id_l, r.expected) for r in auto_fuzzy_join(left, right, "id", "title", 0.9).collect()}
+    assert got[11] == (2, 1.0) and got[10] == (1, 1.0) and 13 not in got
+    assert sum(e for _, e in got.values()) / len(got) >= 0.9
