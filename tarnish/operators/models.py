@@ -11,9 +11,11 @@ from functools import reduce
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
-from pyspark.ml.feature import (PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler)
+from pyspark.ml.feature import (PCA, ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tarnish.operators import metrics
@@ -47,12 +49,20 @@ def make_model(name: str, n_classes: int = 2, trees: int = 100):
 class UnitLogistic(Estimator):
     """Logistic regression with inverse penalty C = 1 on the features as they are.
 
-    MLlib averages the loss over rows, so the penalty is divided by their number.
+    MLlib averages the loss over rows, so the penalty is divided by their number. It scales features
+    by their deviation and the penalty back, which fails on features that hold nothing but rounding,
+    such as the components of a reduction beyond the rank: those count as zero.
     """
 
     def _fit(self, df: DataFrame):
-        n = max(1, df.count())
-        return LogisticRegression(maxIter=100, regParam=1.0 / n, standardization=False, labelCol="y").fit(df)
+        found = df.select(Summarizer.metrics("count", "std").summary(F.col("features")).alias("s")).first().s
+        std = found.std.toArray()
+        model = LogisticRegression(maxIter=100, regParam=1.0 / max(1, found["count"]), standardization=False, labelCol="y")
+        real = std > 1e-9 * std.max(initial=0.0)
+        if real.all() or not real.any():
+            return model.fit(df)
+        mask = ElementwiseProduct(scalingVec=Vectors.dense(real.astype(float)), inputCol="features", outputCol="features_kept")
+        return Pipeline(stages=[mask, model.setFeaturesCol("features_kept")]).fit(df)
 
 
 class PopulationScaler(Estimator):

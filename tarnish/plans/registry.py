@@ -37,5 +37,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from tarnish.plans import (  # noqa: F401
-        encoder_queries, fuzzy_queries, model_queries, prepare_queries, report_queries,
+        encoder_queries, exact_model_queries, fuzzy_queries, model_queries, prepare_queries, report_queries,
         source_queries, table_queries, text_queries)
