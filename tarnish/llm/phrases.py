@@ -10,8 +10,8 @@ Frequent codes go to the tasks as a bitmap of fixed size, and what falls on a se
 looked at in vain.
 
 The phrases behind the frequent codes are dealt over tries of a bounded number of phrases. A trie's
-alphabet is its own words; its states lie in a double array, where state ``s`` goes on with symbol
-``c`` to ``base[s] + c`` if ``check`` of that place is ``s``. One trie at a time is broadcast, and a
+alphabet is its own words, each written as two symbols; its states lie in a double array, where state
+``s`` goes on with symbol ``c`` to ``base[s] + c`` if ``check`` of that place is ``s``. One trie at a time is broadcast, and a
 task advances the states of all positions of a chunk of text at once, word by word, and counts the states
 that are reached. These exact counts, summed over all tasks, replace those by code.
 
@@ -46,6 +46,8 @@ BITS = 1 << 26
 TRIE = 1 << 18
 #: Words remembered and counted by a task, positions advanced at a time, codes held, and phrases a task recalls.
 REMEMBERED, COUNTED, POSITIONS, HELD, SEEN = 1 << 16, 1 << 16, 1 << 18, 1 << 20, 1 << 19
+#: A word is two steps in a trie, so that no state has more than so many ways on; lists of up to SHORT are dealt at random.
+SYMBOLS, SHORT = 512, 16
 #: Texts in a batch that a task gives back.
 TEXTS = 500
 
@@ -215,6 +217,12 @@ def candidates(texts: DataFrame, maps: dict) -> DataFrame:
     return texts.mapInArrow(find, "lang string, " + ", ".join(f"{w} bigint" for w in WORDS)).distinct()
 
 
+def digits(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two symbols of each word number; zeros for zero."""
+    some = numbers > 0
+    return np.where(some, (numbers - 1) // SYMBOLS + 1, 0), np.where(some, (numbers - 1) % SYMBOLS + 1, 0)
+
+
 @dataclass
 class Trie:
     """``symbols``: ascending word hashes, ``ranks`` their numbers from 1; ``roots``: state by group."""
@@ -234,58 +242,73 @@ class Trie:
         to = np.clip(self.base[states] + symbols, 0, len(self.check) - 1)
         return np.where((symbols > 0) & (self.check[to] == states), to, 0)
 
-    def count(self, lang: str, ids: np.ndarray, counts: np.ndarray) -> None:
-        """Add the states that are reached after two words or more, from every position."""
-        root = self.roots.get(lang)
+    def reached(self, lang: str, ids: np.ndarray) -> list[np.ndarray]:
+        """The states after two words or more, from every position; zero where there is none."""
+        root, out = self.roots.get(lang), []
         if root is None:
-            return
-        symbols = self.read(ids)
+            return out
+        first, second = digits(self.read(ids))
         at = np.arange(len(ids) - LONGEST + 1)
-        states = self.step(root, symbols[at])
+        states = self.step(self.step(root, first[at]), second[at])
         for level in range(1, LONGEST):
             at, states = at[states > 0], states[states > 0]
-            states = self.step(states, symbols[at + level])
-            counts += np.bincount(states, minlength=len(counts))
-        counts[0] = 0
+            states = self.step(self.step(states, first[at + level]), second[at + level])
+            out.append(states.astype(np.int32))
+        return out
 
 
-def place(children: list[np.ndarray], reserved: int) -> tuple[np.ndarray, int]:
+def place(symbols: np.ndarray, starts: np.ndarray, reserved: int) -> tuple[np.ndarray, int]:
     """A base for each list of ascending symbols, so that no two lists use one place; and the places' number.
+    List ``i`` begins at ``starts[i]`` of ``symbols``, where the one before ends.
 
-    The longest lists are placed first, each at the first free place that takes it; lists of one fill what is free.
+    Long lists lie one after the other; short ones go where they fit among them, all of one length at
+    a time, at places drawn at random until no two meet; lists of one symbol fill what is free.
     """
-    used = np.zeros(reserved + 1024 + sum(map(len, children)), bool)
-    used[:reserved] = True
-    base = np.zeros(len(children), np.int64)
-    sizes = np.array([len(c) for c in children])
-    start = reserved
-    for node in np.argsort(-sizes, kind="stable"):
-        if sizes[node] < 2:
-            break
-        far = children[node] - children[node][0]
-        look = start
-        while True:
-            if look + 512 + far[-1] >= len(used):
-                used = np.append(used, np.zeros(len(used) + far[-1], bool))
-            free = look + np.flatnonzero(~used[look:look + 512])
-            if look == start and len(free) < 16:  # nearly full: later lists needn't look here
-                start += 512
-            fits = free[~used[free[:, None] + far].any(axis=1)]
-            if len(fits):
-                used[fits[0] + far] = True
-                base[node] = fits[0] - children[node][0]
-                break
-            look += 512
+    sizes = np.diff(np.append(starts, len(symbols)))
+    base, rng = np.zeros(len(starts), np.int64), np.random.default_rng(3)
+    long = np.flatnonzero(sizes > SHORT)
+    room = reserved + int((symbols[starts[long] + sizes[long] - 1] - symbols[starts[long]] + 1).sum())
+    short = np.flatnonzero((sizes > 1) & (sizes <= SHORT))
+    limit = max(room, reserved + 4 * int(sizes[short].sum()) + SYMBOLS)
+    used = np.zeros(limit + SYMBOLS + len(starts), bool)
+    used[:reserved], at = True, reserved
+    for i in long:
+        own = symbols[starts[i]:starts[i] + sizes[i]]
+        far = own - own[0]
+        used[at + far] = True
+        base[i], at = at - own[0], at + far[-1] + 1
+    for size in range(SHORT, 1, -1):
+        left = short[sizes[short] == size]
+        if not len(left):
+            continue
+        own = symbols[starts[left][:, None] + np.arange(size)]
+        far, rounds = own - own[:, :1], 0
+        while len(left):
+            rounds += 1
+            if rounds % 16 == 0:  # crowded
+                limit += limit // 2
+                used = np.append(used, np.zeros(limit // 2 + 1, bool))
+            to = rng.integers(reserved, limit, len(left))
+            slots = to[:, None] + far
+            free = np.flatnonzero(~used[slots].any(axis=1))
+            # of lists that want one place, the first gets it
+            flat = slots[free].ravel()
+            wins = np.zeros(len(flat), bool)
+            wins[np.unique(flat, return_index=True)[1]] = True
+            free = free[wins.reshape(-1, size).all(axis=1)]
+            used[slots[free]] = True
+            base[left[free]] = to[free] - own[free, 0]
+            keep = np.ones(len(left), bool)
+            keep[free] = False
+            left, own, far = left[keep], own[keep], far[keep]
     single = np.flatnonzero(sizes == 1)
-    free = np.flatnonzero(~used)
-    if len(free) < len(single):
-        free = np.append(free, np.arange(len(used), len(used) + len(single)))
-    free = free[:len(single)]
-    base[single] = free - np.array([children[i][0] for i in single], np.int64)
-    return base, int(max(free.max(initial=0), np.flatnonzero(used).max(initial=0))) + 2  # the last place stays free
+    free = np.flatnonzero(~used)[:len(single)]
+    base[single] = free - symbols[starts[single]]
+    used[free] = True
+    return base, int(np.flatnonzero(used).max(initial=0)) + 2  # the last place stays free
 
 
-def build(langs: list[str], words: np.ndarray) -> tuple[Trie, np.ndarray]:
+def build(langs: pa.Array, words: np.ndarray) -> tuple[Trie, np.ndarray]:
     """The trie of phrases (rows of word hashes, zeros at the end), and the state of each phrase."""
     symbols, inverse, times = np.unique(words, return_inverse=True, return_counts=True)
     inverse = inverse.reshape(words.shape)
@@ -294,15 +317,16 @@ def build(langs: list[str], words: np.ndarray) -> tuple[Trie, np.ndarray]:
     ranks = np.zeros(len(symbols), np.int64)
     order = np.argsort(-times[blank:], kind="stable") + blank
     ranks[order] = np.arange(1, len(order) + 1)
-    steps = ranks[inverse]
-    names = sorted(set(langs))
+    steps = np.stack(digits(ranks[inverse]), axis=2).reshape(len(words), -1)
+    groups = langs.dictionary_encode()
+    names = groups.dictionary.to_pylist()
     number = {lang: i for i, lang in enumerate(names)}
     # nodes by number: the groups' roots first, then level by level
-    at, nodes = np.array([number[x] for x in langs], np.int64), len(names)
+    at, nodes = groups.indices.to_numpy().astype(np.int64), len(names)
     parents, via, last = [np.full(nodes, -1)], [np.zeros(nodes, np.int64)], at.copy()
-    width = len(symbols) + 1
+    width = int(steps.max(initial=0)) + 1
     live = np.arange(len(words))
-    for level in range(words.shape[1]):
+    for level in range(steps.shape[1]):
         live = live[steps[live, level] > 0]
         keys, which = np.unique(at[live] * width + steps[live, level], return_inverse=True)
         at[live] = nodes + which
@@ -314,9 +338,8 @@ def build(langs: list[str], words: np.ndarray) -> tuple[Trie, np.ndarray]:
     inner = np.arange(len(names), nodes)
     inner = inner[np.lexsort((via[inner], parents[inner]))]
     owner, first = np.unique(parents[inner], return_index=True)
-    lists = np.split(via[inner], first[1:])
     reserved = len(names) + 1
-    base, size = place(lists, reserved)
+    base, size = place(via[inner], first, reserved)
     of_node = np.zeros(nodes, np.int64)
     of_node[owner] = base
     state = np.zeros(nodes, np.int64)
@@ -339,7 +362,7 @@ def tries(phrases: DataFrame, size: int) -> tuple[DataFrame, int]:
 
     def make(own: pa.Table) -> pa.Table:
         words = np.stack([own.column(w).to_numpy().view(np.uint64) for w in WORDS], 1)
-        trie, states = build(own.column("lang").to_pylist(), words)
+        trie, states = build(own.column("lang").combine_chunks(), words)
         n, part = len(own), own.column("part")[0].as_py()
         arrays = [trie.symbols.tobytes(), trie.ranks.astype(np.int32).tobytes(), trie.base.tobytes(), trie.check.tobytes()]
         kinds = [pa.binary()] * 4 + [pa.list_(pa.string())]
@@ -361,9 +384,14 @@ def counted(texts: DataFrame, trie) -> DataFrame:
     """``(state, n)``: how often each state of the broadcast trie is reached, a row per state and task before the sum."""
     def count(batches):
         own = trie.value
-        counts = np.zeros(len(own.base), np.int64)
+        counts, held = np.zeros(len(own.base), np.int64), []
         for lang, ids in streams(batches):
-            own.count(lang, ids, counts)
+            held += own.reached(lang, ids)
+            if sum(map(len, held)) > HELD:
+                counts += np.bincount(np.concatenate(held), minlength=len(counts))
+                held.clear()
+        counts += np.bincount(np.concatenate([np.zeros(0, np.int32), *held]), minlength=len(counts))
+        counts[0] = 0
         met = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(counts[met])], ["state", "n"])
 

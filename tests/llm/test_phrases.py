@@ -126,14 +126,13 @@ def test_double_array():
         seen[rng.choice(["a", "b"]), words] = 0
     langs = [lang for lang, _ in seen]
     rows = np.array([w + (0,) * (4 - len(w)) for _, w in seen], np.uint64)
-    trie, states = phrases.build(langs, rows)
+    trie, states = phrases.build(pa.array(langs), rows)
     assert len(set(states)) == len(seen) and states.min() > 0
     text = ((1 << 40) + rng.zipf(1.3, 50_000) % 3000).astype(np.uint64)
     text[rng.integers(0, 50_000, 5000)] = 0
     text = np.concatenate([text, np.zeros(3, np.uint64)])
-    counts = np.zeros(len(trie.base), np.int64)
-    trie.count("a", text, counts)
-    trie.count("none", text, counts)
+    counts = np.bincount(np.concatenate(trie.reached("a", text)), minlength=len(trie.base))
+    assert trie.reached("none", text) == []
     plain_counts = Counter(tuple(map(int, text[i:i + k])) for k in (2, 3, 4) for i in range(50_000))
     for (lang, words), state in zip(seen, states):
         assert counts[state] == (plain_counts[words] if lang == "a" else 0)
