@@ -6,12 +6,14 @@ words are counted on the way. From there on only numpy looks at texts.
 Candidates are found length by length, after Apriori: a window of ``k`` words is looked at only where
 both windows of ``k - 1`` words inside it are frequent. Windows are known by a 64-bit code then, so two
 may share a code, but their common count is no less than that of either: nothing frequent is lost.
-Frequent codes go to the tasks as a bitmap of fixed size, and what falls on a set bit by chance is
-looked at in vain.
+Frequent codes go to the tasks as a bitmap of fixed size, and what falls on set bits by chance is
+looked at in vain. With its count every frequent code has the mark of one text that holds it, so the
+phrase behind it is given by the texts of that mark and not by every task. Where the phrases found fall
+short of their code's count, two phrases share the code, and all texts are asked for that code.
 
 The phrases behind the frequent codes are dealt over tries of a bounded number of phrases. A trie's
 alphabet is its own words, each written as two symbols; its states lie in a double array, where state
-``s`` goes on with symbol ``c`` to ``base[s] + c`` if ``check`` of that place is ``s``. One trie at a time is broadcast, and a
+``s`` goes on with symbol ``c`` to ``base[s] + c`` if ``check`` of that place is ``s``. A few tries at a time are broadcast, and a
 task advances the states of all positions of a chunk of text at once, word by word, and counts the states
 that are reached. These exact counts, summed over all tasks, replace those by code.
 
@@ -44,8 +46,12 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 BITS = 1 << 26
 #: Phrases per trie.
 TRIE = 1 << 18
+#: Tries per pass over the texts.
+TOGETHER = 4
+#: Texts are marked by a number below this.
+MARKS = 1 << 16
 #: Words remembered and counted by a task, positions advanced at a time, codes held, and phrases a task recalls.
-REMEMBERED, COUNTED, POSITIONS, HELD, SEEN = 1 << 16, 1 << 16, 1 << 18, 1 << 20, 1 << 19
+REMEMBERED, COUNTED, POSITIONS, HELD, SEEN = 1 << 16, 1 << 16, 1 << 18, 1 << 21, 1 << 19
 #: A word is two steps in a trie, so that no state has more than so many ways on; lists of up to SHORT are dealt at random.
 SYMBOLS, SHORT = 512, 16
 #: Texts in a batch that a task gives back.
@@ -117,24 +123,34 @@ def encoded(docs: DataFrame, seed: int) -> DataFrame:
     return docs.mapInArrow(read, ENCODED)
 
 
-def streams(batches) -> Iterator[tuple[str, np.ndarray]]:
+def streams(batches, marked: bool = False) -> Iterator[tuple]:
     """The texts ``(lang, ids)`` of each batch end to end, in chunks of whole texts of one group.
 
-    Zeros stand after every text, enough that no window reaches into the next.
+    Zeros stand after every text, enough that no window reaches into the next. ``marked`` adds the
+    mark of every position's text, which the text's words alone decide.
     """
     gap = np.zeros(LONGEST - 1, np.uint64)
     for batch in batches:
         held: dict[str, list[np.ndarray]] = {}
+        marks: dict[str, list[np.ndarray]] = {}
         sizes: Counter = Counter()
+
+        def chunk(lang: str) -> tuple:
+            out = lang, np.concatenate(held.pop(lang))
+            return (*out, np.concatenate(marks.pop(lang))) if marked else out
+
         for lang, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = np.frombuffer(ids.as_py(), np.uint64)
+            raw = ids.as_py()
+            own = np.frombuffer(raw, np.uint64)
             held.setdefault(lang, []).extend((own, gap))
+            if marked:
+                marks.setdefault(lang, []).append(np.full(len(own) + len(gap), xxhash.xxh3_64_intdigest(raw) % MARKS, np.uint16))
             sizes[lang] += len(own) + len(gap)
             if sizes[lang] >= POSITIONS:
                 del sizes[lang]
-                yield lang, np.concatenate(held.pop(lang))
-        for lang, parts in held.items():
-            yield lang, np.concatenate(parts)
+                yield chunk(lang)
+        for lang in list(held):
+            yield chunk(lang)
         pa.default_memory_pool().release_unused()
 
 
@@ -156,10 +172,14 @@ def full(ids: np.ndarray, k: int) -> np.ndarray:
     return ok
 
 
+#: Where a mark enters a code: it moves both of the code's bits.
+MARKED = (1 << 10) + (1 << 42)
+
+
 def bitmap(frequent: DataFrame) -> np.ndarray:
-    """Bits for the ``code`` column; the driver gets 64 of them a row, ``BITS / 64`` rows at most."""
-    bit = F.pmod("code", F.lit(BITS))
-    rows = frequent.select(F.shiftright(bit, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pmod(code, {BITS}) & 63 as int))").alias("bits"))
+    """Two bits for each ``code``; the driver gets 64 of them a row, ``BITS / 64`` rows at most."""
+    bit = F.pmod("half", F.lit(BITS))
+    rows = frequent.select(F.explode(F.array("code", F.shiftrightunsigned("code", 32))).alias("half")).select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("at"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("bits"))
     rows = rows.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(BITS // 64, np.int64)
     out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
@@ -167,54 +187,74 @@ def bitmap(frequent: DataFrame) -> np.ndarray:
 
 
 def on(bits: np.ndarray, own: np.ndarray) -> np.ndarray:
-    slot = own.view(np.int64) & (8 * len(bits) - 1)
-    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+    def is_set(slot: np.ndarray) -> np.ndarray:
+        slot = slot.view(np.int64) & (8 * len(bits) - 1)
+        return (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+    found = is_set(own)
+    found[found] = is_set(own[found] >> np.uint64(32))
+    return found
+
+
+def windows(lang: str, ids: np.ndarray, k: int, below: np.ndarray) -> np.ndarray:
+    """Where ``k`` words follow each other that may be frequent: both windows of ``k - 1`` words are on ``below``."""
+    short = full(ids, k - 1)
+    short[short] = on(below, codes(lang, ids, k - 1)[short])
+    return short & np.append(short[1:], False) & full(ids, k)
 
 
 def frequent_codes(texts: DataFrame, k: int, below, least: int) -> DataFrame:
-    """``code`` of the windows of ``k`` words that may be frequent. ``below``: the bitmap for ``k - 1``."""
+    """``(code, n, mark)`` of the windows of ``k`` words that may be frequent. ``below``: the bitmap for ``k - 1``."""
     def find(batches):
         held, size = [], 0
 
         def summed():
-            found, n = np.unique(np.concatenate(held), return_counts=True)
+            own, marks = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["code", "n"])
-
-        for lang, ids in streams(batches):
-            ok = on(below.value, codes(lang, ids, k - 1)) & full(ids, k - 1)
-            ok &= np.append(ok[1:], False) & full(ids, k)
-            own = codes(lang, ids, k)[ok]
-            held.append(own)
-            size += len(own)
+            order = np.argsort(own)
+            own = own[order]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else order
+            n = np.diff(np.append(first, len(own)))
+            return pa.RecordBatch.from_arrays([pa.array(own[first].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(marks[order[first]].astype(np.int32))], ["code", "n", "mark"])
+
+        for lang, ids, marks in streams(batches, marked=True):
+            ok = windows(lang, ids, k, below.value)
+            held.append((codes(lang, ids, k)[ok], marks[:len(ok)][ok]))
+            size += len(held[-1][0])
             if size >= HELD:
                 yield summed()
                 size = 0
         if held:
             yield summed()
 
-    found = texts.mapInArrow(find, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-    return materialise(found.where(F.col("n") >= least).select("code"), "codes")
+    found = texts.mapInArrow(find, "code bigint, n bigint, mark int").groupBy("code").agg(F.sum("n").alias("n"), F.min("mark").alias("mark"))
+    return materialise(found.where(F.col("n") >= least), "codes")
 
 
-def candidates(texts: DataFrame, maps: dict) -> DataFrame:
-    """The different windows ``(lang, w0 ... w3)`` on a set bit; zeros fill shorter ones."""
+def candidates(texts: DataFrame, below: dict, wanted: dict, marked: bool) -> DataFrame:
+    """The different windows ``(lang, w0 ... w3, code)`` on set bits; zeros fill shorter ones.
+
+    ``wanted`` has the bitmap of the codes of each length or, if ``marked``, of codes and marks together:
+    then a window is given by the texts of its code's mark only.
+    """
     def find(batches):
         seen = np.empty(0, np.uint64)
-        for lang, ids in streams(batches):
-            for k, bits in maps.items():
-                own = codes(lang, ids, k)
-                at = np.flatnonzero(on(bits.value, own) & full(ids, k))
-                _, first = np.unique(own[at], return_index=True)
-                at = at[first]
-                # what this task has given already; forgotten when it grows large
-                place_ = np.searchsorted(seen, own[at])
-                at = at[np.append(seen, 0)[place_] != own[at]] if len(seen) else at
-                seen = np.sort(np.concatenate([seen if len(seen) < SEEN else seen[:0], own[at]]), kind="stable")
+        for lang, ids, marks in streams(batches, marked=True):
+            for k, bits in wanted.items():
+                ok, own = windows(lang, ids, k, below[k - 1].value), codes(lang, ids, k)
+                keys = own ^ marks[:len(own)] * np.uint64(MARKED) if marked else own
+                ok[ok] = on(bits.value, keys[ok])
+                at = np.flatnonzero(ok)
+                if marked:  # one of each is enough, and what two phrases share is seen later
+                    at = at[np.unique(own[at], return_index=True)[1]]
+                    # what this task has given already; forgotten when it grows large
+                    place_ = np.searchsorted(seen, own[at])
+                    at = at[np.append(seen, 0)[place_] != own[at]] if len(seen) else at
+                    seen = np.sort(np.concatenate([seen if len(seen) < SEEN else seen[:0], own[at]]), kind="stable")
                 columns = [pa.array((ids[at + i] if i < k else np.zeros(len(at), np.uint64)).view(np.int64)) for i in range(LONGEST)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), *columns], ["lang", *WORDS])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), *columns, pa.array(own[at].view(np.int64))], ["lang", *WORDS, "code"])
 
-    return texts.mapInArrow(find, "lang string, " + ", ".join(f"{w} bigint" for w in WORDS)).distinct()
+    return texts.mapInArrow(find, "lang string, " + ", ".join(f"{w} bigint" for w in WORDS) + ", code bigint").distinct()
 
 
 def digits(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,11 +284,14 @@ class Trie:
 
     def reached(self, lang: str, ids: np.ndarray) -> list[np.ndarray]:
         """The states after two words or more, from every position; zero where there is none."""
+        return self.advance(lang, *digits(self.read(ids)))
+
+    def advance(self, lang: str, first: np.ndarray, second: np.ndarray) -> list[np.ndarray]:
+        """As ``reached``, from the two symbols of each word."""
         root, out = self.roots.get(lang), []
         if root is None:
             return out
-        first, second = digits(self.read(ids))
-        at = np.arange(len(ids) - LONGEST + 1)
+        at = np.flatnonzero(first[:len(first) - LONGEST + 1])
         states = self.step(self.step(root, first[at]), second[at])
         for level in range(1, LONGEST):
             at, states = at[states > 0], states[states > 0]
@@ -257,6 +300,31 @@ class Trie:
         return out
 
 
+@dataclass
+class Tries:
+    """Some tries and their common alphabet: ``steps`` has the two symbols of each word in each trie, none for the last place."""
+
+    symbols: np.ndarray
+    steps: list[tuple[np.ndarray, np.ndarray]]
+    members: list[Trie]
+
+    @classmethod
+    def of(cls, members: list[Trie]) -> Tries:
+        symbols, steps = np.unique(np.concatenate([t.symbols for t in members])), []
+        for t in members:
+            ranks = np.zeros(len(symbols) + 1, np.int32)
+            ranks[np.searchsorted(symbols, t.symbols)] = t.ranks
+            steps.append(digits(ranks))
+        return cls(symbols, steps, members)
+
+    def reached(self, lang: str, ids: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """Each trie's number and the states it reaches. Every word is looked up once for all."""
+        at = np.minimum(np.searchsorted(self.symbols, ids), len(self.symbols) - 1)
+        at = np.where(self.symbols[at] == ids, at, len(self.symbols))
+        for i, (trie, (first, second)) in enumerate(zip(self.members, self.steps)):
+            yield i, trie.advance(lang, first[at], second[at])
+
+
 def place(symbols: np.ndarray, starts: np.ndarray, reserved: int) -> tuple[np.ndarray, int]:
     """A base for each list of ascending symbols, so that no two lists use one place; and the places' number.
     List ``i`` begins at ``starts[i]`` of ``symbols``, where the one before ends.
@@ -351,7 +419,7 @@ def build(langs: pa.Array, words: np.ndarray) -> tuple[Trie, np.ndarray]:
 
 
 TRIES = ("part int, state int, lang string, " + ", ".join(f"{w} bigint" for w in WORDS)
-         + ", symbols binary, ranks binary, base binary, checks binary, langs array<string>")
+         + ", code bigint, symbols binary, ranks binary, base binary, checks binary, langs array<string>")
 
 
 def tries(phrases: DataFrame, size: int) -> tuple[DataFrame, int]:
@@ -366,9 +434,9 @@ def tries(phrases: DataFrame, size: int) -> tuple[DataFrame, int]:
         n, part = len(own), own.column("part")[0].as_py()
         arrays = [trie.symbols.tobytes(), trie.ranks.astype(np.int32).tobytes(), trie.base.tobytes(), trie.check.tobytes()]
         kinds = [pa.binary()] * 4 + [pa.list_(pa.string())]
-        head = pa.table([pa.array([part], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), *[pa.nulls(1, pa.int64()) for _ in WORDS],
+        head = pa.table([pa.array([part], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), *[pa.nulls(1, pa.int64()) for _ in (*WORDS, "code")],
                          *[pa.array([v], k) for v, k in zip([*arrays, list(trie.roots)], kinds)]], names)
-        rows = pa.table([pa.array(np.full(n, part), pa.int32()), pa.array(states.astype(np.int32)), own.column("lang"), *[own.column(w) for w in WORDS],
+        rows = pa.table([pa.array(np.full(n, part), pa.int32()), pa.array(states.astype(np.int32)), own.column("lang"), *[own.column(w) for w in (*WORDS, "code")],
                          *[pa.nulls(n, k) for k in kinds]], names)
         return pa.concat_tables([head.cast(rows.schema), rows])
 
@@ -380,22 +448,53 @@ def fetched(row) -> Trie:
     return Trie(np.frombuffer(row.symbols, np.uint64), *small, {x: i + 1 for i, x in enumerate(row.langs)})
 
 
-def counted(texts: DataFrame, trie) -> DataFrame:
-    """``(state, n)``: how often each state of the broadcast trie is reached, a row per state and task before the sum."""
+def counted(texts: DataFrame, tries_) -> DataFrame:
+    """``(member, state, n)``: how often each state of the broadcast tries is reached, a row per state and task before the sum."""
     def count(batches):
-        own = trie.value
-        counts, held = np.zeros(len(own.base), np.int64), []
+        own = tries_.value
+        counts = [np.zeros(len(t.base), np.int64) for t in own.members]
+        held: list[list[np.ndarray]] = [[] for _ in counts]
+
+        def settle(i: int) -> None:
+            counts[i] += np.bincount(np.concatenate([np.zeros(0, np.int32), *held[i]]), minlength=len(counts[i]))
+            held[i].clear()
+
         for lang, ids in streams(batches):
-            held += own.reached(lang, ids)
-            if sum(map(len, held)) > HELD:
-                counts += np.bincount(np.concatenate(held), minlength=len(counts))
-                held.clear()
-        counts += np.bincount(np.concatenate([np.zeros(0, np.int32), *held]), minlength=len(counts))
-        counts[0] = 0
-        met = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(counts[met])], ["state", "n"])
+            for i, states in own.reached(lang, ids):
+                held[i] += states
+                if sum(map(len, held[i])) * len(held) > HELD:
+                    settle(i)
+        for i, sums in enumerate(counts):
+            settle(i)
+            sums[0] = 0
+            met = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), i, np.int32)), pa.array(met.astype(np.int32)), pa.array(sums[met])], ["member", "state", "n"])
 
-    return texts.mapInArrow(count, "state int, n bigint").groupBy("state").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "member int, state int, n bigint").groupBy("member", "state").agg(F.sum("n").alias("n"))
+
+
+def count_candidates(texts: DataFrame, wanted: DataFrame, trie_size: int) -> DataFrame:
+    """``(lang, w0 ... w3, code, f)``: the exact counts of the phrases ``wanted``."""
+    context = texts.sparkSession.sparkContext
+    found, parts = tries(wanted, trie_size)
+    numbers, of_pass = list(range(parts)), []
+    heads = found.where("symbols is not null")
+    for start in range(0, parts, TOGETHER):  # a pass each, with these tries on the driver and in the tasks
+        here = numbers[start:start + TOGETHER]
+        rows = sorted(heads.where(F.col("part").isin(here)).collect(), key=lambda r: r["part"])
+        if not rows:
+            continue
+        own = context.broadcast(Tries.of([fetched(r) for r in rows]))
+        part = F.get(F.array(*[F.lit(r["part"]) for r in rows]), F.col("member"))
+        of_pass.append(materialise(counted(texts, own).select(part.alias("part"), "state", F.col("n").alias("f")), "counts"))
+        own.unpersist()
+    named = found.where("state is not null").select("part", "state", "lang", *WORDS, "code")
+    if not of_pass:
+        return named.select("lang", *WORDS, "code", F.lit(0).cast("bigint").alias("f")).where("false")
+    counts = of_pass[0]
+    for other in of_pass[1:]:
+        counts = counts.union(other)
+    return materialise(named.join(counts, ["part", "state"]).select("lang", *WORDS, "code", "f"), "phrases")
 
 
 def count_phrases(texts: DataFrame, words: DataFrame, least: int, trie_size: int) -> DataFrame:
@@ -409,29 +508,31 @@ def count_phrases(texts: DataFrame, words: DataFrame, least: int, trie_size: int
             yield pa.RecordBatch.from_arrays([pa.array(np.array(out, np.uint64).view(np.int64))], ["code"])
 
     frequent = words.where(F.col("f") >= least).select("lang", "hash").mapInArrow(single, "code bigint")
-    maps = {1: context.broadcast(bitmap(frequent))}
+    below, wanted, every = {1: context.broadcast(bitmap(frequent))}, {}, None
+    key = F.col("code").bitwiseXOR(F.col("mark") * F.lit(MARKED)).alias("code")
     for k in range(2, LONGEST + 1):
-        maps[k] = context.broadcast(bitmap(frequent_codes(texts, k, maps[k - 1], least)))
-    maps.pop(1).unpersist()
-    found, parts = tries(materialise(candidates(texts, maps), "candidates"), trie_size)
-    for bits in maps.values():
+        own = frequent_codes(texts, k, below[k - 1], least)
+        wanted[k] = context.broadcast(bitmap(own.select(key)))
+        every = own if every is None else every.union(own)
+        if k < LONGEST:
+            below[k] = context.broadcast(bitmap(own.select("code")))
+    given = candidates(texts, below, wanted, marked=True)
+    # what was on set bits by chance goes
+    given = materialise(given.join(every.select("code").distinct(), "code", "left_semi").select("lang", *WORDS, "code"), "candidates")
+    found = count_candidates(texts, given, trie_size)
+    # a code is settled if its phrases make up its count; else there are more phrases with this code
+    sums = found.groupBy("code").agg(F.sum("f").alias("f"))
+    totals = every.groupBy("code").agg(F.sum("n").alias("n"))
+    rest = materialise(totals.join(sums, "code", "left").where(F.coalesce("f", F.lit(0)) < F.col("n")).select("code"), "shared")
+    if not rest.isEmpty():
+        shared = context.broadcast(bitmap(rest))
+        more = candidates(texts, below, {k: shared for k in wanted}, marked=False)
+        more = more.join(rest, "code", "left_semi").join(given.select("lang", *WORDS), ["lang", *WORDS], "left_anti")
+        found = found.union(count_candidates(texts, materialise(more.select("lang", *WORDS, "code"), "candidates"), trie_size))
+        shared.unpersist()
+    for bits in (*below.values(), *wanted.values()):
         bits.unpersist()
-    of_part = []
-    for part in range(parts):  # a pass each, with one trie on the driver and in the tasks
-        row = found.where((F.col("part") == part) & F.col("symbols").isNotNull()).first()
-        if row is None:
-            continue
-        trie = context.broadcast(fetched(row))
-        of_part.append(materialise(counted(texts, trie).where(F.col("n") >= least).select(F.lit(part).alias("part"), "state", F.col("n").alias("f")), "counts"))
-        trie.unpersist()
-    phrase = F.filter(F.array(*WORDS), lambda w: w != 0).alias("w")
-    named = found.where("state is not null").select("part", "state", "lang", phrase)
-    if not of_part:
-        return named.select("lang", "w", F.lit(0).cast("bigint").alias("f")).where("false")
-    counts = of_part[0]
-    for other in of_part[1:]:
-        counts = counts.union(other)
-    return materialise(named.join(counts, ["part", "state"]).select("lang", "w", "f"), "phrases")
+    return found.where(F.col("f") >= least).select("lang", F.filter(F.array(*WORDS), lambda w: w != 0).alias("w"), "f")
 
 
 def scored(phrases: DataFrame, words: DataFrame) -> DataFrame:

@@ -82,6 +82,43 @@ def test_full_bitmap_loses_nothing(spark, monkeypatch):
     assert run(spark, rows, least=4) == plain(rows, 4)
 
 
+def test_phrases_that_share_a_code_are_all_found(spark, monkeypatch):
+    rows, real = corpus(4, 80), phrases.codes
+    asked, searched = [], phrases.candidates
+
+    def few_codes(lang, ids, k):
+        return real(lang, ids, k) & np.uint64(0x1F0000001F)
+
+    def search(texts, below, wanted, marked):
+        asked.append(marked)
+        return searched(texts, below, wanted, marked)
+
+    def few_windows(lang, ids, k, below):
+        short = phrases.full(ids, k - 1)
+        short[short] = phrases.on(below, few_codes(lang, ids, k - 1)[short])
+        return short & np.append(short[1:], False) & phrases.full(ids, k)
+
+    # tasks import the module anew: what they call by name is given to them as local functions
+    for name, value in (("codes", few_codes), ("windows", few_windows), ("candidates", search)):
+        monkeypatch.setattr(phrases, name, value)
+    assert run(spark, rows, least=4) == plain(rows, 4)
+    assert asked == [True, False]
+
+
+def test_each_phrase_is_given_by_few_texts(spark):
+    """Two thousand texts that share a phrase: the texts of one mark give it."""
+    rows = [(i, f"some shared words u{i}", "en") for i in range(2000)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(8).select("lang", "text")
+    texts = phrases.materialise(phrases.encoded(docs, 0).where("ids is not null").select("lang", "ids"), "encoded")
+    all_on = spark.sparkContext.broadcast(np.full(phrases.BITS // 8, 255, np.uint8))
+    own = phrases.frequent_codes(texts, 2, all_on, 30)
+    assert sorted(r.n for r in own.collect()) == [2000, 2000]
+    key = F.col("code").bitwiseXOR(F.col("mark") * F.lit(phrases.MARKED)).alias("code")
+    wanted = {2: spark.sparkContext.broadcast(phrases.bitmap(own.select(key)))}
+    found = phrases.candidates(texts, {1: all_on}, wanted, True).collect()
+    assert len(found) == 2 and {r.code for r in found} == {r.code for r in own.collect()}
+
+
 def test_odd_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None, None), (2, "", "en"), (3, " .,\n", "en"), (4, "alone", "en")]) == []
