@@ -48,10 +48,10 @@ BITS = 1 << 26
 TRIE = 1 << 18
 #: Tries per pass over the texts.
 TOGETHER = 4
-#: Texts are marked by a number below this.
-MARKS = 1 << 16
+#: Texts are marked by a number below this; counts travel in the bits above it.
+MARK_BITS = 8
 #: Words remembered and counted by a task, positions advanced at a time, codes held, and phrases a task recalls.
-REMEMBERED, COUNTED, POSITIONS, HELD, SEEN = 1 << 16, 1 << 16, 1 << 18, 1 << 21, 1 << 19
+REMEMBERED, COUNTED, POSITIONS, HELD, SEEN = 1 << 16, 1 << 16, 1 << 18, 1 << 20, 1 << 19
 #: A word is two steps in a trie, so that no state has more than so many ways on; lists of up to SHORT are dealt at random.
 SYMBOLS, SHORT = 512, 16
 #: Texts in a batch that a task gives back.
@@ -144,7 +144,7 @@ def streams(batches, marked: bool = False) -> Iterator[tuple]:
             own = np.frombuffer(raw, np.uint64)
             held.setdefault(lang, []).extend((own, gap))
             if marked:
-                marks.setdefault(lang, []).append(np.full(len(own) + len(gap), xxhash.xxh3_64_intdigest(raw) % MARKS, np.uint16))
+                marks.setdefault(lang, []).append(np.full(len(own) + len(gap), xxhash.xxh3_64_intdigest(raw) % (1 << MARK_BITS), np.uint8))
             sizes[lang] += len(own) + len(gap)
             if sizes[lang] >= POSITIONS:
                 del sizes[lang]
@@ -215,7 +215,7 @@ def frequent_codes(texts: DataFrame, k: int, below, least: int) -> DataFrame:
             own = own[order]
             first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else order
             n = np.diff(np.append(first, len(own)))
-            return pa.RecordBatch.from_arrays([pa.array(own[first].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(marks[order[first]].astype(np.int32))], ["code", "n", "mark"])
+            return pa.RecordBatch.from_arrays([pa.array(own[first].view(np.int64)), pa.array(n << MARK_BITS | marks[order[first]])], ["code", "tally"])
 
         for lang, ids, marks in streams(batches, marked=True):
             ok = windows(lang, ids, k, below.value)
@@ -227,7 +227,8 @@ def frequent_codes(texts: DataFrame, k: int, below, least: int) -> DataFrame:
         if held:
             yield summed()
 
-    found = texts.mapInArrow(find, "code bigint, n bigint, mark int").groupBy("code").agg(F.sum("n").alias("n"), F.min("mark").alias("mark"))
+    found = texts.mapInArrow(find, "code bigint, tally bigint").groupBy("code").agg(
+        F.sum(F.shiftright("tally", MARK_BITS)).alias("n"), F.min(F.col("tally").bitwiseAND((1 << MARK_BITS) - 1)).alias("mark"))
     return materialise(found.where(F.col("n") >= least), "codes")
 
 
