@@ -144,6 +144,16 @@ def test_vectors(spark, tiny_chunks, dim):
     assert {r.i: r.j for r in got} == dict(enumerate(want.tolist()))
 
 
+def test_vector_blocks_without_main_or_aux_rows(spark):
+    """Blocks of one or two vectors: some have no row of one side."""
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(12, 2)), rng.normal(size=(16, 2))
+    left = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(a)], "k string, v array<double>")
+    right = spark.createDataFrame([(str(i), i, v.tolist()) for i, v in enumerate(b)], "k string, o int, v array<double>")
+    got = {int(r.k): int(r.ak) for r in nearest.nearest_vectors(left, right, chunk=1).collect()}
+    assert got == dict(enumerate(((a[:, None] - b[None]) ** 2).sum(-1).argmin(1).tolist()))
+
+
 def test_options_and_errors(spark):
     left = spark.createDataFrame([(1, "ana", None), (2, None, 3.0)], "i int, t string, z double")
     right = spark.createDataFrame([(5, "anna", 1.0), (6, "nan", 2.0)], "j int, t string, z double")
