@@ -99,6 +99,63 @@ def test_text_search_equals_brute_force(spark, tiny_chunks, analyzer, grams):
         assert 0.5 - 1e-9 <= r.matching_score <= 1
 
 
+@pytest.fixture
+def tiny_blocks(monkeypatch):
+    """Several blocks on either side, few postings at a time."""
+    from tarnish.operators import blocks
+    monkeypatch.setattr(nearest, "ENTRIES", 400)
+    monkeypatch.setattr(blocks, "BATCH", 64)
+    monkeypatch.setattr(blocks, "SEEDS", 3)
+
+
+def test_search_over_several_blocks_equals_brute_force(spark, tiny_blocks, monkeypatch):
+    handed = []
+    each = nearest._Blocks.each
+
+    def spied(self, xs, ys, work, schema, own=False):
+        found = each(self, xs, ys, work, schema, own).localCheckpoint()
+        handed.append((found.count(), xs.count(), 1 if own else self.nx * self.ny))
+        return found
+    monkeypatch.setattr(nearest._Blocks, "each", spied)
+    main, aux = texts(1, 40), texts(2, 50)
+    left = spark.createDataFrame(list(enumerate(main)), "i int, t string")
+    right = spark.createDataFrame(list(enumerate(aux)), "j int, t string")
+    got = fuzzy_join(left, right, on="t", order_by="j").collect()
+    assert {r.i: r.j for r in got} == {i: j for i, (_, j) in enumerate(brute(main, aux))}
+    # a row per main text and aux block at most, never a row per pair
+    assert len(handed) == 2 and handed[1][2] > 3
+    assert all(rows <= texts * cells for rows, texts, cells in handed)
+
+
+def test_block_pairs_and_distances():
+    """What a block finds, against all pairs; numbers added, an own row left out."""
+    import pandas as pd
+    from tarnish.operators.blocks import Block
+    rng = np.random.default_rng(8)
+
+    def side(n):
+        dense = rng.random((n, 30)) * (rng.random((n, 30)) < 0.25)
+        dense[:, 0] += 0.1
+        dense /= np.sqrt((dense ** 2).sum(1))[:, None]
+        # in one order everywhere, as rarest first is
+        rows = [np.flatnonzero(v)[::-1] for v in dense]
+        return dense, pd.DataFrame({"ids": rows, "ws": [v[r] for v, r in zip(dense, rows)], "z": list(rng.random((n, 2)))})
+    (a, x), (b, y) = side(60), side(80)
+    same = np.where(np.arange(60) % 3 == 0, np.arange(60), -1)
+    gap = ((np.stack(x["z"])[:, None] - np.stack(y["z"])[None]) ** 2).sum(-1)
+    want = np.round(np.maximum(2 - 2 * np.round(np.minimum(a @ b.T, 1), 9), 0) + gap, 9)
+    want[same >= 0, same[same >= 0]] = 9
+    best = np.full(60, 9.0)
+    for xi, yi, d2 in Block(x, y, same).near(np.full(60, np.inf)):
+        assert np.allclose(d2, want[xi, yi], atol=2e-9)
+        np.minimum.at(best, xi, d2)
+    assert np.allclose(best, want.min(1), atol=2e-9)
+    plain = np.round(np.sqrt(np.round(2 - 2 * np.round(np.minimum(a @ b.T, 1), 9), 9)), 9)
+    found = {(i, j) for xi, yi, d in Block(x.drop(columns="z"), y.drop(columns="z")).within(np.full(60, 1.0))
+             for i, j, r in zip(xi, yi, d) if r <= 1.0}
+    assert found == {(i, j) for i, j in zip(*np.nonzero(plain <= 1.0))}
+
+
 def test_nothing_shared_and_all_equal(spark):
     left = spark.createDataFrame([(1, "abc")], "i int, t string")
     far = spark.createDataFrame([(5, "xyz"), (3, "uvw")], "j int, t string")
