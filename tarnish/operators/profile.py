@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tarnish.functions.text import gram_counts, n_distinct_words, n_words
+from tarnish.functions.text import char_totals, n_distinct_words, n_words
 from tarnish.operators.ordering import group_quantiles
 
 # The reported quantiles of gram frequencies.
@@ -23,9 +23,7 @@ def long_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def column_grams(texts: DataFrame, ngram_range: tuple[int, int] = (2, 4)) -> DataFrame:
     """``(col, gram, n)``: total occurrences of every character n-gram of every column."""
-    per_text = gram_counts(texts.withColumn("_id", F.md5("text")), ["col", "_id", "m"], "text",
-                           "char", ngram_range, by=["_id"])
-    return per_text.groupBy("col", "gram").agg(F.sum(F.col("cnt") * F.col("m")).alias("n"))
+    return char_totals(texts, ["col"], "text", "m", ngram_range)
 
 
 def profile_lengths(texts: DataFrame) -> DataFrame:
