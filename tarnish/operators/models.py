@@ -19,8 +19,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tarnish.operators import metrics
-from tarnish.operators.encoders import auto_type_columns, encode, hashing_vectorizer, high_cardinality_columns
-from tarnish.operators.reduction import truncated_svd
+from tarnish.operators.encoders import auto_type_columns, encode, high_cardinality_columns, packed_hashes
+from tarnish.operators.reduction import packed_svd
 from tarnish.operators.splits import stratified_kfold
 from tarnish.session import materialise
 
@@ -384,20 +384,22 @@ def evaluate_ngram_matrix(df: DataFrame, row_id: str, texts: list[str], rest: li
     (``roc_auc``) and from hard labels (``roc_auc_hard``).
     """
     base, routed = table_vectorizer(df, rest) if features == "all" else (df, Features())
-    base = materialise(base, "base")
+    # the texts themselves are not needed again
+    base = materialise(base.drop(*[c for c in texts if c not in rest]), "base")
     splits = materialise(splits, "splits")
-    longs = {c: materialise(hashing_vectorizer(df, row_id, c, analyzer, ngram_range, dimensions),
-                            "ngrams") for c in texts}
+    placed = splits.groupBy(row_id).agg(
+        F.collect_set("split_id").alias("_in"), F.collect_set(F.when(F.col("role") == "train", F.col("split_id"))).alias("_fit"))
+    # written once for all splits
+    packed = {c: materialise(packed_hashes(df, row_id, c, analyzer, ngram_range, dimensions).join(placed, row_id), "ngrams")
+              for c in texts}
+
     def one(s: int) -> DataFrame:
         mine = splits.where(F.col("split_id") == s).select(row_id, "role")
         data, used = base.join(mine, row_id), list(routed.vectors)
-        for c, long in longs.items():
-            rows = long.join(mine, row_id)
-            if tfidf:
-                rows = _reweight(rows, row_id, F.col("role") == "train" if fit_on == "train"
-                                 else F.lit(True))
-            reduced = truncated_svd(rows, row_id, components, F.col("role") == "train",
-                                    dimensions=dimensions)
+        for c, rows in packed.items():
+            rows = rows.where(F.array_contains("_in", s)).withColumn("fit", F.array_contains("_fit", s))
+            factors = _idf(rows.where("fit") if fit_on == "train" else rows) if tfidf else None
+            reduced = packed_svd(rows, row_id, components, dimensions=dimensions, factors=factors)
             zeros = F.array_repeat(F.lit(0.0), components)
             data = data.join(reduced.withColumnRenamed("v", f"{c}_svd"), row_id, "left").withColumn(
                 f"{c}_svd", array_to_vector(F.coalesce(f"{c}_svd", zeros)))
@@ -417,14 +419,12 @@ def evaluate_ngram_matrix(df: DataFrame, row_id: str, texts: list[str], rest: li
                               "ngram_range": str(ngram_range)})
 
 
-def _reweight(rows: DataFrame, row_id: str, fitted: Column) -> DataFrame:
-    """Counts to TF-IDF over hashed dimensions, unit rows."""
-    from tarnish.operators.encoders import l2_rows
-    n = rows.where(fitted).agg(F.count_distinct(row_id)).scalar()
-    df = rows.where(fitted).groupBy("dim").agg(F.count(F.lit(1)).alias("df"))
-    raw = rows.join(df, "dim").withColumn("raw", F.col("w") * (
-        F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)).drop("w", "df")
-    return l2_rows(raw, row_id, "raw")
+def _idf(rows: DataFrame) -> dict[int, float]:
+    """Inverse document frequency by hashed dimension, of which there is a fixed number."""
+    n = rows.count()
+    df = rows.select(F.explode("dims").alias("dim")).groupBy("dim").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log((F.lit(1.0) + F.lit(n)) / (F.lit(1.0) + F.col("df"))) + 1.0
+    return {r.dim: r.idf for r in df.select("dim", idf.alias("idf")).collect()}
 
 
 def column_replacement_ablation(df: DataFrame, row_id: str, columns: list[str],

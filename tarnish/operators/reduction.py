@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tarnish.functions.grams import portions
 from tarnish.session import materialise
 
 
@@ -45,59 +49,138 @@ def pca_reduce(df: DataFrame, v: str, k: int, train: Column | None = None,
     return out.withColumn(v, vector_to_array("_s")).select(*df.columns)
 
 
-def _weighted_rows(long: DataFrame, lookup: DataFrame, on: str, group: str, bounded: bool) -> DataFrame:
-    """``(group, b)``: per group the sum of the looked-up vectors ``b`` times the weight ``w``."""
-    joined = long.join(F.broadcast(lookup) if bounded else lookup, on)
-    return joined.groupBy(group).agg(
-        (Summarizer.sum(F.col("b"), F.col("w"))).alias("b"))
+# Entries of sparse rows that are multiplied at a time.
+ENTRIES = 1 << 17
+
+
+def packed_rows(long: DataFrame, row_id: str, train: Column | None = None) -> DataFrame:
+    """``(row_id, dims, ws, fit)``: sparse rows ``(row_id, dim, w)``, each with all its entries."""
+    fit = F.lit(True) if train is None else F.coalesce(train, F.lit(False))
+    rows = long.groupBy(row_id).agg(F.collect_list(F.struct("dim", "w")).alias("e"), F.max(fit).alias("fit"))
+    return rows.select(row_id, F.col("e.dim").alias("dims"), F.col("e.w").alias("ws"), "fit")
+
+
+class SparseRows:
+    """Products of packed rows ``(row_id, dims, ws, ...)`` with small matrices, a portion at a time.
+
+    ``factors`` multiply the entries of each dimension, after which a row gets unit length; an entry
+    of a dimension without a factor is dropped. A task adds up its own rows: what it gives back is as
+    large as the small matrix, whatever the number of entries.
+    """
+
+    def __init__(self, rows: DataFrame, row_id: str, dims: list[int], factors: dict[int, float] | None = None):
+        self.rows, self.row_id = rows, row_id
+        known = np.array(sorted(dims), dtype="int64")
+        scale = None if factors is None else np.array([factors.get(int(d), 0.0) for d in known])
+        self.shared = rows.sparkSession.sparkContext.broadcast((known, scale, factors))
+
+    def _portions(self, basis):
+        shared, name = self.shared, self.row_id
+
+        def each(batches: Iterator[pd.DataFrame]):
+            known, scale, factors = shared.value
+            for pdf in batches:
+                for cut in portions(pdf["dims"].map(len).to_numpy(), ENTRIES):
+                    part = pdf.iloc[cut]
+                    row = np.repeat(np.arange(len(part)), part["dims"].map(len))
+                    if not len(row):
+                        continue
+                    d = np.concatenate(part["dims"].to_numpy()).astype("int64")
+                    w = np.concatenate(part["ws"].to_numpy()).astype(float)
+                    if scale is not None:
+                        # the length counts every dimension that has a factor
+                        held, number = np.unique(d, return_inverse=True)
+                        w = w * np.array([factors.get(int(x), 0.0) for x in held])[number]
+                        norm = np.sqrt(np.bincount(row, w * w, len(part)))
+                        w = w / np.where(norm > 0, norm, 1.0)[row]
+                    at = np.minimum(np.searchsorted(known, d), len(known) - 1)
+                    keep = (known[at] == d) & (True if scale is None else scale[at] > 0)
+                    row, at, w = row[keep], at[keep], w[keep]
+                    if not len(row):
+                        continue
+                    first = np.flatnonzero(np.diff(row, prepend=-1))
+                    scores = np.add.reduceat(basis.value[at] * w[:, None], first)
+                    yield part[name].to_numpy()[row[first]], np.cumsum(np.diff(row, prepend=-1) > 0) - 1, at, w, scores
+        return each
+
+    def _summed(self, work, size: tuple[int, int], basis: np.ndarray) -> np.ndarray:
+        """Sum over the fitted rows' tasks of the matrices that ``work`` adds to, row by row of the matrix."""
+        spark = self.rows.sparkSession
+        each = self._portions(spark.sparkContext.broadcast(basis))
+
+        def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(size)
+            for portion in each(batches):
+                work(total, portion)
+            i = np.flatnonzero(total.any(1))
+            yield pd.DataFrame({"i": i.astype("int32"), "b": list(total[i])})
+
+        found = self.rows.where("fit").select(self.row_id, "dims", "ws").mapInPandas(task, "i int, b array<double>")
+        sums = found.groupBy("i").agg(Summarizer.sum(array_to_vector("b")).alias("b"))
+        out = np.zeros(size)
+        for r in sums.collect():
+            out[r["i"]] = r["b"].toArray()
+        return out
+
+    def back(self, basis: np.ndarray) -> np.ndarray:
+        """``X^T X basis`` over the fitted rows."""
+        def add(total, portion):
+            _, row, at, w, scores = portion
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.diff(at[order], prepend=-1))
+            total[at[order][first]] += np.add.reduceat(scores[row[order]] * w[order][:, None], first)
+        return self._summed(add, basis.shape, basis)
+
+    def gram(self, basis: np.ndarray) -> np.ndarray:
+        """``(X basis)^T (X basis)`` over the fitted rows."""
+        def add(total, portion):
+            total += portion[4].T @ portion[4]
+        return self._summed(add, (basis.shape[1], basis.shape[1]), basis)
+
+    def project(self, basis: np.ndarray) -> DataFrame:
+        """``(row_id, v)``: every row that has a known dimension, times ``basis``."""
+        each = self._portions(self.rows.sparkSession.sparkContext.broadcast(basis))
+        name = self.row_id
+
+        def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for ids, _, _, _, scores in each(batches):
+                yield pd.DataFrame({name: ids, "v": list(scores)})
+
+        schema = T.StructType([self.rows.schema[name], T.StructField("v", T.ArrayType(T.DoubleType()))])
+        return self.rows.select(name, "dims", "ws").mapInPandas(task, schema)
 
 
 def truncated_svd(long: DataFrame, row_id: str, k: int = 30, train: Column | None = None,
                   n_iter: int = 3, oversample: int = 10, dimensions: int = 2 ** 14) -> DataFrame:
     """``(row_id, v)``: projection of sparse rows ``(row_id, dim, w)`` on ``k`` singular vectors.
 
-    Weights are n-gram weights, so never negative. No centring. Randomised subspace iteration (Halko, Martinsson, Tropp 2011): each pass is one
-    sum per row and one sum per dimension over the long table; only the ``dimensions x k`` basis,
-    of fixed size, visits the driver. Dimensions are hashed, so ``dim`` stays below ``dimensions``.
+    Weights are n-gram weights, so never negative; ``train`` marks whole rows. No centring. Dimensions
+    are hashed, so ``dim`` stays below ``dimensions``. See :func:`packed_svd`.
     """
-    spark = long.sparkSession
-    fit = materialise(long.where(train) if train is not None else long, "svd")
-    dims = [r["dim"] for r in fit.select("dim").distinct().limit(dimensions + 1).collect()]
+    return packed_svd(materialise(packed_rows(long, row_id, train), "svd"), row_id, k, n_iter, oversample, dimensions)
+
+
+def packed_svd(rows: DataFrame, row_id: str, k: int = 30, n_iter: int = 3, oversample: int = 10,
+               dimensions: int = 2 ** 14, factors: dict[int, float] | None = None) -> DataFrame:
+    """``(row_id, v)`` from written packed rows ``(row_id, dims, ws, fit)``; see :class:`SparseRows`.
+
+    Randomised subspace iteration (Halko, Martinsson, Tropp 2011) over the rows marked ``fit``: each
+    pass reads the rows once and adds up a ``dimensions x k`` matrix per task. No entry is shuffled;
+    only the basis, of fixed size, visits the driver.
+    """
+    seen = rows.where("fit").select(F.explode("dims").alias("dim")).distinct()
+    dims = [r["dim"] for r in seen.limit(dimensions + 1).collect()]
     if len(dims) > dimensions:
         raise ValueError(f"hash the n-grams into at most {dimensions} dimensions first")
+    if not dims:
+        return rows.select(row_id, F.lit(None).cast("array<double>").alias("v")).where("false")
     width = min(k + oversample, len(dims))
-    rng = np.random.default_rng(42)
-    index = {d: i for i, d in enumerate(sorted(dims))}
-    basis = np.linalg.qr(rng.standard_normal((len(dims), width)))[0]
-
-    def table(b: np.ndarray) -> DataFrame:
-        return spark.createDataFrame(
-            [(d, Vectors.dense(b[i])) for d, i in index.items()], ["dim", "b"]).withColumn(
-            "dim", F.col("dim").cast(fit.schema["dim"].dataType))
-
+    basis = np.linalg.qr(np.random.default_rng(42).standard_normal((len(dims), width)))[0]
+    x = SparseRows(rows, row_id, dims, factors)
     for _ in range(n_iter):
-        scores = _weighted_rows(fit, table(basis), "dim", row_id, True)
-        back = _weighted_rows(fit, scores, row_id, "dim", False).collect()
-        z = np.zeros_like(basis)
-        for r in back:
-            z[index[r["dim"]]] = r["b"].toArray()
-        basis = np.linalg.qr(z)[0]
+        basis = np.linalg.qr(x.back(basis))[0]
     # rotate the subspace to the singular vectors with the small matrix (X B)^T (X B)
-    scores = _weighted_rows(fit, table(basis), "dim", row_id, True)
-    values, vectors = np.linalg.eigh(_gram(scores, width))
+    values, vectors = np.linalg.eigh(x.gram(basis))
     basis = basis @ vectors[:, np.argsort(values)[::-1][:k]]
     basis *= np.sign(basis[np.abs(basis).argmax(0), np.arange(basis.shape[1])])
-    out = _weighted_rows(long, table(basis), "dim", row_id, True)
-    return out.select(row_id, vector_to_array("b").alias("v"))
-
-
-def _gram(scores: DataFrame, width: int) -> np.ndarray:
-    """``S^T S`` of the score rows: one sum per entry of a small matrix."""
-    s = scores.select(vector_to_array("b").alias("s"))
-    long = s.select("s", F.posexplode("s").alias("i", "x")).select(
-        "i", F.transform("s", lambda y: y * F.col("x")).alias("p"))
-    cells = long.select("i", F.posexplode("p").alias("j", "p")).groupBy("i", "j").agg(F.sum("p").alias("g"))
-    out = np.zeros((width, width))
-    for r in cells.collect():
-        out[r["i"], r["j"]] = r["g"]
-    return out
+    return x.project(basis)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnish.functions import grams, text
-from tarnish.operators import encoders, profile
+from tarnish.operators import encoders, profile, reduction
 
 TEXTS = ["abcab", "", "a", "Hé\U0001F600x\U0001F600\x00\x00", "x  y\n\n z", "abcab"]
 
@@ -44,3 +44,28 @@ def test_totals_and_minima_equal_sql(spark):
     least = each.groupBy("i").agg(F.array(*[F.min(h) for h in encoders._hashes(F.col("gram"), 5, "fast")]).alias("v"))
     got = encoders.minhash_distinct(df, "i", "t", 5)
     assert {r.i: r.v for r in got.collect()} == {r.i: r.v for r in least.collect()}
+
+
+def test_packed_hashes_equal_rows(spark):
+    df = spark.createDataFrame([*enumerate(TEXTS), (9, None)], "i int, t string")
+    want = {(r.i, r.dim): r.w for r in encoders.hashing_vectorizer(df, "i", "t", "char", (2, 3), 8).collect()}
+    got = {(r.i, d): w for r in encoders.packed_hashes(df, "i", "t", "char", (2, 3), 8).collect() for d, w in zip(r.dims, r.ws)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_sparse_rows_add_up_inside_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.random((40, 7)) * (rng.random((40, 7)) < 0.5)
+    long = spark.createDataFrame([(i, d, float(x[i, d])) for i in range(40) for d in range(7) if x[i, d]], "i int, dim int, w double")
+    rows = reduction.packed_rows(long, "i", F.col("i") < 30).repartition(5)
+    factors = {d: 1.0 + d for d in range(6)}
+    monkeypatch.setattr(reduction, "ENTRIES", 16)
+    y = x * [*factors.values(), 0.0]
+    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
+    b = rng.random((7, 3))
+    m = reduction.SparseRows(rows, "i", list(range(7)), factors)
+    assert np.allclose(m.back(b), y[:30].T @ (y[:30] @ b)) and np.allclose(m.gram(b), (y[:30] @ b).T @ (y[:30] @ b))
+    got = {r.i: r.v for r in m.project(b).collect()}
+    assert all(np.allclose(got.get(i, np.zeros(3)), y[i] @ b) for i in range(40))
+    plan = m.project(b)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Generate" not in plan
