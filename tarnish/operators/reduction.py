@@ -52,6 +52,9 @@ def pca_reduce(df: DataFrame, v: str, k: int, train: Column | None = None,
 # Entries of sparse rows that are multiplied at a time.
 ENTRIES = 1 << 17
 
+# Cells of a portion laid out as a dense matrix, unless a single row has more.
+CELLS = 1 << 22
+
 
 def packed_rows(long: DataFrame, row_id: str, train: Column | None = None) -> DataFrame:
     """``(row_id, dims, ws, fit)``: sparse rows ``(row_id, dim, w)``, each with all its entries."""
@@ -70,37 +73,46 @@ class SparseRows:
 
     def __init__(self, rows: DataFrame, row_id: str, dims: list[int], factors: dict[int, float] | None = None):
         self.rows, self.row_id = rows, row_id
-        known = np.array(sorted(dims), dtype="int64")
-        scale = None if factors is None else np.array([factors.get(int(d), 0.0) for d in known])
-        self.shared = rows.sparkSession.sparkContext.broadcast((known, scale, factors))
+        top = max([*dims, *(factors or ())]) + 1
+        index = np.full(top, -1)
+        index[sorted(dims)] = np.arange(len(dims))
+        scale = None if factors is None else np.zeros(top)
+        if factors:
+            scale[list(factors)] = list(factors.values())
+        self.shared = rows.sparkSession.sparkContext.broadcast((index, scale))
 
     def _portions(self, basis):
+        """Ids of a portion's rows, the places of its dimensions in the basis, the rows as a dense matrix
+        over those, and its product with the basis. Rows without a known dimension are left out."""
         shared, name = self.shared, self.row_id
 
         def each(batches: Iterator[pd.DataFrame]):
-            known, scale, factors = shared.value
+            index, scale = shared.value
+            # rows of a dense matrix over all dimensions
+            least = max(1, -(-ENTRIES * len(basis.value) // CELLS))
             for pdf in batches:
-                for cut in portions(pdf["dims"].map(len).to_numpy(), ENTRIES):
+                for cut in portions(np.maximum(pdf["dims"].map(len).to_numpy(), least), ENTRIES):
                     part = pdf.iloc[cut]
                     row = np.repeat(np.arange(len(part)), part["dims"].map(len))
-                    if not len(row):
-                        continue
                     d = np.concatenate(part["dims"].to_numpy()).astype("int64")
                     w = np.concatenate(part["ws"].to_numpy()).astype(float)
+                    inside = d < len(index)
+                    row, d, w = row[inside], d[inside], w[inside]
                     if scale is not None:
                         # the length counts every dimension that has a factor
-                        held, number = np.unique(d, return_inverse=True)
-                        w = w * np.array([factors.get(int(x), 0.0) for x in held])[number]
+                        w = w * scale[d]
                         norm = np.sqrt(np.bincount(row, w * w, len(part)))
                         w = w / np.where(norm > 0, norm, 1.0)[row]
-                    at = np.minimum(np.searchsorted(known, d), len(known) - 1)
-                    keep = (known[at] == d) & (True if scale is None else scale[at] > 0)
-                    row, at, w = row[keep], at[keep], w[keep]
+                    keep = (index[d] >= 0) & (True if scale is None else scale[d] > 0)
+                    row, at, w = row[keep], index[d[keep]], w[keep]
                     if not len(row):
                         continue
-                    first = np.flatnonzero(np.diff(row, prepend=-1))
-                    scores = np.add.reduceat(basis.value[at] * w[:, None], first)
-                    yield part[name].to_numpy()[row[first]], np.cumsum(np.diff(row, prepend=-1) > 0) - 1, at, w, scores
+                    rows, row = np.unique(row, return_inverse=True)
+                    held = np.flatnonzero(np.bincount(at))
+                    place = np.zeros(held[-1] + 1, "int64")
+                    place[held] = np.arange(len(held))
+                    dense = np.bincount(row * len(held) + place[at], w, len(rows) * len(held)).reshape(len(rows), len(held))
+                    yield part[name].to_numpy()[rows], held, dense, dense @ basis.value[held]
         return each
 
     def _summed(self, work, size: tuple[int, int], basis: np.ndarray) -> np.ndarray:
@@ -125,16 +137,14 @@ class SparseRows:
     def back(self, basis: np.ndarray) -> np.ndarray:
         """``X^T X basis`` over the fitted rows."""
         def add(total, portion):
-            _, row, at, w, scores = portion
-            order = np.argsort(at, kind="stable")
-            first = np.flatnonzero(np.diff(at[order], prepend=-1))
-            total[at[order][first]] += np.add.reduceat(scores[row[order]] * w[order][:, None], first)
+            _, held, dense, scores = portion
+            total[held] += dense.T @ scores
         return self._summed(add, basis.shape, basis)
 
     def gram(self, basis: np.ndarray) -> np.ndarray:
         """``(X basis)^T (X basis)`` over the fitted rows."""
         def add(total, portion):
-            total += portion[4].T @ portion[4]
+            total += portion[3].T @ portion[3]
         return self._summed(add, (basis.shape[1], basis.shape[1]), basis)
 
     def project(self, basis: np.ndarray) -> DataFrame:
@@ -143,7 +153,7 @@ class SparseRows:
         name = self.row_id
 
         def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for ids, _, _, _, scores in each(batches):
+            for ids, _, _, scores in each(batches):
                 yield pd.DataFrame({name: ids, "v": list(scores)})
 
         schema = T.StructType([self.rows.schema[name], T.StructField("v", T.ArrayType(T.DoubleType()))])
