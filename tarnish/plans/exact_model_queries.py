@@ -19,6 +19,7 @@ from tarnish.operators.models import Features, with_vectors
 from tarnish.operators.splits import kfold_contiguous
 from tarnish.plans.model_queries import folds, halves
 from tarnish.plans.registry import Tables, query
+from tarnish.session import materialise
 
 LABEL = "CASE WHEN c_nationkey < 9 THEN 1 ELSE 0 END"
 TELLS, SAME = f"CASE WHEN {LABEL} = 1 THEN 'granite harbour' ELSE 'velvet meadow' END", "'one text for all'"
@@ -96,8 +97,8 @@ def evaluate_ngram_matrix_exact(t: Tables) -> DataFrame:
 
 @query("feature_regimes_exact", classifier_sql(["all", "text_only"], ["rest_only"]))
 def feature_regimes_exact(t: Tables) -> DataFrame:
-    df = vectors(t)
-    features, splits = Features(["tells_v"], ["level"]), halves(df, "c_custkey", SPLITS)
+    df = materialise(vectors(t), "encoded")
+    features, splits = Features(["tells_v"], ["level"]), materialise(halves(df, "c_custkey", SPLITS), "halves")
     return told({r: models.evaluate_encoding(df, "c_custkey", features.regime(r, ["tells_v"]), splits, "LogisticRegression", {})
                  for r in models.FEATURES})
 

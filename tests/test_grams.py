@@ -69,3 +69,14 @@ def test_sparse_rows_add_up_inside_tasks(spark, monkeypatch):
     assert all(np.allclose(got.get(i, np.zeros(3)), y[i] @ b) for i in range(40))
     plan = m.project(b)._jdf.queryExecution().toString()
     assert "Join" not in plan and "Generate" not in plan
+
+
+def test_regimes_encode_the_texts_once(spark, monkeypatch):
+    from tarnish.plans import model_queries
+    plans, each = [], []
+    monkeypatch.setattr(model_queries.models, "evaluate_encoding", lambda df, row_id, features, splits, *a, **k: each.append((df, splits)) or spark.createDataFrame(
+        [([1.0], [1.0])], "accuracies array<double>, roc_auc array<double>"))
+    model_queries.feature_regimes(model_queries.Tables(spark, "/root/testdata/sf0.001"))
+    for tables in each:
+        plans += [t._jdf.queryExecution().optimizedPlan().toString() for t in tables]
+    assert len(plans) == 6 and not any("MapInPandas" in p or "Join" in p or "Window" in p for p in plans)
