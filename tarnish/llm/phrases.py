@@ -449,8 +449,12 @@ def fetched(row) -> Trie:
     return Trie(np.frombuffer(row.symbols, np.uint64), *small, {x: i + 1 for i, x in enumerate(row.langs)})
 
 
-def counted(texts: DataFrame, tries_) -> DataFrame:
-    """``(member, state, n)``: how often each state of the broadcast tries is reached, a row per state and task before the sum."""
+def task_counts(texts: DataFrame, tries_) -> DataFrame:
+    """``(member, state, n)``: how often each task reaches each state of the broadcast tries.
+
+    A task per core, however many files the texts lie in: the rows are at most cores x states, and
+    a task's counts have a fixed size whatever it reads.
+    """
     def count(batches):
         own = tries_.value
         counts = [np.zeros(len(t.base), np.int64) for t in own.members]
@@ -471,7 +475,12 @@ def counted(texts: DataFrame, tries_) -> DataFrame:
             met = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), i, np.int32)), pa.array(met.astype(np.int32)), pa.array(sums[met])], ["member", "state", "n"])
 
-    return texts.mapInArrow(count, "member int, state int, n bigint").groupBy("member", "state").agg(F.sum("n").alias("n"))
+    return texts.coalesce(texts.sparkSession.sparkContext.defaultParallelism).mapInArrow(count, "member int, state int, n bigint")
+
+
+def counted(texts: DataFrame, tries_) -> DataFrame:
+    """``(member, state, n)``: how often each state of the broadcast tries is reached."""
+    return task_counts(texts, tries_).groupBy("member", "state").agg(F.sum("n").alias("n"))
 
 
 def count_candidates(texts: DataFrame, wanted: DataFrame, trie_size: int) -> DataFrame:

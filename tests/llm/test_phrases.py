@@ -146,6 +146,14 @@ def test_a_hash_shared_by_two_words(spark, monkeypatch):
     assert run(spark, rows) == plain(rows, 30) and seeds == [0, 1]
 
 
+def test_counts_leave_a_task_per_core(spark):
+    trie, states = phrases.build(pa.array(["en"]), np.array([[5, 6, 0, 0]], np.uint64))
+    tries_ = spark.sparkContext.broadcast(phrases.Tries.of([trie]))
+    texts = spark.createDataFrame([("en", bytearray(np.array([5, 6, 9, 5, 6], np.uint64).tobytes()))] * 60, "lang string, ids binary").repartition(30)
+    assert phrases.task_counts(texts, tries_).count() <= spark.sparkContext.defaultParallelism
+    assert [tuple(r) for r in phrases.counted(texts, tries_).collect()] == [(0, int(states[0]), 120)]
+
+
 def test_streams_keep_texts_apart(monkeypatch):
     monkeypatch.setattr(phrases, "POSITIONS", 12)
     texts = [("a", [1, 2, 0, 3]), ("b", [4]), ("a", []), ("a", [5, 6, 7, 8, 9, 10]), ("b", [11] * 30), ("a", [12])]
