@@ -193,9 +193,28 @@ def with_vectors(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: array_to_vector(F.col(c).cast("array<double>")) for c in columns})
 
 
-def _part(df: DataFrame, splits: DataFrame, row_id: str, split: int, role: str) -> DataFrame:
-    rows = splits.where((F.col("split_id") == split) & (F.col("role") == role)).select(row_id)
-    return df.join(rows, row_id, "left_semi")
+@dataclass
+class Placed:
+    """Rows with the splits they train and test in, ``_train`` and ``_test``, written once: a part of
+    any split is a filter of ``data`` then, and no fit joins anything. Several evaluations of the
+    same rows and splits share one."""
+
+    data: DataFrame
+    ids: list[int]
+    sizes: dict[str, int]
+
+    @classmethod
+    def of(cls, df: DataFrame, row_id: str, splits: DataFrame) -> "Placed":
+        splits = materialise(splits, "splits")
+        ids = _split_ids(splits)
+        roles = splits.groupBy(F.col(row_id).alias("_row")).agg(*[
+            F.collect_set(F.when(F.col("role") == r, F.col("split_id"))).alias(f"_{r}") for r in ("train", "test")])
+        # a row in no split is of no use here
+        data = materialise(df.join(roles, F.col(row_id) == F.col("_row")).drop("_row"), "features")
+        return cls(data, ids, split_sizes(splits, ids))
+
+    def part(self, split: int, role: str) -> DataFrame:
+        return self.data.where(F.array_contains(f"_{role}", F.lit(split))).drop("_train", "_test")
 
 
 def _probabilities(df: DataFrame, n_classes: int) -> DataFrame:
@@ -207,15 +226,14 @@ def _probabilities(df: DataFrame, n_classes: int) -> DataFrame:
     return df.withColumn("p", F.array(F.col("prediction")))
 
 
-def cross_predict(df: DataFrame, row_id: str, splits: DataFrame, split_ids: list[int],
-                  fit: Callable[[DataFrame], object], n_classes: int) -> DataFrame:
+def cross_predict(placed: Placed, row_id: str, fit: Callable[[DataFrame], object], n_classes: int) -> DataFrame:
     """Predictions of every test part: ``(split_id, row_id, y, prediction, p)``."""
     def one(s: int) -> DataFrame:
-        model = fit(_part(df, splits, row_id, s, "train"))
-        test = model.transform(_part(df, splits, row_id, s, "test"))
+        model = fit(placed.part(s, "train"))
+        test = model.transform(placed.part(s, "test"))
         return _probabilities(test, n_classes).select(F.lit(s).alias("split_id"), row_id, "y", "prediction", "p")
 
-    return materialise(reduce(DataFrame.unionByName, side_by_side(one, split_ids)), "predictions")
+    return materialise(reduce(DataFrame.unionByName, side_by_side(one, placed.ids)), "predictions")
 
 
 def side_by_side(work: Callable[[int], DataFrame], splits: list[int], threads: int = 8) -> list[DataFrame]:
@@ -260,20 +278,19 @@ def _split_ids(splits: DataFrame) -> list[int]:
     return [r["split_id"] for r in splits.select("split_id").distinct().orderBy("split_id").collect()]
 
 
-def evaluate_encoding(df: DataFrame, row_id: str, features: Features, splits: DataFrame,
+def evaluate_encoding(df: DataFrame | Placed, row_id: str, features: Features, splits: DataFrame | None,
                       model_name: str, labels: dict, regression: bool = False,
                       n_classes: int = 2, trees: int = 100) -> DataFrame:
     """Fit and score one configuration on every split; returns its record, with the rows of its
-    first split. A combination that the pairing rules exclude is refused."""
+    first split. A combination that the pairing rules exclude is refused. Rows that are ``Placed``
+    already bring their splits."""
     refuse_excluded(labels, model_name)
-    data, splits = materialise(df, "features"), materialise(splits, "splits")
-    ids = _split_ids(splits)
+    placed = df if isinstance(df, Placed) else Placed.of(df, row_id, splits)
     estimator = make_model(model_name, n_classes, trees)
     stages = [*features.stages(model_name in LINEAR), estimator]
-    predictions = cross_predict(data, row_id, splits, ids,
-                                lambda train: Pipeline(stages=stages).fit(train), n_classes)
+    predictions = cross_predict(placed, row_id, lambda train: Pipeline(stages=stages).fit(train), n_classes)
     return to_record(score(predictions, regression, n_classes), {
-        **labels, "model": model_name, **split_sizes(splits, ids)})
+        **labels, "model": model_name, **placed.sizes})
 
 
 def split_sizes(splits: DataFrame, ids: list[int]) -> dict[str, int]:
@@ -306,15 +323,23 @@ class _Average:
         self.row_id, self.models = row_id, models
 
     def transform(self, df: DataFrame) -> DataFrame:
-        a, b = (_probabilities(m.transform(df), 2).select(self.row_id, "y", F.col("p").alias(n))
-                for m, n in zip(self.models, ("pa", "pb")))
-        both = a.join(b.drop("y"), self.row_id).withColumn(
-            "p", F.zip_with("pa", "pb", lambda x, y: (x + y) / 2))
+        both = _votes(df, self.models).select(self.row_id, "y", F.zip_with(
+            "_p0", "_p1", lambda x, y: (x + y) / 2).alias("p"))
         best = F.array_position("p", F.array_max("p")) - 1
         return both.withColumn("prediction", best.cast("double")).withColumn(
             "probability", array_to_vector("p"))
 
 
+def _votes(df: DataFrame, models: list) -> DataFrame:
+    """The rows with the class probabilities of every model, ``_p0``, ``_p1``, ...: one model reads
+    what the other leaves, so nothing is joined."""
+    out = df
+    for i, m in enumerate(models):
+        out = _probabilities(m.transform(out), 2).withColumn(f"_p{i}", F.col("p")).select(
+            *df.columns, *[f"_p{j}" for j in range(i + 1)])
+    return out
+
+
 class _Stacked:
     """Two fitted pipelines whose probabilities feed a fitted meta model."""
 
@@ -327,18 +352,12 @@ class _Stacked:
 
 def stack_inputs(df: DataFrame, row_id: str, models: list) -> DataFrame:
     """``(row_id, y, features)``: class probabilities of every model, the first class left out."""
-    out = None
-    for i, m in enumerate(models):
-        p = _probabilities(m.transform(df), 2)
-        part = p.select(row_id, *([] if i else ["y"]),
-                        F.slice("p", F.lit(2), F.size("p") - 1).alias(f"p{i}"))
-        out = part if out is None else out.join(part, row_id)
-    return out.withColumn("features", array_to_vector(
-        F.concat(*[F.col(f"p{i}") for i in range(len(models))]))).select(row_id, "y", "features")
+    others = [F.slice(f"_p{i}", F.lit(2), F.size(f"_p{i}") - 1) for i in range(len(models))]
+    return _votes(df, models).select(row_id, "y", array_to_vector(F.concat(*others)).alias("features"))
 
 
-def evaluate_ensemble(df: DataFrame, row_id: str, text: Features, rest: Features,
-                      splits: DataFrame, text_model: str, rest_model: str, aggregation: str,
+def evaluate_ensemble(df: DataFrame | Placed, row_id: str, text: Features, rest: Features,
+                      splits: DataFrame | None, text_model: str, rest_model: str, aggregation: str,
                       labels: dict, n_classes: int = 2, trees: int = 100,
                       inner_folds: int = 5) -> DataFrame:
     """A model on the encoded text and one on the other columns, combined.
@@ -348,7 +367,7 @@ def evaluate_ensemble(df: DataFrame, row_id: str, text: Features, rest: Features
     """
     for name in (text_model, rest_model):
         refuse_excluded(labels, name, exempt=SHORT_VECTORS[:1])
-    data = materialise(df, "features")
+    placed = df if isinstance(df, Placed) else Placed.of(df, row_id, splits)
     pipelines = [
         Pipeline(stages=[*f.stages(m in LINEAR), make_model(m, n_classes, trees)])
         for f, m in ((text, text_model), (rest, rest_model))]
@@ -362,13 +381,13 @@ def evaluate_ensemble(df: DataFrame, row_id: str, text: Features, rest: Features
         for f in range(inner_folds):
             inner = [p.fit(folds.where(F.col("fold") != f)) for p in pipelines]
             outside.append(stack_inputs(folds.where(F.col("fold") == f), row_id, inner))
-        meta = UnitLogistic().fit(reduce(DataFrame.unionByName, outside))
+        # read many times by the fit
+        meta = UnitLogistic().fit(materialise(reduce(DataFrame.unionByName, outside), "stacked"))
         return _Stacked(row_id, [p.fit(train) for p in pipelines], meta)
 
     if aggregation not in ("voting", "stacking"):
         raise ValueError("aggregation should be 'voting' or 'stacking'")
-    predictions = cross_predict(data, row_id, materialise(splits, "splits"), _split_ids(splits),
-                                voting if aggregation == "voting" else stacking, n_classes)
+    predictions = cross_predict(placed, row_id, voting if aggregation == "voting" else stacking, n_classes)
     return to_record(score(predictions, False, n_classes), {
         **labels, "enc_model": text_model, "rest_model": rest_model, "aggregation": aggregation})
 
@@ -445,7 +464,8 @@ def column_replacement_ablation(df: DataFrame, row_id: str, columns: list[str],
         if new_spec != "drop":
             data = encode(data, c, new_spec, f"{c}_new", models)
     names = [f"{c}_{k}" for c in columns for k in (("base", "new") if new_spec != "drop" else ("base",))]
-    data = materialise(with_vectors(data, names), "ablation")
+    # all configurations read the same rows and splits
+    placed = Placed.of(with_vectors(data, names), row_id, splits)
     records = []
     for replaced in [*columns, "no_column"]:
         vectors, reductions = [], {}
@@ -460,7 +480,7 @@ def column_replacement_ablation(df: DataFrame, row_id: str, columns: list[str],
             if regime == "text_only" and not vectors:
                 continue
             records.append(evaluate_encoding(
-                data, row_id, both.regime(regime, vectors), splits, model_name,
+                placed, row_id, both.regime(regime, vectors), None, model_name,
                 {**labels, "base_encoder_name": base_spec, "new_encoder_name": new_spec,
                  "col_to_encode_with_new": replaced, "features": regime}, trees=trees))
     return reduce(DataFrame.unionByName, records)

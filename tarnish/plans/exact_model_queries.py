@@ -19,7 +19,6 @@ from tarnish.operators.models import Features, with_vectors
 from tarnish.operators.splits import kfold_contiguous
 from tarnish.plans.model_queries import folds, halves
 from tarnish.plans.registry import Tables, query
-from tarnish.session import materialise
 
 LABEL = "CASE WHEN c_nationkey < 9 THEN 1 ELSE 0 END"
 TELLS, SAME = f"CASE WHEN {LABEL} = 1 THEN 'granite harbour' ELSE 'velvet meadow' END", "'one text for all'"
@@ -70,8 +69,8 @@ BOTH = classifier_sql(["separating"], ["independent"])
 
 
 def pair(t: Tables, df: DataFrame, separating: Features, independent: Features, model: str = "LogisticRegression", **params) -> DataFrame:
-    splits = halves(df, "c_custkey", SPLITS)
-    return told({name: models.evaluate_encoding(df, "c_custkey", features, splits, model, {}, **params)
+    placed = models.Placed.of(df, "c_custkey", halves(t.customer, "c_custkey", SPLITS))
+    return told({name: models.evaluate_encoding(placed, "c_custkey", features, None, model, {}, **params)
                  for name, features in (("separating", separating), ("independent", independent))})
 
 
@@ -97,9 +96,9 @@ def evaluate_ngram_matrix_exact(t: Tables) -> DataFrame:
 
 @query("feature_regimes_exact", classifier_sql(["all", "text_only"], ["rest_only"]))
 def feature_regimes_exact(t: Tables) -> DataFrame:
-    df = materialise(vectors(t), "encoded")
-    features, splits = Features(["tells_v"], ["level"]), materialise(halves(df, "c_custkey", SPLITS), "halves")
-    return told({r: models.evaluate_encoding(df, "c_custkey", features.regime(r, ["tells_v"]), splits, "LogisticRegression", {})
+    placed = models.Placed.of(vectors(t), "c_custkey", halves(t.customer, "c_custkey", SPLITS))
+    features = Features(["tells_v"], ["level"])
+    return told({r: models.evaluate_encoding(placed, "c_custkey", features.regime(r, ["tells_v"]), None, "LogisticRegression", {})
                  for r in models.FEATURES})
 
 
@@ -114,11 +113,10 @@ def gbt_classifier_exact(t: Tables) -> DataFrame:
 
 
 def ensembles(t: Tables, aggregation: str) -> DataFrame:
-    df = vectors(t)
-    splits = halves(df, "c_custkey", SPLITS)
+    placed = models.Placed.of(vectors(t), "c_custkey", halves(t.customer, "c_custkey", SPLITS))
     cases = {"separating": (Features(["tells_v"]), Features(numbers=["level"])),
              "independent": (Features(["same_v"]), Features(numbers=["level"]))}
-    return told({name: models.evaluate_ensemble(df, "c_custkey", text, rest, splits, "LogisticRegression", "LogisticRegression",
+    return told({name: models.evaluate_ensemble(placed, "c_custkey", text, rest, None, "LogisticRegression", "LogisticRegression",
                                                 aggregation, {}) for name, (text, rest) in cases.items()})
 
 

@@ -12,7 +12,6 @@ from tarnish.operators.models import Features, table_vectorizer, with_vectors
 from tarnish.operators.splits import fixed_size_split, group_kfold, kfold_contiguous
 from tarnish.plans.registry import Tables, query
 from tarnish.plans.table_queries import rounded
-from tarnish.session import materialise
 
 def documents(t: Tables) -> DataFrame:
     """Labelled documents: text, language, source, length, and quality as target."""
@@ -77,9 +76,9 @@ def evaluate_ngram_matrix(t: Tables) -> DataFrame:
 def feature_regimes(t: Tables) -> DataFrame:
     df, features = encoded(t)
     # three evaluations read them
-    df, splits = materialise(df, "encoded"), materialise(halves(documents(t), "doc_id"), "halves")
+    placed = models.Placed.of(df, "doc_id", halves(documents(t), "doc_id"))
     return flat(reduce(DataFrame.unionByName, [models.evaluate_encoding(
-        df, "doc_id", features.regime(r, ["text_v"]), splits, "LogisticRegression", {"features": r})
+        placed, "doc_id", features.regime(r, ["text_v"]), None, "LogisticRegression", {"features": r})
         for r in models.FEATURES]), "accuracies", "roc_auc")
 
 

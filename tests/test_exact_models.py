@@ -33,3 +33,24 @@ def test_components_beyond_the_rank_are_ignored(spark):
     df = with_vectors(spark.createDataFrame(rows, "id int, v array<double>, y double"), ["v"])
     model = Pipeline(stages=[*Features(["v"], reductions={"v": 2}).stages(True), UnitLogistic()]).fit(df)
     assert model.transform(df).where(F.col("prediction") != F.col("y")).count() == 0
+
+
+def test_splits_are_placed_once_and_models_read_each_other(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.sql import functions as F
+    from tarnish.operators.models import Features, Placed, UnitLogistic, stack_inputs
+    rows = [(i, float(i % 2), float(i % 5), float(i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y double")
+    splits = df.crossJoin(spark.range(2).withColumnRenamed("id", "split_id")).where("id < 30").select(
+        "split_id", "id", F.when(F.col("id") % 3 == F.col("split_id"), "test").otherwise("train").alias("role"))
+    placed = Placed.of(df, "id", splits)
+    assert placed.ids == [0, 1] and placed.sizes == {"n_train": 20, "n_test": 10}
+    for s in placed.ids:
+        assert sorted(r.id for r in placed.part(s, "test").collect()) == [i for i in range(30) if i % 3 == s]
+    train = placed.part(0, "train")
+    models = [Pipeline(stages=[*Features(numbers=[c]).stages(True), UnitLogistic()]).fit(train) for c in "ab"]
+    stacked = stack_inputs(train, "id", models)
+    # neither the part of a split nor the other model's probabilities are joined
+    plan = stacked._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert stacked.columns == ["id", "y", "features"] and {len(r.features) for r in stacked.collect()} == {2}
