@@ -36,8 +36,9 @@ def matrix(df: DataFrame, row_id: str, v: str, train: Column | None = None) -> D
 
 
 def _per_dim(long: DataFrame, stats: DataFrame) -> DataFrame:
-    """Statistics have one row per feature; Spark broadcasts them if they turn out small."""
-    return long.join(stats, "dim")
+    """Statistics have one row per feature. They are written first, so Spark knows their size and
+    broadcasts them where it is small: the rows of a feature never gather in one task then."""
+    return long.join(materialise(stats, "per-feature"), "dim")
 
 
 def select_dimensions(df: DataFrame, v: str, n: int, method: str = "first",
@@ -89,7 +90,7 @@ def drop_constant_features(long: DataFrame) -> DataFrame:
     """Drop dimensions with a single value over the training rows."""
     varied = long.where("train").groupBy("dim").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo < hi").select("dim")
-    return long.join(varied, "dim", "left_semi")
+    return _per_dim(long, varied).select(*long.columns)
 
 
 def normalise_on_train(long: DataFrame, with_test: bool = False) -> DataFrame:

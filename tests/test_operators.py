@@ -425,3 +425,10 @@ def test_word_vectors_are_looked_up_before_any_shuffle(spark):
     uneven = frame(spark, [("red", [1.0]), ("blue", [1.0, 2.0])], "word string, v array<double>")
     with pytest.raises(ValueError):
         encoders.embedding_lookup_mean(docs, "id", "text", uneven)
+
+
+def test_statistics_go_to_the_rows(spark):
+    # by its estimate too large to broadcast an aggregate of it
+    long = spark.range(1_000_000).selectExpr("id DIV 2 AS i", "CAST(id % 2 AS INT) AS dim", "CAST(id % 7 AS DOUBLE) AS value", "id % 3 > 0 AS train")
+    plan = scaling.preprocess_features(long, "i")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
