@@ -127,6 +127,20 @@ def test_search_over_several_blocks_equals_brute_force(spark, tiny_blocks, monke
     assert all(rows <= texts * cells for rows, texts, cells in handed)
 
 
+def test_weights_take_little_disk(spark, monkeypatch, tmp_path):
+    """What a search leaves on disk: a few bytes per n-gram of a text, not a row of digests and fractions."""
+    from tarnish import session
+    monkeypatch.setattr(session, "scratch_dir", lambda _: f"file://{tmp_path}")
+    rng = random.Random(15)
+    main = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(300)]
+    left = spark.createDataFrame(list(enumerate(main)), "i int, t string")
+    right = spark.createDataFrame([(i, t[1:]) for i, t in enumerate(main)], "j int, t string")
+    got = fuzzy_join(left, right, on="t", analyzer="char", order_by="j")
+    assert {r.i: r.j for r in got.collect()} == {i: i for i in range(300)}
+    entries = sum(len(set(grams_char(t, 2, 4))) for text in main for t in (text, text[1:]))
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 8 * entries
+
+
 def test_block_pairs_and_distances():
     """What a block finds, against all pairs; numbers added, an own row left out."""
     import pandas as pd
