@@ -4,8 +4,10 @@ import math
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +129,27 @@ def test_search_over_several_blocks_equals_brute_force(spark, tiny_blocks, monke
     assert all(rows <= texts * cells for rows, texts, cells in handed)
 
 
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_blocks_are_searched_in_parts(spark, monkeypatch, exclude_self):
+    """A task lays out a part of a block at a time, and finds the same neighbours and counts."""
+    words = sorted(set(texts(9, 60)))
+    keys = spark.createDataFrame([(w, w, i, 1) for i, w in enumerate(words)], "k string, t string, o int, m int")
+    radii = keys.select("k", F.explode(F.array(F.lit(0.4), F.lit(0.9), F.lit(1.3))).alias("r"))
+
+    def results():
+        weights = nearest.text_weights(keys, keys, "char_wb", (2, 4))
+        near = nearest.nearest_text(keys, keys, exclude_self=exclude_self, weights=weights)
+        return ({r.k: (r.ak, r.d) for r in near.collect()},
+                {(r.k, r.r): r.n for r in nearest.count_within(radii, keys, weights).collect()})
+    whole = results()
+    monkeypatch.setattr(nearest, "PART", 100)
+    assert results() == whole
+    ids = [np.arange(n) for n in (30, 80, 60, 20, 150, 10)]
+    rows = pd.DataFrame({"ids": ids, "cnts": [v * 0 + 1 for v in ids], "norm": 1.0})
+    steps = SimpleNamespace(value=(np.array([0]), np.array([1.0])))
+    assert [list(map(len, part["ws"])) for part in nearest._parts(rows, steps, 100)] == [[30], [80, 60, 20], [150, 10]]
+
+
 def test_weights_take_little_disk(spark, monkeypatch, tmp_path):
     """What a search leaves on disk: a few bytes per n-gram of a text, not a row of digests and fractions."""
     from tarnish import session
