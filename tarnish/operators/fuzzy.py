@@ -173,7 +173,9 @@ def fuzzy_matches(
         parts: list[Column] = []
         missing = F.lit(False)
         if vector is not None:
-            out = out.withColumn("v", of(vector).cast("array<double>"))
+            # single precision moves as it is and is measured in double precision
+            single = all(dict(d.dtypes)[c] == "array<float>" for d, c in ((main, main_vectors), (aux, aux_vectors)))
+            out = out.withColumn("v", of(vector).cast(f"array<{'float' if single else 'double'}>"))
             parts.append(F.col("v"))
         elif texts:
             out = out.withColumn("t", key_text(*[of(p[side]) for p in texts]))

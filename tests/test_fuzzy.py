@@ -248,6 +248,27 @@ def test_vector_blocks_without_main_or_aux_rows(spark):
     assert got == dict(enumerate(((a[:, None] - b[None]) ** 2).sum(-1).argmin(1).tolist()))
 
 
+def test_vector_visits_are_not_written(spark, tiny_chunks, monkeypatch):
+    """Single precision stays as it is, and what is written has a row per vector, not one per visit."""
+    written = []
+    write = nearest.materialise
+
+    def spied(df, label):
+        table = write(df, label)
+        written.append((dict(table.dtypes)["v"], table.count()))
+        return table
+    monkeypatch.setattr(nearest, "materialise", spied)
+    rng = np.random.default_rng(4)
+    a, b = (rng.normal(size=(n, 3)).astype("float32") for n in (30, 40))
+    left = spark.createDataFrame([(i, str(i), v.tolist()) for i, v in enumerate(a)], "i int, t string, v array<float>")
+    right = spark.createDataFrame([(i, str(i), v.tolist()) for i, v in enumerate(b)], "j int, t string, v array<float>")
+    got = fuzzy_join(left, right, on="t", main_vectors="v", aux_vectors="v", order_by="j").collect()
+    a, b = a.astype(float), b.astype(float)
+    want = np.round(np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1)), 9).argmin(1)
+    assert {r.i: r.j for r in got} == dict(enumerate(want.tolist()))
+    assert written and all(kind == "array<float>" and n <= 40 for kind, n in written)
+
+
 def test_options_and_errors(spark):
     left = spark.createDataFrame([(1, "ana", None), (2, None, 3.0)], "i int, t string, z double")
     right = spark.createDataFrame([(5, "anna", 1.0), (6, "nan", 2.0)], "j int, t string, z double")
