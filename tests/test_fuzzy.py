@@ -357,3 +357,46 @@ def test_expected_precision_follows_the_balls(spark):
     got = {r.id_r: (r.id_l, r.expected) for r in auto_fuzzy_join(left, right, "id", "title", 0.9).collect()}
     assert got[11] == (2, 1.0) and got[10] == (1, 1.0) and 13 not in got
     assert sum(e for _, e in got.values()) / len(got) >= 0.9
+
+
+@pytest.mark.parametrize("analyzer", ["char", "char_wb"])
+def test_ngrams_are_looked_up_in_tasks(spark, monkeypatch, analyzer):
+    """Character n-grams get their numbers without being moved; the same weights as by a join."""
+    words = sorted(set(texts(11, 40)) | {"a", "b c", "Straße ÄÖ", "𝒳y z"})
+    main, aux = (spark.createDataFrame([(w, w, m) for w in part], "k string, t string, m int") for part, m in ((words[::2], 2), (words[1:], 1)))
+
+    def rows():
+        return {(r.k, r.gram): round(r.w, 12) for r in nearest.text_weights(main, aux, analyzer, (2, 4)).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(nearest, "gram_counts", None)
+        got = rows()
+    monkeypatch.setattr(nearest, "LOOKUP", 0)
+    assert got == rows() and len(got) > 100
+
+
+def test_pairs_sifted_by_masks():
+    """Texts of many n-grams, most of them rare: no near pair is lost, and few of the others are measured."""
+    from tarnish.operators.blocks import Aux, Block
+    rng = np.random.default_rng(21)
+    sets = [np.sort(rng.choice(400, 12, replace=False)) for _ in range(300)]
+    sets += [np.sort(np.concatenate([s[2:], [400, 401]])) for s in sets[:100]]
+    frame = pd.DataFrame({"ids": sets, "ws": [np.full(len(s), len(s) ** -0.5) for s in sets]})
+    dense = np.zeros((400, 402))
+    for i, s in enumerate(sets):
+        dense[i, s] = len(s) ** -0.5
+    cos = np.round(np.minimum(dense @ dense.T, 1.0), 9)
+    block = Block(frame, Aux(frame))
+    got = [pairs for pairs in block.within(np.full(400, np.sqrt(2 - 2 * 0.6)))]
+    found = {(i, j) for xi, yi, _ in got for i, j in zip(xi, yi)}
+    assert found >= set(zip(*np.nonzero(cos >= 0.6))) and len(found) < 2000
+
+
+def test_main_texts_stay_where_they_are(spark, tiny_blocks, monkeypatch):
+    """A further aux block moves no main text: what is shuffled does not grow with the number of blocks."""
+    plans = []
+    write = nearest.materialise
+    monkeypatch.setattr(nearest, "materialise", lambda df, label: plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, label))
+    main, aux = (spark.createDataFrame([(t, t, i, 1) for i, t in enumerate(sorted(set(texts(s, 40))))], "k string, t string, o int, m int") for s in (13, 14))
+    assert nearest.nearest_text(main, aux).count() == len(set(texts(13, 40)))
+    rounds = [p for label, p in plans if label == "block"]
+    assert len(rounds) > 1 and not any("Join" in p or "CoGroup" in p for p in rounds)
