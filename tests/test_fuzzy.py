@@ -366,12 +366,26 @@ def test_ngrams_are_looked_up_in_tasks(spark, monkeypatch, analyzer):
     main, aux = (spark.createDataFrame([(w, w, m) for w in part], "k string, t string, m int") for part, m in ((words[::2], 2), (words[1:], 1)))
 
     def rows():
-        return {(r.k, r.gram): round(r.w, 12) for r in nearest.text_weights(main, aux, analyzer, (2, 4)).collect()}
+        weights = nearest.text_weights(main, aux, analyzer, (2, 4))
+        return {r.k: (r.held, r.ids[:r.held], r.cnts[:r.held], round(r.norm, 9)) for r in weights.texts.collect()}
     with monkeypatch.context() as m:
         m.setattr(nearest, "gram_counts", None)
         got = rows()
     monkeypatch.setattr(nearest, "LOOKUP", 0)
-    assert got == rows() and len(got) > 100
+    assert got == rows() and len(got) > 30
+
+
+def test_ngrams_of_one_side_move_as_sums(spark, monkeypatch, tmp_path):
+    """Of words that only the aux texts hold nothing is written but the norm."""
+    main = spark.createDataFrame([("a", "shared words here", 1)], "k string, t string, m int")
+    long = [(f"k{i}", "shared words " + " ".join(f"w{i}x{j}" for j in range(100)), 1) for i in range(20)]
+    aux = spark.createDataFrame(long, "k string, t string, m int")
+    weights = nearest.text_weights(main, aux, "word", (1, 2))
+    rows = {r.k: r for r in weights.texts.collect()}
+    assert all(len(r.ids) == len(r.cnts) == r.held == 3 for r in rows.values())
+    # 100 words and 100 pairs of words, each in one of 21 rows, and the three of all
+    alone, every = math.log(22 / 2) + 1, math.log(22 / 22) + 1
+    assert rows["k7"].norm == pytest.approx(math.sqrt(200 * alone ** 2 + 3 * every ** 2))
 
 
 def test_pairs_sifted_by_masks():
@@ -400,3 +414,40 @@ def test_main_texts_stay_where_they_are(spark, tiny_blocks, monkeypatch):
     assert nearest.nearest_text(main, aux).count() == len(set(texts(13, 40)))
     rounds = [p for label, p in plans if label == "block"]
     assert len(rounds) > 1 and not any("Join" in p or "CoGroup" in p for p in rounds)
+
+
+def test_negative_rules_keep_apart_what_left_rows_differ_in(spark):
+    from tarnish.operators.auto_fuzzy import auto_fuzzy_join, barred_pairs
+    left = spark.createDataFrame([(1, "2007 LSU Tigers football team"), (2, "2008 LSU Tigers football team"), (3, "Alabama Tide baseball squad (2007)"),
+                                  (4, "golden gate bridge"), (5, None)], "id int, title string")
+    right = spark.createDataFrame([(10, "Alabama Tide baseball squad, 2008"), (11, "golden gate brigde"), (12, "Alabama Tide baseball squad 2009"),
+                                   (13, "2007 LSU Tigers football team")], "id int, title string")
+    pairs = spark.createDataFrame([(3, 10), (4, 11), (3, 12), (1, 13), (2, 13), (3, 13)], "id_l int, id_r int")
+    # 2007 and 2008 differ between two left rows, 2009 is in none
+    assert sorted(map(tuple, barred_pairs(pairs, left, right, "id", "title").collect())) == [(2, 13), (3, 10)]
+    got = {r.id_r: r.id_l for r in auto_fuzzy_join(left, right, "id", "title", 0.9).collect()}
+    assert got[12] == 3 and got[13] == 1 and 10 not in got
+
+
+def test_a_common_last_ngram_is_not_visited(monkeypatch):
+    """Texts that share their most common n-gram alone: the nearest, the lowest of equally near ones, without all pairs."""
+    from tarnish.operators import blocks
+    monkeypatch.setattr(blocks, "FEW", 4)
+    rng = np.random.default_rng(5)
+    ids = [np.array(sorted({int(rng.integers(0, 150)), *([int(rng.integers(0, 40))] if i % 3 == 0 else []), 200})) for i in range(300)]
+    # weights of a few sorts, so that many are equally near
+    ws = [np.array([0.9] * (len(v) - 1) + [0.2 + 0.1 * (i % 3)]) for i, v in enumerate(ids)]
+    order = rng.permutation(300)
+    y = pd.DataFrame({"ids": ids, "ws": [w / np.sqrt((w * w).sum()) for w in ws], "o": order})
+    dense = np.zeros((300, 201))
+    for i, (v, w) in enumerate(zip(y["ids"], y["ws"])):
+        dense[i, v] = w
+    d2 = np.round(2 - 2 * np.round(np.minimum(dense @ dense.T, 1), 9), 9)
+    np.fill_diagonal(d2, 9)
+    want = [min((d2[i, j], order[j]) for j in range(300)) for i in range(300)]
+    got, pairs = {}, 0
+    for xi, yi, d in blocks.Block(y, blocks.Aux(y), np.arange(300)).near(np.full(300, np.inf)):
+        pairs += len(xi)
+        for i, j, v in zip(xi, yi, d):
+            got[i] = min(got.get(i, (9, 999)), (v, order[j]))
+    assert [got[i][1] for i in range(300)] == [o for _, o in want] and pairs < 300 * 40
