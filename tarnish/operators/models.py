@@ -203,11 +203,6 @@ class Placed:
     ids: list[int]
     sizes: dict[str, int]
 
-    @property
-    def _jdf(self):
-        """The plan of the written rows, to look at."""
-        return self.data._jdf
-
     @classmethod
     def of(cls, df: DataFrame, row_id: str, splits: DataFrame) -> "Placed":
         splits = materialise(splits, "splits")
